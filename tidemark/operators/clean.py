@@ -23,12 +23,14 @@ def clean(
     ``required`` columns (``null coordinate``), with a null vertex or a ring of
     fewer than three distinct vertices (``degenerate ring``), and of those with
     the same key all but the newest (``superseded``).  ``order`` lists the
-    columns that rank the rows of a key, highest first wins; together with the
-    key they should be unique, or equal rows of one key are all kept.
-
-    Neither result gathers the rows of a key in one task: the newest values
-    are found by a grouping that is combined before the shuffle, and hot keys
-    are cut into parts in the join back.
+    columns that rank the rows of a key, highest first wins; rows equal in
+    those are ranked by their other columns.  Superseded rows equal in every
+    column come once, with their number in ``copies`` (otherwise 1), so the
+    rows kept and the copies rejected add up to the input.
+
+    Neither result gathers the rows of a key in one task: each task cuts a key
+    to its newest row before the shuffle, equal rows are counted before theirs,
+    and hot keys are cut into parts in the join back.
     """
     keys = [key] if isinstance(key, str) else list(key)
     faults = [(" or ".join(f"`{k}` is null" for k in keys), "null key")]
@@ -41,11 +43,15 @@ def clean(
     judged = df.withColumn("reason", F.expr(reason))
 
     usable = judged.where("reason is null").drop("reason")
-    ranked = [F.expr(f"`{c}`").desc_nulls_last() for c in order]
+    ties = [c for c in df.columns if c not in keys and c not in order]
+    ranked = [F.col(c).desc_nulls_last() for c in [*order, *ties]]
     kept = pick_one(usable, keys, ranked)
 
-    newest = pick_one(usable.select(*keys, *order), keys, ranked).withColumnsRenamed({c: f"_new_{c}" for c in order})
-    same = " and ".join(f"`{c}` <=> `_new_{c}`" for c in order)
-    older = skew_join(usable, newest, keys, "inner", f"not ({same})", hot_rows).select(*df.columns)
-    rejected = judged.where("reason is not null").unionByName(older.withColumn("reason", F.lit("superseded")))
-    return kept, rejected
+    counted = usable.groupBy(*df.columns).agg(F.expr("count(1) as copies"))
+    newest = kept.withColumnsRenamed({c: f"_new_{c}" for c in df.columns if c not in keys})
+    is_newest = " and ".join(f"`{c}` <=> `_new_{c}`" for c in df.columns if c not in keys) or "true"
+    older = skew_join(counted, newest, keys, "inner", hot_rows=hot_rows).selectExpr(
+        *(f"`{c}`" for c in df.columns), "'superseded' as reason", f"copies - if({is_newest}, 1L, 0L) as copies"
+    )
+    faulty = judged.where("reason is not null").withColumn("copies", F.lit(1).cast("bigint"))
+    return kept, faulty.unionByName(older.where("copies > 0"))

@@ -161,18 +161,19 @@ def pieces(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataF
 
 
 def pieces_bytes(polygons: DataFrame, size: int, feature: str = "feature_id") -> int:
-    """Upper bound on the memory that ``pieces`` takes, from narrow passes.
+    """Upper bound on the memory that ``pieces`` takes, from one narrow pass.
 
-    Edge entries are counted exactly, by arithmetic on column spans and without
-    making them; full cells are bounded by the cells of the bounding boxes.
+    An edge touches no more cells than its own bounding box has, nor more than
+    a walk along it meets; full cells are bounded by the polygon's box.
     """
-    edges = _strips(polygons, size, feature).selectExpr(
-        f"sum(cast(_right - _left + 1 as double)) * {EDGE_BYTES} as n"
-    )
+    after = "concat(slice(verts, 2, size(verts) - 1), slice(verts, 1, 1))"
+    cols, rows = (f"abs({axis(f'w.{a}', size)} - {axis(f'v.{a}', size)})" for a in ("x", "y"))
+    touched = f"least(({cols} + 1) * ({rows} + 1), {cols} + 3 * {rows} + 3) + {cols} + 1"
+    edges = f"aggregate(zip_with(verts, {after}, (v, w) -> cast({touched} as double)), 0D, (s, n) -> s + n)"
     width = f"length(to_json({_about(polygons, feature)}))" if attributes(polygons, feature) else "0"
-    boxes = polygons.selectExpr(
-        f"sum(cast({axis('x1', size)} - {axis('x0', size)} + 1 as double)"
-        f" * ({axis('y1', size)} - {axis('y0', size)} + 1) * ({PIECE_BYTES} + {width})) as n"
+    cells = (
+        f"cast({axis('x1', size)} - {axis('x0', size)} + 1 as double) * ({axis('y1', size)} - {axis('y0', size)} + 1)"
     )
-    total = edges.unionByName(boxes).selectExpr("sum(n)").first()[0]
+    bound = f"coalesce({edges}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + coalesce({width}, 0))"
+    total = polygons.where("size(verts) >= 3").selectExpr(f"sum({bound})").first()[0]
     return int(total or 0)

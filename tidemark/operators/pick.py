@@ -16,3 +16,10 @@ def pick_one(df: DataFrame, key: str | list[str], rank: list[Column | str]) -> D
     keys = [key] if isinstance(key, str) else key
     first = Window.partitionBy(*keys).orderBy(*rank)
     return df.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+
+
+def top_rows(df: DataFrame, keys: list[str], rank: list[Column | str], k: int, name: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key, with their place in ``name`` if given."""
+    order = Window.partitionBy(*keys).orderBy(*rank)
+    ranked = df.withColumn(name or "_rank", F.row_number().over(order)).where(f"{name or '_rank'} <= {k}")
+    return ranked if name else ranked.drop("_rank")

@@ -22,8 +22,12 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     A key beyond those holds less than one row in ``MOST_HOT_KEYS`` of the
     table and stays whole.  Counts are combined before they are shuffled.
     """
-    counts = df.where(_present(keys)).groupBy(*keys).agg(F.expr("count(1) as _n")).where(f"_n > {hot_rows}")
-    top = counts.orderBy(F.desc("_n")).limit(MOST_HOT_KEYS)
+    return hottest(df.where(_present(keys)).groupBy(*keys).agg(F.expr("count(1) as _n")), keys, hot_rows)
+
+
+def hottest(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same from counts ``_n`` by key that are there already."""
+    top = counts.where(f"_n > {hot_rows}").orderBy(F.desc("_n")).limit(MOST_HOT_KEYS)
     return top.selectExpr(*keys, f"cast(ceil(_n / {hot_rows}) as int) as _parts")
 
 
@@ -34,6 +38,7 @@ def skew_join(
     how: str,
     condition: str = "true",
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffled equi-join in which hot keys of ``left`` are cut into parts.
 
@@ -41,10 +46,10 @@ def skew_join(
     ``right`` for that key go to every part, so each left row still meets all
     of its partners and all join types from the left keep their meaning.
     ``condition`` is SQL over the columns of both sides, whose names must
-    differ apart from the keys.
+    differ apart from the keys.  ``hot`` may give the hot keys if they are known.
     """
     spread = [f"`{f.name}`" for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    hot = F.broadcast(hot_keys(left, keys, hot_rows) if hot is None else hot)
     cut = left.join(hot, keys, "left").selectExpr(
         *(f"`{c}`" for c in left.columns),
         f"cast(if(_parts > 1, pmod(xxhash64({', '.join(spread)}), _parts), 0) as int) as _part",

@@ -33,8 +33,7 @@ def keyed(df: DataFrame, key: str, per_tile: int) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use every core on a table too small to be read by as many tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    return df.repartition(cores, key) if len(files) == 1 and cores > 1 else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def ring(points) -> str:
