@@ -72,7 +72,7 @@ def nearest(
     if strategy == "broadcast":
         graded = points
         for i in range(GRIDS - 1):
-            known = F.broadcast(_rich(useful, sides[i], k, f"_rich{i}"))
+            known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}"))
             graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}"), "left")
         cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
         graded = graded.selectExpr(*_each(points), f"{_choose(sides[1:] + sides[-1:])} as _own_side", f"{cell} as _own_cell")
@@ -101,7 +101,7 @@ def nearest(
     graded = spots.selectExpr("_fine", f"{col} as _fx", f"{row} as _fy")
     at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(GRIDS)]
     for i in range(GRIDS - 1):
-        graded = graded.join(_rich(useful, sides[i], k, f"_rich{i}"), F.expr(f"{at[i]} = _rich{i}"), "left")
+        graded = graded.join(_rich(targets, sides[i], k, f"_rich{i}"), F.expr(f"{at[i]} = _rich{i}"), "left")
     bounds = [min(reach, 2 * s * s) for s in sides[:-1]]
     graded = graded.selectExpr(
         "_fine", "_fx", "_fy",
@@ -141,7 +141,7 @@ def _around(sides: list[int]) -> str:
 
 def _rich(targets: DataFrame, side: int, k: int, name: str) -> DataFrame:
     """The cells of a grid that hold at least ``k`` targets."""
-    counts = targets.selectExpr(f"{cell_of('x', 'y', side)} as {name}").groupBy(name).agg(F.expr("count(1) as n"))
+    counts = targets.where("x is not null and y is not null").selectExpr(f"{cell_of('x', 'y', side)} as {name}").groupBy(name).agg(F.expr("count(1) as n"))
     return counts.where(f"n >= {k}").select(name)
 
 

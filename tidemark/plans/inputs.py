@@ -10,6 +10,7 @@ level as the tables grow.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Keys per tile, in the ratio of the given tables.
 PARTS_PER_TILE = 20_000
@@ -43,7 +44,7 @@ def ring(points) -> str:
 
 def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """zone_id, severity, centre and half width of each zone."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     return keyed(part, "p_partkey", PARTS_PER_TILE).selectExpr(
         "k as zone_id",
         "cast(1 + k % 4 as int) as severity",
@@ -130,11 +131,11 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = table(spark, sf_dir, "supplier").selectExpr(
         f"coalesce(max(cast(s_suppkey as bigint) div {SUPPLIERS_PER_TILE}), 0) as last"
     )
-    nation = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as k", "1 as one")
+    tiles = F.sequence(F.lit(0).cast("bigint"), last.scalar())
+    nation = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as k")
     grid = (
-        nation.join(last.selectExpr("sequence(0L, last) as tiles", "1 as one").hint("broadcast"), "one")
-        .selectExpr("k", "explode(tiles) as t")
-        .selectExpr("k", "t", "explode(array(1, 2)) as version")
+        nation.withColumn("t", F.explode_outer(tiles))
+        .selectExpr("k", "t", "explode_outer(array(1, 2)) as version")
         .selectExpr("*", f"(k % 5) * 200000 + t * {TILE} as x0", "k div 5 * 200000 as y0")
         .selectExpr("*", "x0 + 200000 as x1", "y0 + 200000 as y1", "k + 25 * t as panel_id")
     )

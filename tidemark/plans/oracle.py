@@ -127,7 +127,7 @@ SUMMARY = """
            sum(v)::double / count(v) as mean_value, quantile_cont(v, 0.5)::double as median_value
     from ({rows}) group by 1"""
 
-ORACLE = {
+ORACLE: dict[str, str] = {
     "points_in_zones": sql("hits", " select building_id, zone_id, severity from hits"),
     "points_in_zones_or_none": sql(
         "hits", " select b.building_id, h.zone_id, h.zone_code from bd b left join hits h using (building_id)"
@@ -246,3 +246,4 @@ ORACLE = {
         select 'first_floor' as name, 'main' as role, '1.0' as contract, (select count(*) from orders) as "rows"
         union all select 'elevation', 'dependent', '1.0', (select count(*) from supplier)""",
 }
+ORACLE["buildings_wide_joined"] = ORACLE["buildings_wide"]

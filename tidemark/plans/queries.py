@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -183,7 +184,23 @@ def clean_zones_rejected(spark: SparkSession, d: str) -> DataFrame:
     return rejected.select("source_id", "reason", "copies")
 
 
+WIDE = (
+    "building_id", "x", "y", "first_floor_mm", "datum",
+    "array_join(transform(outline, v -> concat(v.x, ' ', v.y)), ';') as outline", "zone_id", "zone_code", "severity",
+    "near_bfe_id", "near_bfe_mm", "near_datum", "near_d2", "panel_id", "panel_version", "above_mm",
+)
+
+
 def buildings_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One operator after the other; the buildings are shuffled once."""
+    zoned = _best_zone(_in_zones(inputs.buildings(spark, d).drop("measured_at"), spark, d, "left"))
+    panelled = _panel(zoned, spark, d, LATEST).withColumnRenamed("version", "panel_version")
+    with_bfe = nearest(panelled, inputs.elevations(spark, d), RADIUS)
+    return building_layer(with_bfe, inputs.outlines(spark, d)).selectExpr(*WIDE)
+
+
+def buildings_wide_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same from separate layers, joined by building."""
     places = _places(spark, d)
     wide = building_layer(
         inputs.buildings(spark, d).drop("measured_at"),
@@ -192,8 +209,7 @@ def buildings_wide(spark: SparkSession, d: str) -> DataFrame:
         nearest(places, inputs.elevations(spark, d), RADIUS),
         _panel(places, spark, d, LATEST),
     )
-    outline = "array_join(transform(outline, v -> concat(v.x, ' ', v.y)), ';') as outline"
-    return wide.selectExpr(*(outline if c == "outline" else c for c in wide.columns))
+    return wide.selectExpr(*WIDE)
 
 
 def layer_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -241,8 +257,6 @@ def _work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        import uuid
-
         return f"{shared}/layers-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="spark-")
 
@@ -273,7 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         zone_prevalence, zone_prevalence_rollup, zone_prevalence_weighted_cube, panel_on_date, panel_as_of_each,
         building_cells, zone_cover, zone_cells_sampled, zone_cell_centres, coverage_cells, bfe_cells,
         first_floor_cells, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
-        clean_zones, clean_zones_rejected, buildings_wide, layer_violations, zone_geojson, zone_geojson_rejected,
+        clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
         published_layer, published_layers,
     )
 }
