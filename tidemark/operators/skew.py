@@ -52,18 +52,18 @@ def skew_join(
     hot = F.broadcast(hot_keys(left, keys, hot_rows) if hot is None else hot)
     cut = left.join(hot, keys, "left").selectExpr(
         *(f"`{c}`" for c in left.columns),
-        f"cast(if(_parts > 1, pmod(xxhash64({', '.join(spread)}), _parts), 0) as int) as _part",
+        f"cast(if(_parts > 1, pmod(xxhash64({', '.join(spread)}), _parts), 0) as int) as _sent_to",
     )
     copied = (
         right.where(_present(keys))
         .join(hot, keys, "left")
-        .selectExpr("*", "explode_outer(sequence(0, coalesce(_parts, 1) - 1)) as _r_part")
+        .selectExpr("*", "explode_outer(sequence(0, coalesce(_parts, 1) - 1)) as _copied_to")
         .drop("_parts")
         .withColumnsRenamed({k: f"_r_{k}" for k in keys})
     )
-    match = " and ".join([*(f"{k} = _r_{k}" for k in keys), "_part = _r_part", f"({condition})"])
+    match = " and ".join([*(f"{k} = _r_{k}" for k in keys), "_sent_to = _copied_to", f"({condition})"])
     joined = cut.join(copied.hint("merge"), F.expr(match), how)
-    return joined.drop("_part", "_r_part", *(f"_r_{k}" for k in keys))
+    return joined.drop("_sent_to", "_copied_to", *(f"_r_{k}" for k in keys))
 
 
 def _present(keys: list[str]) -> str:
