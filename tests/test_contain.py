@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import inside, plan, points, polygons, square
 from tidemark.operators.contain import points_in_polygons
-from tidemark.operators.cover import cover, pieces, pieces_bytes
+from tidemark.operators.cover import cover, median_side, pieces, pieces_size
 from tidemark.operators.pick import pick_one
 from tidemark.operators.zone_cells import zone_cells
 
@@ -37,13 +37,13 @@ def random_features(seed):
 
 
 @pytest.mark.parametrize("size", (1, 5, 7, 40, 1000))
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("strategy", (*STRATEGIES, "auto"))
 def test_equals_brute_force_whatever_the_size(spark, size, strategy):
     features = random_features(size)
     rng = random.Random(1)
     spots = [(rng.randint(-150, 150), rng.randint(-150, 150)) for _ in range(400)]
     spots += [(x, y) for x in range(-20, 21, 5) for y in range(-20, 21, 5)]
-    found = points_in_polygons(points(spark, spots), polygons(spark, features), size, strategy=strategy, hot_rows=3)
+    found = points_in_polygons(points(spark, spots), polygons(spark, features), size, strategy=strategy, hot_rows=3, crowd=2)
     expected = {(i, fid) for i, (x, y) in enumerate(spots) for fid, rings in features.items() if inside(x, y, rings)}
     rows = [(r.building_id, r.feature_id) for r in found.collect()]
     assert len(rows) == len(expected)
@@ -108,7 +108,7 @@ def test_size_bound_holds(spark):
     zones = polygons(spark, random_features(3))
     for size in (5, 40):
         cut = pieces(zones, size).selectExpr("sum(64 * coalesce(size(edges), 0) + 160)").first()[0]
-        assert cut <= pieces_bytes(zones, size) * 1.5 + 10_000
+        assert cut <= pieces_size(zones, size)[1]
 
 
 def test_names_must_be_free(spark):
@@ -158,3 +158,19 @@ def test_best_zone_ties_go_to_the_lower_id(spark):
     best = pick_one(hits, "building_id", [F.desc("severity"), F.asc("zone_id")])
     assert [tuple(r) for r in best.collect()] == [(1, 3, 2)]
     assert "WindowGroupLimit" in plan(best)
+
+
+def test_crowded_cell_is_cut_finer(spark):
+    tiny = {i: [square(i % 40 * 25, i // 40 * 25, 20)] for i in range(1600)}
+    tiny[5000] = [square(-500, -500, 3000)]
+    spots = [(x, y) for x in range(3, 1000, 50) for y in range(3, 1000, 40)]
+    expected = {(i, f) for i, (x, y) in enumerate(spots) for f, r in tiny.items() if inside(x, y, r)}
+    for strategy in ("shuffle", "auto"):
+        found = points_in_polygons(points(spark, spots), polygons(spark, tiny), 1000, strategy=strategy, crowd=100)
+        rows = [(r.building_id, r.feature_id) for r in found.collect()]
+        assert len(rows) == len(expected) and set(rows) == expected
+
+
+def test_median_side(spark):
+    zones = polygons(spark, {1: [square(0, 0, 5)], 2: [square(0, 0, 9)], 3: [[(0, 0), (50, 0), (0, 70)]]})
+    assert median_side(zones) == 9 and median_side(zones.limit(0)) == 1

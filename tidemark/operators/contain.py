@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import odd_crossings
-from tidemark.operators.cover import attributes, pieces, pieces_bytes
+from tidemark.operators.cover import attributes, pieces, pieces_size
+from tidemark.operators.crowd import CROWD, split_crowded
 from tidemark.operators.skew import HOT_ROWS, skew_join
 
 BROADCAST_BYTES = 64 << 20
@@ -25,6 +26,7 @@ def points_in_polygons(
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    crowd: int = CROWD,
     on: str | None = None,
 ) -> DataFrame:
     """Join points to the polygons that contain them, exactly.
@@ -37,7 +39,9 @@ def points_in_polygons(
     ``strategy`` is ``broadcast`` (points are not shuffled), ``shuffle``
     (points are shuffled by cell, hot cells cut into parts) or ``auto``, which
     bounds the size of the cut polygons in one pass and broadcasts them up to
-    ``broadcast_bytes``.  The result has the point columns, and for ``inner``
+    ``broadcast_bytes``.  Cells with more than ``crowd`` edge pieces are cut
+    finer, see ``split_crowded``; for a broadcast they are looked for only if
+    there are enough polygons for it to matter.  The result has the point columns, and for ``inner``
     and ``left`` the feature id and attributes, whose names must be free.
     ``on`` is a further SQL condition on point and attribute columns.
     """
@@ -61,14 +65,21 @@ def points_in_polygons(
     if on is not None:
         inside = f"({on}) and {inside}"
 
+    look = strategy == "shuffle"
     if strategy == "auto":
-        small = pieces_bytes(polygons, size, feature) <= broadcast_bytes
-        strategy = "broadcast" if small else "shuffle"
+        rows, size_bytes = pieces_size(polygons, size, feature)
+        strategy = "broadcast" if size_bytes <= broadcast_bytes else "shuffle"
+        look = strategy == "shuffle" or rows > 10 * crowd
+    keys = ["cell_id"]
+    if look:
+        placed, cut = split_crowded(placed, cut, size, crowd, x, y)
+        keys.append("_square")
     kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
     if strategy == "broadcast":
-        right = F.broadcast(cut.withColumnRenamed("cell_id", "_cell"))
-        joined = placed.join(right, F.expr(f"cell_id = _cell and {inside}"), kind)
+        right = F.broadcast(cut.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+        match = " and ".join(f"{k} = _r_{k}" for k in keys)
+        joined = placed.join(right, F.expr(f"{match} and {inside}"), kind)
     else:
-        joined = skew_join(placed, cut, ["cell_id"], kind, inside, hot_rows)
+        joined = skew_join(placed, cut, keys, kind, inside, hot_rows)
     kept = points.columns if how in ("semi", "anti") else [*points.columns, *gained]
     return joined.select(*kept)

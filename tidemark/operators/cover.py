@@ -160,8 +160,14 @@ def pieces(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataF
     )
 
 
-def pieces_bytes(polygons: DataFrame, size: int, feature: str = "feature_id") -> int:
-    """Upper bound on the memory that ``pieces`` takes, from one narrow pass.
+def median_side(polygons: DataFrame) -> int:
+    """A cell side to start from: the median longer side of the boxes."""
+    side = polygons.selectExpr("percentile_approx(greatest(x1 - x0, y1 - y0), 0.5)").first()[0]
+    return max(int(side or 1), 1)
+
+
+def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") -> tuple[int, int]:
+    """Number of polygon rows, and a bound on the bytes of their pieces.
 
     An edge touches no more cells than its own bounding box has, nor more than
     a walk along it meets; full cells are bounded by the polygon's box.
@@ -175,5 +181,5 @@ def pieces_bytes(polygons: DataFrame, size: int, feature: str = "feature_id") ->
         f"cast({axis('x1', size)} - {axis('x0', size)} + 1 as double) * ({axis('y1', size)} - {axis('y0', size)} + 1)"
     )
     bound = f"coalesce({edges}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + coalesce({width}, 0))"
-    total = polygons.where("size(verts) >= 3").selectExpr(f"sum({bound})").first()[0]
-    return int(total or 0)
+    rows, total = polygons.where("size(verts) >= 3").selectExpr("count(1)", f"sum({bound})").first()
+    return rows, int(total or 0)
