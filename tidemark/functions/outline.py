@@ -27,17 +27,37 @@ def corners(verts: str) -> str:
     return f"arrays_zip({verts}, {before}, {after})"
 
 
-def odd_crossings(x: str, y: str, edges: str) -> str:
-    """Even-odd rule: does a ray towards growing x cross an odd number of edges?
+def crosses(x: str, y: str, prefix: str) -> str:
+    """Does a ray from the point towards growing x cross the edge?
 
     Edges run upwards (``ya < yb``) and own their lower end only, so a point on
     a border shared by two polygons lies in exactly one of them.  Both sides of
     the comparison are products of integers: nothing is rounded.
     """
-    return (
-        f"aggregate({edges}, false, (odd, e) -> if({y} < e.ya or {y} >= e.yb, odd, "
-        f"odd <> (({x} - e.xa) * (e.yb - e.ya) < (e.xb - e.xa) * ({y} - e.ya))))"
-    )
+    xa, ya, xb, yb = (prefix + end for end in ENDS)
+    return f"({ya} <= {y} and {y} < {yb} and ({x} - {xa}) * ({yb} - {ya}) < ({xb} - {xa}) * ({y} - {ya}))"
+
+
+def crossings(x: str, y: str, edges: str) -> str:
+    """Number of edges of an array that the ray crosses."""
+    return f"aggregate({edges}, 0, (n, e) -> if({crosses(x, y, 'e.')}, n + 1, n))"
+
+
+def flat_edges(edges: str, count: int) -> list[str]:
+    """The first edges of an array as columns, and the others in ``_rest``.
+
+    Most pieces have few edges, and arithmetic on columns is compiled, while a
+    walk over an array is not.
+    """
+    columns = [f"get({edges}, {i}).{end} as _e{i}{end}" for i in range(count) for end in ENDS]
+    others = f"slice({edges}, {count + 1}, size({edges}))"
+    return [*columns, f"if(size({edges}) > {count}, {others}, null) as _rest"]
+
+
+def flat_crossings(x: str, y: str, count: int) -> str:
+    """Number of crossings from the columns of ``flat_edges``."""
+    flat = " + ".join(f"if({crosses(x, y, f'_e{i}')}, 1, 0)" for i in range(count))
+    return f"({flat} + if(_rest is null, 0, {crossings(x, y, '_rest')}))"
 
 
 def upward(a: str, b: str, prefix: str = "") -> list[str]:

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import cell_of
-from tidemark.functions.outline import odd_crossings
+from tidemark.functions.outline import flat_crossings, flat_edges
 from tidemark.operators.cover import attributes, pieces, pieces_size
 from tidemark.operators.crowd import CROWD, split_crowded
 from tidemark.operators.skew import HOT_ROWS, skew_join
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 128 << 20
+FLAT_EDGES = 4
 HOWS = ("inner", "left", "semi", "anti")
 
 
@@ -60,7 +61,7 @@ def points_in_polygons(
     )
     inside = (
         f"(_full or ({x} >= _lo_x and {x} < _hi_x and {y} >= _lo_y and {y} < _hi_y"
-        f" and {odd_crossings(x, y, '_edges')}))"
+        f" and {flat_crossings(x, y, FLAT_EDGES)} % 2 = 1))"
     )
     if on is not None:
         inside = f"({on}) and {inside}"
@@ -74,6 +75,7 @@ def points_in_polygons(
     if look:
         placed, cut = split_crowded(placed, cut, size, crowd, x, y)
         keys.append("_square")
+    cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
     kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
     if strategy == "broadcast":
         right = F.broadcast(cut.withColumnsRenamed({k: f"_r_{k}" for k in keys}))

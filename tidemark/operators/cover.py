@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import axis, check_size, pack
 from tidemark.functions.outline import EDGE_TYPE, ENDS, SHAPE_COLUMNS, corners, strip_column, upward
+from tidemark.operators.skew import row_bytes
 
 EDGE_BYTES = 64
-PIECE_BYTES = 160
+PIECE_BYTES = 320
 
 
 def cover(polygons: DataFrame, size: int) -> DataFrame:
@@ -176,10 +177,10 @@ def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") ->
     cols, rows = (f"abs({axis(f'w.{a}', size)} - {axis(f'v.{a}', size)})" for a in ("x", "y"))
     touched = f"least(({cols} + 1) * ({rows} + 1), {cols} + 3 * {rows} + 3) + {cols} + 1"
     edges = f"aggregate(zip_with(verts, {after}, (v, w) -> cast({touched} as double)), 0D, (s, n) -> s + n)"
-    width = f"length(to_json({_about(polygons, feature)}))" if attributes(polygons, feature) else "0"
+    width = row_bytes(polygons, attributes(polygons, feature))
     cells = (
         f"cast({axis('x1', size)} - {axis('x0', size)} + 1 as double) * ({axis('y1', size)} - {axis('y0', size)} + 1)"
     )
-    bound = f"coalesce({edges}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + coalesce({width}, 0))"
+    bound = f"coalesce({edges}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + {width})"
     rows, total = polygons.where("size(verts) >= 3").selectExpr("count(1)", f"sum({bound})").first()
     return rows, int(total or 0)

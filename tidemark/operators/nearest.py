@@ -82,8 +82,8 @@ def nearest(
         found = graded.join(F.broadcast(grouped), F.expr("_own_side = _side and _own_cell = _cell"), "left")
         far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
         hits = (
-            f"filter(transform(_near, n -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 't', n.t)),"
-            f" h -> h.d2 <= {reach})"
+            f"transform(filter(_near, n -> {far} <= {reach}),"
+            f" n -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 't', n.t))"
         )
         best = f"array(array_min({hits}))" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
         return (

@@ -9,10 +9,24 @@ HOT_ROWS = 1_000_000
 MOST_HOT_KEYS = 1024
 
 
+def row_bytes(df: DataFrame, columns: list[str] | None = None) -> str:
+    """SQL for the size of a row: fixed widths, and lengths where they vary."""
+    fixed, varying = 32, []
+    for f in df.schema.fields:
+        if columns is not None and f.name not in columns:
+            continue
+        kind = f.dataType.typeName()
+        fixed += 16
+        if kind in ("string", "binary", "varchar", "char"):
+            varying.append(f"coalesce(octet_length(`{f.name}`), 0)")
+        elif kind in ("array", "map", "struct", "variant"):
+            varying.append(f"coalesce(octet_length(to_json(struct(`{f.name}`))), 0) * 2")
+    return " + ".join([str(fixed), *varying])
+
+
 def fits(df: DataFrame, limit: int) -> bool:
     """Is the whole of ``df`` at most ``limit`` bytes?  Runs one aggregate."""
-    size = df.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("double") + 32)).first()[0]
-    return (size or 0) <= limit
+    return (df.selectExpr(f"sum(cast({row_bytes(df)} as double))").first()[0] or 0) <= limit
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

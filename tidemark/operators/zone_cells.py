@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import axis, cell_of, check_size, pack
-from tidemark.functions.outline import odd_crossings
+from tidemark.functions.outline import crossings
 from tidemark.operators.cover import outline_cells
 
 
@@ -26,7 +26,7 @@ def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "featur
     step = size // sub
     centre_x, centre_y = f"(_col * {step} + {step // 2})", f"(_row * {step} + {step // 2})"
     first, last = axis("run_from", sub), axis("run_to", sub)
-    at_edge = f"named_struct('c', {axis('_col', sub)}, 'n', cast({odd_crossings(centre_x, centre_y, 'edges')} as bigint))"
+    at_edge = f"named_struct('c', {axis('_col', sub)}, 'n', cast({crossings(centre_x, centre_y, 'edges')} % 2 as bigint))"
     in_run = (
         f"transform(sequence({first}, {last}), p -> named_struct('c', p, 'n', "
         f"least(run_to, (p + 1) * {sub} - 1) - greatest(run_from, p * {sub}) + 1))"
