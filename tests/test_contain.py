@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import inside, plan, points, polygons, square
 from tidemark.operators.contain import points_in_polygons
 from tidemark.operators.cover import cover, median_side, pieces, pieces_size
+from tidemark.operators.crowd import crowded_cells
 from tidemark.operators.pick import pick_one
 from tidemark.operators.zone_cells import zone_cells
 
@@ -165,6 +166,7 @@ def test_crowded_cell_is_cut_finer(spark):
     tiny[5000] = [square(-500, -500, 3000)]
     spots = [(x, y) for x in range(3, 1000, 50) for y in range(3, 1000, 40)]
     expected = {(i, f) for i, (x, y) in enumerate(spots) for f, r in tiny.items() if inside(x, y, r)}
+    assert [r[0] for r in crowded_cells(polygons(spark, tiny), 1000, 100).collect()] == [(2**30) * 2**31 + 2**30]
     for strategy in ("shuffle", "auto"):
         found = points_in_polygons(points(spark, spots), polygons(spark, tiny), 1000, strategy=strategy, crowd=100)
         rows = [(r.building_id, r.feature_id) for r in found.collect()]

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import flat_crossings, flat_edges
 from tidemark.operators.cover import attributes, pieces, pieces_size
-from tidemark.operators.crowd import CROWD, split_crowded
+from tidemark.operators.crowd import CROWD, crowded_cells, split_crowded
 from tidemark.operators.skew import HOT_ROWS, skew_join
 
 BROADCAST_BYTES = 128 << 20
 FLAT_EDGES = 4
+WORTH_LOOKING = 32
 HOWS = ("inner", "left", "semi", "anti")
 
 
@@ -40,9 +41,9 @@ def points_in_polygons(
     ``strategy`` is ``broadcast`` (points are not shuffled), ``shuffle``
     (points are shuffled by cell, hot cells cut into parts) or ``auto``, which
     bounds the size of the cut polygons in one pass and broadcasts them up to
-    ``broadcast_bytes``.  Cells with more than ``crowd`` edge pieces are cut
+    ``broadcast_bytes``.  Cells with more than ``crowd`` edges are cut
     finer, see ``split_crowded``; for a broadcast they are looked for only if
-    there are enough polygons for it to matter.  The result has the point columns, and for ``inner``
+    there are enough edges for it to matter.  The result has the point columns, and for ``inner``
     and ``left`` the feature id and attributes, whose names must be free.
     ``on`` is a further SQL condition on point and attribute columns.
     """
@@ -68,12 +69,12 @@ def points_in_polygons(
 
     look = strategy == "shuffle"
     if strategy == "auto":
-        rows, size_bytes = pieces_size(polygons, size, feature)
+        edges, size_bytes = pieces_size(polygons, size, feature)
         strategy = "broadcast" if size_bytes <= broadcast_bytes else "shuffle"
-        look = strategy == "shuffle" or rows > 10 * crowd
+        look = strategy == "shuffle" or edges > WORTH_LOOKING * crowd
     keys = ["cell_id"]
     if look:
-        placed, cut = split_crowded(placed, cut, size, crowd, x, y)
+        placed, cut = split_crowded(placed, cut, crowded_cells(polygons, size, crowd, feature), size, x, y)
         keys.append("_square")
     cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
     kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)

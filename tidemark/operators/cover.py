@@ -93,6 +93,12 @@ def _strips(polygons: DataFrame, size: int, feature: str) -> DataFrame:
     )
 
 
+def edge_cells(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataFrame:
+    """One row per edge and cell it touches, only the cell: for counting."""
+    touched = _strips(polygons, size, feature).selectExpr("_row", "explode_outer(sequence(_left, _right)) as _col")
+    return touched.selectExpr(f"{pack('_col', '_row')} as cell_id")
+
+
 def outline_cells(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataFrame:
     """Edge cells, each with the run of full cells that follows on its left.
 
@@ -168,7 +174,7 @@ def median_side(polygons: DataFrame) -> int:
 
 
 def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") -> tuple[int, int]:
-    """Number of polygon rows, and a bound on the bytes of their pieces.
+    """Number of edges, and a bound on the bytes of the pieces, in one pass.
 
     An edge touches no more cells than its own bounding box has, nor more than
     a walk along it meets; full cells are bounded by the polygon's box.
@@ -176,11 +182,11 @@ def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") ->
     after = "concat(slice(verts, 2, size(verts) - 1), slice(verts, 1, 1))"
     cols, rows = (f"abs({axis(f'w.{a}', size)} - {axis(f'v.{a}', size)})" for a in ("x", "y"))
     touched = f"least(({cols} + 1) * ({rows} + 1), {cols} + 3 * {rows} + 3) + {cols} + 1"
-    edges = f"aggregate(zip_with(verts, {after}, (v, w) -> cast({touched} as double)), 0D, (s, n) -> s + n)"
+    touches = f"aggregate(zip_with(verts, {after}, (v, w) -> cast({touched} as double)), 0D, (s, n) -> s + n)"
     width = row_bytes(polygons, attributes(polygons, feature))
     cells = (
         f"cast({axis('x1', size)} - {axis('x0', size)} + 1 as double) * ({axis('y1', size)} - {axis('y0', size)} + 1)"
     )
-    bound = f"coalesce({edges}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + {width})"
-    rows, total = polygons.where("size(verts) >= 3").selectExpr("count(1)", f"sum({bound})").first()
-    return rows, int(total or 0)
+    bound = f"coalesce({touches}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + {width})"
+    edges, total = polygons.where("size(verts) >= 3").selectExpr("sum(size(verts))", f"sum({bound})").first()
+    return edges or 0, int(total or 0)

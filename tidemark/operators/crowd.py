@@ -1,8 +1,8 @@
-"""Finer cells where many polygons crowd into one.
+"""Finer cells where many edges crowd into one.
 
 A single cell side cannot suit a table in which a large part of the polygons
-is tiny and sits in one place: every point there would be tested against all
-of them.  Such cells are cut into 8 x 8 squares, for points and pieces alike.
+is tiny and sits in one place, or has all its vertices there: every point of
+the cell would be tested against all of them.  Such cells are cut into 8 x 8 squares, for points and pieces alike.
 A piece goes only to the squares it reaches, with the edges that matter there.
 """
 
@@ -12,23 +12,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import unpack
+from tidemark.operators.cover import edge_cells
 from tidemark.operators.skew import MOST_HOT_KEYS
 
 CROWD = 4096
 PER_SIDE = 8
 
 
-def crowded_cells(cut: DataFrame, crowd: int) -> DataFrame:
-    """The cells with most edge pieces above ``crowd``; a bounded number of them."""
-    counts = cut.where("not _full").groupBy("cell_id").agg(F.expr("count(1) as n")).where(f"n > {crowd}")
+def crowded_cells(polygons: DataFrame, size: int, crowd: int, feature: str = "feature_id") -> DataFrame:
+    """The cells with most edges above ``crowd``; a bounded number of them."""
+    edges = edge_cells(polygons, size, feature)
+    counts = edges.groupBy("cell_id").agg(F.expr("count(1) as n")).where(f"n > {crowd}")
     return counts.orderBy(F.desc("n")).limit(MOST_HOT_KEYS).selectExpr("cell_id as _crowded")
 
 
 def split_crowded(
-    placed: DataFrame, cut: DataFrame, size: int, crowd: int, x: str, y: str
+    placed: DataFrame, cut: DataFrame, crowded: DataFrame, size: int, x: str, y: str
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides the number ``_square`` of a square, or -1 in other cells."""
-    crowded = F.broadcast(crowded_cells(cut, crowd))
+    crowded = F.broadcast(crowded)
     col, row = unpack("cell_id")
     left, foot = f"({col} * {size})", f"({row} * {size})"
 
