@@ -45,3 +45,17 @@ def test_plans_have_no_cross_joins_or_python(spark):
     for name in ("zone_prevalence", "buildings_wide", "nearest_bfe", "zone_cells_sampled", "clean_buildings_rejected"):
         text = plan(contract.queries()[name](spark, SF))
         assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+
+
+def test_known_sizes(spark):
+    # Agreed row counts of the derived inputs.
+    expected = {"points_in_zones": 52, "buildings_outside_zones": 1448, "zone_prevalence_rollup": 86}
+    for name, rows in expected.items():
+        assert contract.queries()[name](spark, SF).count() == rows
+
+
+def test_groups_add_up(spark):
+    rows = contract.queries()["zone_prevalence"](spark, SF)
+    sums = rows.groupBy("panel_id", "total").sum("amount").where("total <> `sum(amount)`")
+    assert sums.count() == 0
+    assert rows.agg({"amount": "sum"}).first()[0] == 1500

@@ -14,14 +14,12 @@ def panel_versions(panels: DataFrame) -> DataFrame:
     """Panels with the day ``valid_to`` on which the next version takes over.
 
     Of two versions effective on one day the higher holds and the lower never
-    does.  A panel has few versions, so ranking them is cheap.
+    does.  The versions of a panel, of which there are few, are put in one
+    array, combined before the shuffle however many rows the panel has.
     """
-    versions = panels.select("panel_id", "version", "effective_date").distinct()
-    ends = versions.selectExpr(
-        "panel_id", "version",
-        "lead(effective_date) over (partition by panel_id order by effective_date, version) as valid_to",
-    )
-    return panels.join(ends, ["panel_id", "version"])
+    all_versions = panels.groupBy("panel_id").agg(F.expr("collect_set(struct(effective_date, version)) as _all"))
+    later = "array_min(filter(_all, v -> v > struct(effective_date, version))).effective_date as valid_to"
+    return panels.join(all_versions, "panel_id").selectExpr(*(f"`{c}`" for c in panels.columns), later)
 
 
 def panel_as_of(
@@ -35,8 +33,8 @@ def panel_as_of(
     """
     versions = panel_versions(panels)
     if isinstance(as_of, date):
-        day = F.lit(as_of)
-        current = versions.where((F.col("effective_date") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
+        day = f"date'{as_of.isoformat()}'"
+        current = versions.where(f"effective_date <= {day} and (valid_to is null or {day} < valid_to)")
         return points_in_polygons(points, current.drop("valid_to"), size, how, **options)
     holds = f"effective_date <= `{as_of}` and (valid_to is null or `{as_of}` < valid_to)"
     found = points_in_polygons(points, versions, size, how, on=holds, **options)

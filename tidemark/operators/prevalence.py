@@ -34,9 +34,8 @@ def prevalence(
         extra = ["level"]
         grouped = sums.rollup(*keys) if levels == "rollup" else sums.cube(*keys)
         sums = grouped.agg(F.expr("sum(amount) as amount"), F.expr("grouping_id() as level"))
-        whole = "sum(if(level % 2 = 1, amount, 0L))" if levels == "cube" else "max(if(level % 2 = 1, amount, null))"
         group = ", ".join([*by, "level div 2"])
-        total = f"{whole} over (partition by {group})"
+        total = f"max(if(level % 2 = 1, amount, null)) over (partition by {group})"
     else:
         raise ValueError("levels must be rollup or cube")
     share = "cast(if(total = 0, null, cast(amount as decimal(28, 0)) * 1000000 div total) as bigint)"

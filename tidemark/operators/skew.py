@@ -60,7 +60,8 @@ def skew_join(
     ``right`` for that key go to every part, so each left row still meets all
     of its partners and all join types from the left keep their meaning.
     ``condition`` is SQL over the columns of both sides, whose names must
-    differ apart from the keys.  ``hot`` may give the hot keys if they are known.
+    differ apart from the keys.  ``left`` is read once more to count its keys,
+    unless ``hot`` gives them.
     """
     spread = [f"`{f.name}`" for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     hot = F.broadcast(hot_keys(left, keys, hot_rows) if hot is None else hot)

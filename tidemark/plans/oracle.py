@@ -159,12 +159,12 @@ ORACLE: dict[str, str] = {
                 from g)
         select *, {SHARED} from t"""),
     "panel_on_date": sql("held bd", f"""
-        select b.building_id, p.panel_id, p.version, p.effective_date from bd b
+        select b.building_id, p.panel_id, p.version, cast(p.effective_date as varchar) as effective_date from bd b
         left join held p on {in_panel('b', 'p')} and p.effective_date <= date '2019-12-31'
              and (p.valid_to is null or p.valid_to > date '2019-12-31')"""),
     "panel_as_of_each": sql("held bd", f"""
         , asked as (select building_id, x, y, date '2005-01-01' + cast(building_id * 37 % 7000 as int) as asked_on from bd)
-        select b.building_id, b.asked_on, p.panel_id, p.version from asked b
+        select b.building_id, cast(b.asked_on as varchar) as asked_on, p.panel_id, p.version from asked b
         left join held p on {in_panel('b', 'p')} and p.effective_date <= b.asked_on
              and (p.valid_to is null or p.valid_to > b.asked_on)"""),
     "building_cells": sql("bd", f" select building_id, {cell('x', 'y', 10000)} as cell_id, {cell('x', 'y', 80000)} as parent_id from bd"),

@@ -98,13 +98,14 @@ def zone_prevalence_weighted_cube(spark: SparkSession, d: str) -> DataFrame:
 
 def panel_on_date(spark: SparkSession, d: str) -> DataFrame:
     found = _panel(_places(spark, d), spark, d, MIDWAY)
-    return found.select("building_id", "panel_id", "version", "effective_date")
+    return found.selectExpr("building_id", "panel_id", "version", "cast(effective_date as string) as effective_date")
 
 
 def panel_as_of_each(spark: SparkSession, d: str) -> DataFrame:
     asked = "date_add(date'2005-01-01', cast(building_id * 37 % 7000 as int)) as asked_on"
     points = _places(spark, d).selectExpr("*", asked)
-    return _panel(points, spark, d, "asked_on").select("building_id", "asked_on", "panel_id", "version")
+    found = _panel(points, spark, d, "asked_on")
+    return found.selectExpr("building_id", "cast(asked_on as string) as asked_on", "panel_id", "version")
 
 
 def building_cells(spark: SparkSession, d: str) -> DataFrame:
