@@ -39,6 +39,9 @@ def test_equals_brute_force(spark, strategy, k, radius):
     rows = [(r.building_id, r.near_rank, r.near_bfe_id, r.near_d2) for r in found.collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == brute(spots, targets, radius, k)
+    for grids in (1, 4):
+        other = nearest(points(spark, spots), elevations(spark, targets), radius, k, strategy=strategy, grids=grids)
+        assert sorted(map(str, other.collect())) == sorted(map(str, found.collect()))
 
 
 @pytest.mark.parametrize("strategy", ("broadcast", "shuffle"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.pick import pick_one
-from tidemark.operators.skew import HOT_ROWS, skew_join
+from tidemark.operators.skew import HOT_ROWS, hot_keys, skew_join
 
 
 def clean(
@@ -50,7 +50,8 @@ def clean(
     counted = usable.groupBy(*df.columns).agg(F.expr("count(1) as copies"))
     newest = kept.withColumnsRenamed({c: f"_new_{c}" for c in df.columns if c not in keys})
     is_newest = " and ".join(f"`{c}` <=> `_new_{c}`" for c in df.columns if c not in keys) or "true"
-    older = skew_join(counted, newest, keys, "inner", hot_rows=hot_rows).selectExpr(
+    hot = hot_keys(usable, keys, hot_rows)
+    older = skew_join(counted, newest, keys, "inner", hot=hot).selectExpr(
         *(f"`{c}`" for c in df.columns), "'superseded' as reason", f"copies - if({is_newest}, 1L, 0L) as copies"
     )
     faulty = judged.where("reason is not null").withColumn("copies", F.lit(1).cast("bigint"))

@@ -25,6 +25,7 @@ def nearest(
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    grids: int = GRIDS,
 ) -> DataFrame:
     """The ``k`` nearest targets within ``radius`` of each point, exactly.
 
@@ -35,11 +36,12 @@ def nearest(
     ``key`` must be unique in ``points`` and ``target_id`` in ``targets``.
 
     Points and targets meet on grid cells, with each target listed in the 3 x 3
-    cells around its own.  Which of three grids a point searches follows the
+    cells around its own.  Which of the ``grids`` grids a point searches follows the
     density of targets: where a small cell already has ``k`` of them, the
     nearest ``k`` are no further away than its diagonal, and the next wider
     grid is enough; elsewhere the widest is used, whose side is at least the
-    radius.  Of targets on one spot only the ``k`` lowest ids can ever count,
+    radius.  Each grid more makes the finest one eight times finer, for targets
+    that crowd together.  Of targets on one spot only the ``k`` lowest ids can ever count,
     so the others are left out at the start.
 
     ``broadcast`` keeps the points where they are and needs no shuffle at all;
@@ -49,12 +51,13 @@ def nearest(
     """
     check_size(radius)
     check_size(k)
+    check_size(grids)
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError("strategy must be auto, broadcast or shuffle")
-    finest = -(-radius // FINER ** (GRIDS - 1))
-    sides = [finest * FINER**i for i in range(GRIDS)]
+    finest = -(-radius // FINER ** (grids - 1))
+    sides = [finest * FINER**i for i in range(grids)]
     if strategy == "auto":
-        strategy = "broadcast" if fits(targets, broadcast_bytes // (9 * GRIDS)) else "shuffle"
+        strategy = "broadcast" if fits(targets, broadcast_bytes // (9 * grids)) else "shuffle"
 
     useful = targets.where("x is not null and y is not null")
     useful = top_rows(useful, ["x", "y"], [target_id], k)
@@ -71,7 +74,7 @@ def nearest(
 
     if strategy == "broadcast":
         graded = points
-        for i in range(GRIDS - 1):
+        for i in range(grids - 1):
             known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}"))
             graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}"), "left")
         cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
@@ -99,8 +102,8 @@ def nearest(
     spots = spots.groupBy("_fine").agg(F.expr("count(1) as _n"))
     col, row = unpack("_fine")
     graded = spots.selectExpr("_fine", f"{col} as _fx", f"{row} as _fy")
-    at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(GRIDS)]
-    for i in range(GRIDS - 1):
+    at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(grids)]
+    for i in range(grids - 1):
         graded = graded.join(_rich(targets, sides[i], k, f"_rich{i}"), F.expr(f"{at[i]} = _rich{i}"), "left")
     bounds = [min(reach, 2 * s * s) for s in sides[:-1]]
     graded = graded.selectExpr(
@@ -111,11 +114,9 @@ def nearest(
     gap_x, gap_y = (
         f"greatest(_f{a} * {finest} - _{a}, _{a} - _f{a} * {finest} - {finest - 1}, 0)" for a in ("x", "y")
     )
-    offers = (
-        graded.join(listed.hint("merge"), ["_side", "_cell"])
-        .where(f"{gap_x} * {gap_x} + {gap_y} * {gap_y} <= _bound")
-        .select("_fine", "_t", "_x", "_y")
-    )
+    in_bound = f"{gap_x} * {gap_x} + {gap_y} * {gap_y} <= _bound"
+    offers = skew_join(listed, graded, ["_side", "_cell"], "inner", in_bound, hot_rows)
+    offers = offers.select("_fine", "_t", "_x", "_y")
     placed = points.selectExpr("*", f"{cell_of('x', 'y', finest)} as _fine")
     pairs = skew_join(placed, offers, ["_fine"], "left", f"{d2} <= {reach}", hot_rows, hottest(spots, ["_fine"], hot_rows))
     pairs = pairs.selectExpr(*_each(points), "_t", f"{d2} as {prefix}d2")
@@ -148,4 +149,6 @@ def _rich(targets: DataFrame, side: int, k: int, name: str) -> DataFrame:
 def _choose(values: list) -> str:
     """The value for the finest grid whose cell is rich, or else the last one."""
     *graded, other = values
+    if not graded:
+        return str(other)
     return "case " + " ".join(f"when _rich{i} is not null then {v}" for i, v in enumerate(graded)) + f" else {other} end"
