@@ -247,3 +247,5 @@ ORACLE: dict[str, str] = {
         union all select 'elevation', 'dependent', '1.0', (select count(*) from supplier)""",
 }
 ORACLE["buildings_wide_joined"] = ORACLE["buildings_wide"]
+# Each cell has fewer values than the sketch keeps, so its median is a value.
+ORACLE["first_floor_cells_approximate"] = ORACLE["first_floor_cells"].replace("quantile_cont", "quantile_disc")

@@ -137,6 +137,11 @@ def first_floor_cells(spark: SparkSession, d: str) -> DataFrame:
     return cell_summary(with_cell(inputs.buildings(spark, d), size=100_000), "cell_id", "first_floor_mm")
 
 
+def first_floor_cells_approximate(spark: SparkSession, d: str) -> DataFrame:
+    rows = with_cell(inputs.buildings(spark, d), size=100_000)
+    return cell_summary(rows, "cell_id", "first_floor_mm", approximate=True)
+
+
 def nearest_bfe(spark: SparkSession, d: str) -> DataFrame:
     found = nearest(_places(spark, d), inputs.elevations(spark, d), RADIUS)
     return found.select("building_id", "near_bfe_id", "near_bfe_mm", "near_datum", "near_d2")
@@ -287,7 +292,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         points_in_zones, points_in_zones_or_none, buildings_in_zones, buildings_outside_zones, zone_of_building,
         zone_prevalence, zone_prevalence_rollup, zone_prevalence_weighted_cube, panel_on_date, panel_as_of_each,
         building_cells, zone_cover, zone_cells_sampled, zone_cell_centres, coverage_cells, bfe_cells,
-        first_floor_cells, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
+        first_floor_cells, first_floor_cells_approximate, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
         clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
         published_layer, published_layers,
     )
