@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to ``spark.checkpoint.dir``.
+    """The rows, computed once, written as Parquet under ``spark.checkpoint.dir`` and read again.
 
     Lost executors cost nothing that was saved.  The folder is the session's;
-    a temporary one is set only where there is none, as in tests.
+    a temporary one is made only where there is none, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{shared or tempfile.mkdtemp(prefix='spark-')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

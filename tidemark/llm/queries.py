@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, pii, sharding, sketch, urls
+from . import chat, decontaminate, near_dup, pii, sharding, sketch, urls
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -113,6 +113,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 of 100 five-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op3_decontaminate, op5_sharding, op6_urls, op7_fingerprints, op9_chat)
+    f.__name__: f for f in (op1_pii, op3_decontaminate, op5_sharding, op6_urls, op7_fingerprints, op9_chat, op10_near_dup)
 }
