@@ -92,8 +92,11 @@ def hits(
     )
     return (
         with_words.join(places, "_text")
-        .selectExpr("_text", "_w", f"explode({around}) as _at")
-        .selectExpr("_text", "_at", "array_join(slice(_w, _at.s + 1, _at.e - _at.s), ' ') as _window")
+        .selectExpr("_text", "_w", f"{around} as _spans")
+        .selectExpr(
+            "_text",
+            "inline(transform(_spans, x -> struct(x as _at, array_join(slice(_w, x.s + 1, x.e - x.s), ' ') as _window)))",
+        )
         .join(item_windows(items, item_id, item_text, span), "_window")
         .groupBy("_text")
         .agg(

@@ -1,10 +1,12 @@
-"""Cutting lineage in the folder that all executors share."""
+"""What jobs share: cutting lineage in the shared folder, and sending functions to executors."""
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 
@@ -19,3 +21,8 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared or tempfile.mkdtemp(prefix='spark-')}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(module: str) -> None:
+    """Send the module's functions to executors with each task, so they need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

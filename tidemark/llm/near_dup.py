@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .job import saved
+from .job import saved, ship
 from .text import shingles, words
 
+ship(__name__)
+
 REGISTERS, MANTISSA, ROWS = 128, 10, 5
 BANDS = REGISTERS // ROWS
 EMPTY = 0xFFFF

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, pii, sharding, sketch, urls
+from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, urls
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -118,6 +118,23 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior, score and verdict for each document."""
+    found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "votes", "posterior", "score", "good")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tokens in windows of 2048."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op3_decontaminate, op5_sharding, op6_urls, op7_fingerprints, op9_chat, op10_near_dup)
+    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup)
 }
