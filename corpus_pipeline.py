@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, near_dup, pii
+from tidemark.llm import decontaminate, near_dup, packing, pii, quality
 from tidemark.llm.job import saved
+from tidemark.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly taught scorer finds good stay."""
+    return quality.kept(docs).select(*COLUMNS)
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
     found = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
@@ -22,9 +29,24 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return decontaminate.contamination(docs, items).where("not contaminated").select(*COLUMNS)
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with its personal data masked and counted anew."""
+    found = pii.find(docs, keep_text=True)
+    masked = found.withColumn("text", F.expr(pii.masked("text", "concat(base, added)")))
+    return masked.withColumn("n_chars", F.expr("cast(length(text) as bigint)")).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as pieces of windows of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file())
+
+
 STAGES = [
+    ("quality", good_texts),
     ("near_duplicates", distinct_texts),
     ("decontamination", uncontaminated),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
 ]
 
 

@@ -136,16 +136,16 @@ def bootstrap(
     )
 
 
-def find(df: DataFrame, text: str = "text", **how) -> DataFrame:
+def find(df: DataFrame, text: str = "text", keep_text: bool = False, **how) -> DataFrame:
     """Add ``base`` and ``added`` to every row: spans (kind, s, e) in code points, end exclusive.
 
     ``base`` holds the leftmost non-overlapping matches of each kind that pass
     its test; ``added`` the words that bootstrapping found, never overlapping a
     base span.  A null text has no spans.  Each row keeps its own, repeated
-    rows and repeated keys too.  ``df`` is scanned once: its columns and the
-    spans, which should not include the text itself, are saved.
+    rows and repeated keys too.  ``df`` is scanned once, and the columns and spans
+    are saved; the text is among them only with ``keep_text``.
     """
-    kept = [c for c in df.columns if c not in (text, "base", "added")]
+    kept = [c for c in df.columns if c not in ("base", "added") and (keep_text or c != text)]
     rows = saved(scanned(df, text).select(*kept, "base", "cands").selectExpr("*", "monotonically_increasing_id() as _row"))
     left = left_word("x.ctx")
     base = rows.selectExpr("inline(base)").selectExpr("kind", f"{left_word('ctx')} as left", "m")

@@ -57,7 +57,7 @@ def measured(df: DataFrame, text: str) -> DataFrame:
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, np.ndarray]:
-    """Share of good texts and each labeller's chance of each vote, by expectation-maximisation.
+    """Share of good texts and each labeller's chance of each vote if it votes, by expectation-maximisation.
 
     ``patterns`` are distinct vote tuples and counts, at most three to the
     number of labellers whatever the corpus.  The chances have the shape
@@ -73,7 +73,8 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> t
         by_class = np.stack([1 - good, good]) * counts
         prior = (by_class[1].sum() + 1) / (counts.sum() + 2)
         chances = np.einsum("cp,plv->lcv", by_class, seen) + 0.5
-        chances /= chances.sum(axis=2, keepdims=True)
+        chances /= chances[:, :, [0, 2]].sum(axis=2, keepdims=True)
+        chances[:, :, 1] = 1  # no vote says nothing
         good = posterior(votes - 1, prior, chances)
     return float(prior), chances
 
@@ -162,3 +163,13 @@ def judged(df: DataFrame, text: str = "text", threshold: float = 0.5, most_train
         .selectExpr(*names, "votes", f"{teacher} as posterior", f"if(size(shapes) = 0, 0D, {scorer}) as score")
         .selectExpr("*", f"score > 0 and score >= {threshold} as good")
     )
+
+
+def kept(df: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``df`` whose text is good.
+
+    A plain filter would be pushed below the words and shapes and repeat them
+    for each word, so the rows are listed by a generator instead.
+    """
+    columns = ", ".join(f"`{c}`" for c in df.columns)
+    return judged(df, text, **how).selectExpr(f"inline(if(good, array(struct({columns})), null))")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, urls
+from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, suffix, urls
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -135,6 +135,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 200 bytes that occur more than once."""
+    return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup)
+    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup)
 }
