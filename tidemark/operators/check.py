@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORM = "rule string, columns string, violations bigint, sample string"
@@ -17,7 +17,7 @@ class Rule:
     kind: str
     columns: tuple[str, ...]
     type: str | None = None
-    bad: str | None = None
+    bad: Column | None = field(default=None, compare=False)
     other: DataFrame | None = field(default=None, compare=False)
     other_columns: tuple[str, ...] = ()
 
@@ -28,19 +28,22 @@ def required(column: str, type: str) -> Rule:
 
 
 def not_null(column: str) -> Rule:
-    return Rule("not_null", (column,), bad=f"`{column}` is null")
+    return Rule("not_null", (column,), bad=F.col(f"`{column}`").isNull())
 
 
-def in_range(column: str, low: float | None = None, high: float | None = None) -> Rule:
-    """Values from ``low`` to ``high``, both included; nulls pass."""
-    tests = [f"`{column}` < {low}"] * (low is not None) + [f"`{column}` > {high}"] * (high is not None)
-    return Rule("range", (column,), bad=" or ".join(tests) or "false")
+def in_range(column: str, low: object = None, high: object = None) -> Rule:
+    """Values, such as numbers or dates, from ``low`` to ``high``, both included; nulls pass."""
+    value, bad = F.col(f"`{column}`"), F.lit(False)
+    if low is not None:
+        bad = bad | (value < F.lit(low))
+    if high is not None:
+        bad = bad | (value > F.lit(high))
+    return Rule("range", (column,), bad=bad)
 
 
 def allowed(column: str, values: list) -> Rule:
     """Values from a short list; nulls pass."""
-    listed = ", ".join(str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "\\'") + "'" for v in values)
-    return Rule("allowed", (column,), bad=f"`{column}` not in ({listed})")
+    return Rule("allowed", (column,), bad=~F.col(f"`{column}`").isin(*values))
 
 
 def unique(*columns: str) -> Rule:
@@ -78,8 +81,8 @@ def check(df: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     rowwise = [r for r in usable if r.bad is not None]
     if rowwise:
         counts = df.agg(
-            *(F.expr(f"count_if({r.bad}) as n{i}") for i, r in enumerate(rowwise)),
-            *(F.expr(f"cast(min(if({r.bad}, `{key}`, null)) as string) as s{i}") for i, r in enumerate(rowwise)),
+            *(F.count_if(r.bad).alias(f"n{i}") for i, r in enumerate(rowwise)),
+            *(F.min(F.when(r.bad, F.col(f"`{key}`"))).cast("string").alias(f"s{i}") for i, r in enumerate(rowwise)),
         )
         rows = ", ".join(f"'{r.kind}', '{r.columns[0]}', n{i}, s{i}" for i, r in enumerate(rowwise))
         found.append(counts.selectExpr(f"stack({len(rowwise)}, {rows}) as (rule, columns, violations, sample)"))

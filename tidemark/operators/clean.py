@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.pick import pick_one
-from tidemark.operators.skew import HOT_ROWS, hot_keys, skew_join
+from tidemark.operators.skew import HOT_ROWS, has_map, hot_keys, skew_join
 
 
 def clean(
@@ -43,13 +43,19 @@ def clean(
     judged = df.withColumn("reason", F.expr(reason))
 
     usable = judged.where("reason is null").drop("reason")
+    # Maps cannot be compared; their entries in order can, as text.
+    maps = [f.name for f in df.schema.fields if has_map(f.dataType)]
+    value = {c: f"to_json(struct(`{c}`), map('sortKeys', 'true'))" if c in maps else f"`{c}`" for c in df.columns}
     ties = [c for c in df.columns if c not in keys and c not in order]
-    ranked = [F.col(c).desc_nulls_last() for c in [*order, *ties]]
+    ranked = [F.expr(value[c]).desc_nulls_last() for c in [*order, *ties]]
     kept = pick_one(usable, keys, ranked)
 
-    counted = usable.groupBy(*df.columns).agg(F.expr("count(1) as copies"))
+    told = [F.expr(value[c]).alias(f"_json_{c}" if c in maps else c) for c in df.columns]
+    counted = usable.groupBy(*told).agg(F.expr("count(1) as copies"), *(F.first(c).alias(c) for c in maps))
+    counted = counted.select(*df.columns, "copies")
     newest = kept.withColumnsRenamed({c: f"_new_{c}" for c in df.columns if c not in keys})
-    is_newest = " and ".join(f"`{c}` <=> `_new_{c}`" for c in df.columns if c not in keys) or "true"
+    same = (f"{value[c]} <=> {value[c].replace(f'`{c}`', f'`_new_{c}` as `{c}`' if c in maps else f'`_new_{c}`')}" for c in df.columns if c not in keys)
+    is_newest = " and ".join(same) or "true"
     hot = hot_keys(usable, keys, hot_rows)
     older = skew_join(counted, newest, keys, "inner", hot=hot).selectExpr(
         *(f"`{c}`" for c in df.columns), "'superseded' as reason", f"copies - if({is_newest}, 1L, 0L) as copies"

@@ -9,7 +9,7 @@ from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import flat_crossings, flat_edges
 from tidemark.operators.cover import attributes, pieces, pieces_size
 from tidemark.operators.crowd import CROWD, crowded_cells, split_crowded
-from tidemark.operators.skew import HOT_ROWS, skew_join
+from tidemark.operators.skew import HOT_ROWS, fits, skew_join
 
 BROADCAST_BYTES = 128 << 20
 FLAT_EDGES = 4
@@ -41,7 +41,7 @@ def points_in_polygons(
     ``strategy`` is ``broadcast`` (points are not shuffled), ``shuffle``
     (points are shuffled by cell, hot cells cut into parts) or ``auto``, which
     bounds the size of the cut polygons in one pass and broadcasts them up to
-    ``broadcast_bytes``.  Cells with more than ``crowd`` edges are cut
+    ``broadcast_bytes``, measured again once crowded cells are cut.  Cells with more than ``crowd`` edges are cut
     finer, see ``split_crowded``; for a broadcast they are looked for only if
     there are enough edges for it to matter.  The result has the point columns, and for ``inner``
     and ``left`` the feature id and attributes, whose names must be free.
@@ -67,8 +67,8 @@ def points_in_polygons(
     if on is not None:
         inside = f"({on}) and {inside}"
 
-    look = strategy == "shuffle"
-    if strategy == "auto":
+    look, auto = strategy == "shuffle", strategy == "auto"
+    if auto:
         edges, size_bytes = pieces_size(polygons, size, feature)
         strategy = "broadcast" if size_bytes <= broadcast_bytes else "shuffle"
         look = strategy == "shuffle" or edges > WORTH_LOOKING * crowd
@@ -76,6 +76,9 @@ def points_in_polygons(
     if look:
         placed, cut = split_crowded(placed, cut, crowded_cells(polygons, size, crowd, feature), size, x, y)
         keys.append("_square")
+        # Squares copy pieces, so the bound taken before no longer holds.
+        if auto and strategy == "broadcast" and not fits(cut, broadcast_bytes):
+            strategy = "shuffle"
     cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
     kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
     if strategy == "broadcast":

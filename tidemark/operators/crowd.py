@@ -13,24 +13,24 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import unpack
 from tidemark.operators.cover import edge_cells
-from tidemark.operators.skew import MOST_HOT_KEYS
+from tidemark.operators.skew import listed
 
 CROWD = 4096
 PER_SIDE = 8
 
 
 def crowded_cells(polygons: DataFrame, size: int, crowd: int, feature: str = "feature_id") -> DataFrame:
-    """The cells with most edges above ``crowd``; a bounded number of them."""
+    """All cells with more than ``crowd`` edges."""
     edges = edge_cells(polygons, size, feature)
     counts = edges.groupBy("cell_id").agg(F.expr("count(1) as n")).where(f"n > {crowd}")
-    return counts.orderBy(F.desc("n")).limit(MOST_HOT_KEYS).selectExpr("cell_id as _crowded")
+    return counts.selectExpr("cell_id as _crowded")
 
 
 def split_crowded(
     placed: DataFrame, cut: DataFrame, crowded: DataFrame, size: int, x: str, y: str
 ) -> tuple[DataFrame, DataFrame]:
     """Give both sides the number ``_square`` of a square, or -1 in other cells."""
-    crowded = F.broadcast(crowded)
+    crowded = listed(crowded)
     col, row = unpack("cell_id")
     left, foot = f"({col} * {size})", f"({row} * {size})"
 

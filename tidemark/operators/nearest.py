@@ -33,7 +33,9 @@ def nearest(
     distances go to the lower target id.  Target columns come back with
     ``prefix``, next to ``<prefix>d2``, the squared distance, and
     ``<prefix>rank``.  A point without a target in reach is kept with nulls.
-    ``key`` must be unique in ``points`` and ``target_id`` in ``targets``.
+    ``target_id`` must be unique in ``targets``.  Every row of ``points`` is
+    answered by its own place, so keys may repeat or be null; ``key`` only
+    names what a row is about and does not change the result.
 
     Points and targets meet on grid cells, with each target listed in the 3 x 3
     cells around its own.  Which of the ``grids`` grids a point searches follows the
@@ -45,8 +47,9 @@ def nearest(
     so the others are left out at the start.
 
     ``broadcast`` keeps the points where they are and needs no shuffle at all;
-    ``shuffle`` sends each point once, to its finest cell, where the targets
-    that may count for that cell wait, with hot cells cut into parts; ``auto``
+    ``shuffle`` sends each distinct place once, to its finest cell, where the
+    targets that may count for that cell wait, and the answers back to the
+    points, with hot cells and places cut into parts; ``auto``
     measures the targets and broadcasts up to ``broadcast_bytes``.
     """
     check_size(radius)
@@ -84,21 +87,26 @@ def nearest(
         )
         found = graded.join(F.broadcast(grouped), F.expr("_own_side = _side and _own_cell = _cell"), "left")
         far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
+        # Only distance, id and place in the list are compared; the rest may be of any type.
         hits = (
-            f"transform(filter(_near, n -> {far} <= {reach}),"
-            f" n -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 't', n.t))"
+            f"filter(transform(_near, (n, i) -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 'i', i)), "
+            f"h -> h.d2 <= {reach})"
         )
         best = f"array(array_min({hits}))" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
         return (
-            found.selectExpr(*_each(points), f"{best} as _best")
-            .selectExpr(*_each(points), "posexplode_outer(_best) as (_pos, _hit)")
+            found.selectExpr(*_each(points), "_near", f"{best} as _best")
             .selectExpr(
-                *_each(points), "_hit.t.*", f"_hit.d2 as {prefix}d2", f"if(_hit is null, null, _pos + 1) as {prefix}rank"
+                *_each(points),
+                "posexplode_outer(transform(_best, h -> named_struct('d2', h.d2, 't', _near[h.i].t))) as (_pos, _hit)",
+            )
+            .selectExpr(
+                *_each(points), "_hit.t.*", f"_hit.d2 as {prefix}d2", f"if(_hit.d2 is null, null, _pos + 1) as {prefix}rank"
             )
         )
 
     # What may count for a cell is settled once per cell that has points.
-    spots = points.selectExpr(f"{cell_of('x', 'y', finest)} as _fine").where("_fine is not null")
+    places = points.select("x", "y").where("x is not null and y is not null").distinct()
+    spots = places.selectExpr(f"{cell_of('x', 'y', finest)} as _fine")
     spots = spots.groupBy("_fine").agg(F.expr("count(1) as _n"))
     col, row = unpack("_fine")
     graded = spots.selectExpr("_fine", f"{col} as _fx", f"{row} as _fy")
@@ -117,14 +125,13 @@ def nearest(
     in_bound = f"{gap_x} * {gap_x} + {gap_y} * {gap_y} <= _bound"
     offers = skew_join(listed, graded, ["_side", "_cell"], "inner", in_bound, hot_rows)
     offers = offers.select("_fine", "_t", "_x", "_y")
-    placed = points.selectExpr("*", f"{cell_of('x', 'y', finest)} as _fine")
-    pairs = skew_join(placed, offers, ["_fine"], "left", f"{d2} <= {reach}", hot_rows, hottest(spots, ["_fine"], hot_rows))
-    pairs = pairs.selectExpr(*_each(points), "_t", f"{d2} as {prefix}d2")
+    placed = places.selectExpr("x", "y", f"{cell_of('x', 'y', finest)} as _fine")
+    pairs = skew_join(placed, offers, ["_fine"], "inner", f"{d2} <= {reach}", hot_rows, hottest(spots, ["_fine"], hot_rows))
+    pairs = pairs.selectExpr("x", "y", "_t", f"{d2} as {prefix}d2")
     rank = [f"{prefix}d2", f"_t.{prefix}{target_id}"]
-    best = top_rows(pairs, [key], rank, k, f"{prefix}rank")
-    return best.selectExpr(
-        *_each(points), "_t.*", f"{prefix}d2", f"if(_t is null, null, {prefix}rank) as {prefix}rank"
-    )
+    best = top_rows(pairs, ["x", "y"], rank, k, f"{prefix}rank")
+    found = skew_join(points, best, ["x", "y"], "left", hot_rows=hot_rows)
+    return found.selectExpr(*_each(points), "_t.*", f"{prefix}d2", f"{prefix}rank")
 
 
 def _each(df: DataFrame) -> list[str]:

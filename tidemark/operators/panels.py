@@ -15,11 +15,12 @@ def panel_versions(panels: DataFrame) -> DataFrame:
 
     Of two versions effective on one day the higher holds and the lower never
     does.  The versions of a panel, of which there are few, are put in one
-    array, combined before the shuffle however many rows the panel has.
+    array, combined before the shuffle however many rows the panel has.  Rows
+    without a ``panel_id`` are versions of nothing and stay valid.
     """
     all_versions = panels.groupBy("panel_id").agg(F.expr("collect_set(struct(effective_date, version)) as _all"))
     later = "array_min(filter(_all, v -> v > struct(effective_date, version))).effective_date as valid_to"
-    return panels.join(all_versions, "panel_id").selectExpr(*(f"`{c}`" for c in panels.columns), later)
+    return panels.join(all_versions, "panel_id", "left").selectExpr(*(f"`{c}`" for c in panels.columns), later)
 
 
 def panel_as_of(

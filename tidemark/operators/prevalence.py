@@ -17,6 +17,8 @@ def prevalence(
 
     ``amount`` is the number of rows, or the sum of ``weight``; ``share_ppm``
     is its whole parts per million of ``total``, null where the total is zero.
+    Whole-number and decimal weights are summed and divided exactly, with their
+    scale; for floating-point weights the quotient is rounded down.
     ``levels`` may be ``rollup`` or ``cube`` to add subtotals over ``by`` and
     ``category``; ``level`` is then Spark's ``grouping_id``, and the total is
     that of the same values of ``by`` with all categories.
@@ -24,7 +26,7 @@ def prevalence(
     Rows are summed to (group, category) first.  Subtotals expand those sums,
     not the input, and totals are taken over them, too.
     """
-    amount = "count(1)" if weight is None else f"coalesce(sum({weight}), 0L)"
+    amount = "count(1)" if weight is None else f"coalesce(sum({weight}), 0)"
     keys = [*by, category]
     sums = df.groupBy(*keys).agg(F.expr(f"{amount} as amount"))
     if levels is None:
@@ -38,5 +40,11 @@ def prevalence(
         total = f"max(if(level % 2 = 1, amount, null)) over (partition by {group})"
     else:
         raise ValueError("levels must be rollup or cube")
-    share = "cast(if(total = 0, null, cast(amount as decimal(28, 0)) * 1000000 div total) as bigint)"
+    kind = sums.schema["amount"].dataType.typeName()
+    if kind in ("float", "double"):
+        parts = "floor(amount * 1000000D / total)"
+    else:
+        exact = "amount" if kind == "decimal" else "cast(amount as decimal(28, 0))"
+        parts = f"{exact} * cast(1000000 as decimal(7, 0)) div total"
+    share = f"cast(if(total = 0, null, {parts}) as bigint)"
     return sums.selectExpr(*keys, *extra, "amount", f"{total} as total").selectExpr("*", f"{share} as share_ppm")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1024
+# A hot key and its number of parts take some 30 bytes.
+MOST_BROADCAST_KEYS = 1_000_000
+NULL_PARTS = 4096
 
 
 def row_bytes(df: DataFrame, columns: list[str] | None = None) -> str:
@@ -29,20 +32,31 @@ def fits(df: DataFrame, limit: int) -> bool:
     return (df.selectExpr(f"sum(cast({row_bytes(df)} as double))").first()[0] or 0) <= limit
 
 
+def has_map(kind: T.DataType) -> bool:
+    """Is there a map or variant anywhere in the type, so that values cannot be compared?"""
+    if isinstance(kind, T.StructType):
+        return any(has_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return has_map(kind.elementType)
+    return kind.typeName() in ("map", "variant")
+
+
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with most rows and the number of parts to cut each into.
+    """Every key with more than ``hot_rows`` rows and the number of parts to cut it into.
 
-    At most ``MOST_HOT_KEYS`` rows, whatever the data, so it can be broadcast.
-    A key beyond those holds less than one row in ``MOST_HOT_KEYS`` of the
-    table and stays whole.  Counts are combined before they are shuffled.
+    Counts are combined before they are shuffled.
     """
     return hottest(df.where(_present(keys)).groupBy(*keys).agg(F.expr("count(1) as _n")), keys, hot_rows)
 
 
 def hottest(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The same from counts ``_n`` by key that are there already."""
-    top = counts.where(f"_n > {hot_rows}").orderBy(F.desc("_n")).limit(MOST_HOT_KEYS)
-    return top.selectExpr(*keys, f"cast(ceil(_n / {hot_rows}) as int) as _parts")
+    return counts.where(f"_n > {hot_rows}").selectExpr(*keys, f"cast(ceil(_n / {hot_rows}) as int) as _parts")
+
+
+def listed(keys: DataFrame, most: int = MOST_BROADCAST_KEYS) -> DataFrame:
+    """A list of keys marked for broadcast if it has at most ``most`` rows, which are counted."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
 def skew_join(
@@ -58,16 +72,21 @@ def skew_join(
 
     A row of a hot key goes to a part by the hash of its values; the rows of
     ``right`` for that key go to every part, so each left row still meets all
-    of its partners and all join types from the left keep their meaning.
+    of its partners and all join types from the left keep their meaning.  Left
+    rows with a null key meet nothing and are spread over many parts.
     ``condition`` is SQL over the columns of both sides, whose names must
     differ apart from the keys.  ``left`` is read once more to count its keys,
-    unless ``hot`` gives them.
+    unless ``hot`` gives them; the list of hot keys is broadcast up to a
+    counted size, and joined otherwise.
     """
-    spread = [f"`{f.name}`" for f in left.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    hot = F.broadcast(hot_keys(left, keys, hot_rows) if hot is None else hot)
+    spread = ", ".join(f"`{f.name}`" for f in left.schema.fields if not has_map(f.dataType))
+    hot = listed(hot_keys(left, keys, hot_rows) if hot is None else hot)
+    part = (
+        f"case when not ({_present(keys)}) then pmod(xxhash64({spread}), {NULL_PARTS}) "
+        f"when _parts > 1 then pmod(xxhash64({spread}), _parts) else 0 end"
+    )
     cut = left.join(hot, keys, "left").selectExpr(
-        *(f"`{c}`" for c in left.columns),
-        f"cast(if(_parts > 1, pmod(xxhash64({', '.join(spread)}), _parts), 0) as int) as _sent_to",
+        *(f"`{c}`" for c in left.columns), f"cast({part} as int) as _sent_to",
     )
     copied = (
         right.where(_present(keys))

@@ -55,30 +55,36 @@ def coverage(df: DataFrame, size: int, x: str = "x", y: str = "y") -> DataFrame:
     )
 
 
-def cell_summary(df: DataFrame, cell: str, value: str, approximate: bool = False) -> DataFrame:
+def cell_summary(
+    df: DataFrame, cell: str, value: str, approximate: bool = False, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Count, least, greatest, mean and median of ``value`` in each cell.
 
+    ``by`` names further columns to keep apart, such as the datum of heights,
+    which must not be compared across datums.
     Nulls are left out.  The exact median counts equal values first, so what
     is ranked within a cell is its distinct values, and that ranking can spill
     to disk.  ``approximate`` takes ``percentile_approx`` instead: one grouping
     and a bounded sketch per cell.
     """
-    rows = df.selectExpr(f"{cell} as cell_id", f"{value} as v").where("cell_id is not null and v is not null")
+    keys = ["cell_id", *by]
+    rows = df.selectExpr(f"{cell} as cell_id", f"{value} as v", *(f"`{c}`" for c in by))
+    rows = rows.where("cell_id is not null and v is not null")
     totals = ["sum(n) as n_values", "min(v) as min_value", "max(v) as max_value",
               "sum(v * n) / sum(n) as mean_value"]
     if approximate:
-        return rows.selectExpr("*", "1L as n").groupBy("cell_id").agg(
+        return rows.selectExpr("*", "1L as n").groupBy(*keys).agg(
             *(F.expr(t) for t in totals), F.expr("cast(percentile_approx(v, 0.5, 10000) as double) as median_value")
         )
-    counts = rows.groupBy("cell_id", "v").agg(F.expr("count(1) as n"))
+    counts = rows.groupBy(*keys, "v").agg(F.expr("count(1) as n"))
     ranked = counts.selectExpr(
-        "cell_id", "v", "n",
-        "sum(n) over (partition by cell_id order by v rows between unbounded preceding and current row) as upto",
-        "sum(n) over (partition by cell_id) as total",
+        *keys, "v", "n",
+        f"sum(n) over (partition by {', '.join(keys)} order by v rows between unbounded preceding and current row) as upto",
+        f"sum(n) over (partition by {', '.join(keys)}) as total",
     )
     middle = [
         f"min(if(upto >= {place}, v, null))" for place in ("(total + 1) div 2", "total div 2 + 1")
     ]
-    return ranked.groupBy("cell_id").agg(
+    return ranked.groupBy(*keys).agg(
         *(F.expr(t) for t in totals), F.expr(f"({middle[0]} + {middle[1]}) / 2 as median_value")
     )

@@ -123,9 +123,9 @@ def sampled(step: int) -> str:
 
 SHARED = "cast(amount * 1000000 // nullif(total, 0) as bigint) as share_ppm"
 SUMMARY = """
-    select {cell} as cell_id, count(v) as n_values, min(v) as min_value, max(v) as max_value,
+    select {cell} as cell_id, datum, count(v) as n_values, min(v) as min_value, max(v) as max_value,
            sum(v)::double / count(v) as mean_value, quantile_cont(v, 0.5)::double as median_value
-    from ({rows}) group by 1"""
+    from ({rows}) group by 1, 2"""
 
 ORACLE: dict[str, str] = {
     "points_in_zones": sql("hits", " select building_id, zone_id, severity from hits"),
@@ -175,10 +175,16 @@ ORACLE: dict[str, str] = {
     "zone_cells_sampled": sql("zb ze", f"""{sampled(2500)}
         select {cell('px', 'py', 10000)} as cell_id, zone_id, count(*) as samples, count(*) * 1000000 // 16 as share_ppm
         from inside group by 1, 2"""),
+    "zone_area_prevalence": sql("zb ze", f"""{sampled(2500)}
+        , sums as (select {cell('px', 'py', 80000)} as parent_id, severity, count(*) as n
+                   from inside join zb using (zone_id) group by 1, 2)
+        select parent_id, severity, n / 16.0 as amount, sum(n) over (partition by parent_id) / 16.0 as total,
+               cast(n * 1000000 // cast(sum(n) over (partition by parent_id) as bigint) as bigint) as share_ppm
+        from sums"""),
     "zone_cell_centres": sql("zb ze", f"{sampled(10000)} select {cell('px', 'py', 10000)} as cell_id, zone_id from inside"),
     "coverage_cells": sql("bd", f' select {cell("x", "y", 10000)} as cell_id, count(*) as "rows" from bd group by 1'),
-    "bfe_cells": sql("el", SUMMARY.format(cell=cell("x", "y", 100000), rows="select x, y, bfe_mm as v from el")),
-    "first_floor_cells": sql("bd", SUMMARY.format(cell=cell("x", "y", 100000), rows="select x, y, first_floor_mm as v from bd")),
+    "bfe_cells": sql("el", SUMMARY.format(cell=cell("x", "y", 100000), rows="select x, y, datum, bfe_mm as v from el")),
+    "first_floor_cells": sql("bd", SUMMARY.format(cell=cell("x", "y", 100000), rows="select x, y, datum, first_floor_mm as v from bd")),
     "nearest_bfe": sql("near", """
         select b.building_id, n.bfe_id as near_bfe_id, n.bfe_mm as near_bfe_mm, n.datum as near_datum, n.d2 as near_d2
         from bd b left join near n on n.building_id = b.building_id and n.n = 1"""),
@@ -249,3 +255,8 @@ ORACLE: dict[str, str] = {
 ORACLE["buildings_wide_joined"] = ORACLE["buildings_wide"]
 # Each cell has fewer values than the sketch keeps, so its median is a value.
 ORACLE["first_floor_cells_approximate"] = ORACLE["first_floor_cells"].replace("quantile_cont", "quantile_disc")
+for _name in (
+    "points_in_zones", "points_in_zones_or_none", "buildings_in_zones", "buildings_outside_zones", "panel_as_of_each",
+    "nearest_bfe", "nearest_bfe_three",
+):
+    ORACLE[f"{_name}_shuffled"] = ORACLE[_name]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,16 +44,16 @@ def _zones(spark: SparkSession, d: str) -> DataFrame:
     return inputs.zones(spark, d).withColumnRenamed("feature_id", "zone_id")
 
 
-def _in_zones(points: DataFrame, spark: SparkSession, d: str, how: str) -> DataFrame:
-    return points_in_polygons(points, _zones(spark, d), CELL, how, feature="zone_id")
+def _in_zones(points: DataFrame, spark: SparkSession, d: str, how: str, **options) -> DataFrame:
+    return points_in_polygons(points, _zones(spark, d), CELL, how, feature="zone_id", **options)
 
 
 def _best_zone(hits: DataFrame) -> DataFrame:
     return pick_one(hits, "building_id", [F.col("severity").desc_nulls_last(), F.col("zone_id").asc()])
 
 
-def _panel(points: DataFrame, spark: SparkSession, d: str, as_of) -> DataFrame:
-    return panel_as_of(points, inputs.panels(spark, d), as_of, PANEL_CELL).drop("feature_id")
+def _panel(points: DataFrame, spark: SparkSession, d: str, as_of, **options) -> DataFrame:
+    return panel_as_of(points, inputs.panels(spark, d), as_of, PANEL_CELL, **options).drop("feature_id")
 
 
 def _zoned_and_panelled(spark: SparkSession, d: str) -> DataFrame:
@@ -63,20 +64,20 @@ def _zoned_and_panelled(spark: SparkSession, d: str) -> DataFrame:
     return panelled.selectExpr("building_id", "panel_id", "coalesce(severity, 0) as severity", "first_floor_mm")
 
 
-def points_in_zones(spark: SparkSession, d: str) -> DataFrame:
-    return _in_zones(_places(spark, d), spark, d, "inner").select("building_id", "zone_id", "severity")
+def points_in_zones(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _in_zones(_places(spark, d), spark, d, "inner", **options).select("building_id", "zone_id", "severity")
 
 
-def points_in_zones_or_none(spark: SparkSession, d: str) -> DataFrame:
-    return _in_zones(_places(spark, d), spark, d, "left").select("building_id", "zone_id", "zone_code")
+def points_in_zones_or_none(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _in_zones(_places(spark, d), spark, d, "left", **options).select("building_id", "zone_id", "zone_code")
 
 
-def buildings_in_zones(spark: SparkSession, d: str) -> DataFrame:
-    return _in_zones(_places(spark, d), spark, d, "semi")
+def buildings_in_zones(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _in_zones(_places(spark, d), spark, d, "semi", **options)
 
 
-def buildings_outside_zones(spark: SparkSession, d: str) -> DataFrame:
-    return _in_zones(_places(spark, d), spark, d, "anti")
+def buildings_outside_zones(spark: SparkSession, d: str, **options) -> DataFrame:
+    return _in_zones(_places(spark, d), spark, d, "anti", **options)
 
 
 def zone_of_building(spark: SparkSession, d: str) -> DataFrame:
@@ -101,10 +102,10 @@ def panel_on_date(spark: SparkSession, d: str) -> DataFrame:
     return found.selectExpr("building_id", "panel_id", "version", "cast(effective_date as string) as effective_date")
 
 
-def panel_as_of_each(spark: SparkSession, d: str) -> DataFrame:
+def panel_as_of_each(spark: SparkSession, d: str, **options) -> DataFrame:
     asked = "date_add(date'2005-01-01', cast(building_id * 37 % 7000 as int)) as asked_on"
     points = _places(spark, d).selectExpr("*", asked)
-    found = _panel(points, spark, d, "asked_on")
+    found = _panel(points, spark, d, "asked_on", **options)
     return found.selectExpr("building_id", "cast(asked_on as string) as asked_on", "panel_id", "version")
 
 
@@ -130,25 +131,26 @@ def coverage_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfe_cells(spark: SparkSession, d: str) -> DataFrame:
-    return cell_summary(with_cell(inputs.elevations(spark, d), size=100_000), "cell_id", "bfe_mm")
+    return cell_summary(with_cell(inputs.elevations(spark, d), size=100_000), "cell_id", "bfe_mm", by=("datum",))
 
 
 def first_floor_cells(spark: SparkSession, d: str) -> DataFrame:
-    return cell_summary(with_cell(inputs.buildings(spark, d), size=100_000), "cell_id", "first_floor_mm")
+    rows = with_cell(inputs.buildings(spark, d), size=100_000)
+    return cell_summary(rows, "cell_id", "first_floor_mm", by=("datum",))
 
 
 def first_floor_cells_approximate(spark: SparkSession, d: str) -> DataFrame:
     rows = with_cell(inputs.buildings(spark, d), size=100_000)
-    return cell_summary(rows, "cell_id", "first_floor_mm", approximate=True)
+    return cell_summary(rows, "cell_id", "first_floor_mm", approximate=True, by=("datum",))
 
 
-def nearest_bfe(spark: SparkSession, d: str) -> DataFrame:
-    found = nearest(_places(spark, d), inputs.elevations(spark, d), RADIUS)
+def nearest_bfe(spark: SparkSession, d: str, **options) -> DataFrame:
+    found = nearest(_places(spark, d), inputs.elevations(spark, d), RADIUS, **options)
     return found.select("building_id", "near_bfe_id", "near_bfe_mm", "near_datum", "near_d2")
 
 
-def nearest_bfe_three(spark: SparkSession, d: str) -> DataFrame:
-    found = nearest(_places(spark, d), inputs.elevations(spark, d), RADIUS, k=3)
+def nearest_bfe_three(spark: SparkSession, d: str, **options) -> DataFrame:
+    found = nearest(_places(spark, d), inputs.elevations(spark, d), RADIUS, k=3, **options)
     return found.select("building_id", "near_rank", "near_bfe_id", "near_d2")
 
 
@@ -264,6 +266,8 @@ def _work_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared}/layers-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="spark-")
 
 
@@ -286,6 +290,24 @@ def published_layers(spark: SparkSession, d: str) -> DataFrame:
     return layers(spark, _publish_both(spark, d)).select("name", "role", "contract", "rows")
 
 
+def zone_area_prevalence(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each severity in the sampled zone area of each wider cell."""
+    cells = zone_cells(_zones(spark, d), CELL, 4, feature="zone_id").join(_zones(spark, d).select("zone_id", "severity"), "zone_id")
+    wide = with_parent(cells, 3).selectExpr("parent_id", "severity", "cast(samples as decimal(12, 2)) / 16 as cells")
+    return prevalence(wide, ["parent_id"], "severity", weight="cells").selectExpr(
+        "parent_id", "severity", "cast(amount as double) as amount", "cast(total as double) as total", "share_ppm"
+    )
+
+
+# The branches that large inputs take, over the same tables and with the same answers.
+SHUFFLED = {
+    f"{f.__name__}_shuffled": partial(f, strategy="shuffle")
+    for f in (
+        points_in_zones, points_in_zones_or_none, buildings_in_zones, buildings_outside_zones, panel_as_of_each,
+        nearest_bfe, nearest_bfe_three,
+    )
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -294,6 +316,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         building_cells, zone_cover, zone_cells_sampled, zone_cell_centres, coverage_cells, bfe_cells,
         first_floor_cells, first_floor_cells_approximate, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
         clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
-        published_layer, published_layers,
+        published_layer, published_layers, zone_area_prevalence,
     )
-}
+} | SHUFFLED

@@ -15,28 +15,28 @@ NUMBER = "decimal(24, 15)"
 
 
 def read_geojson_lines(
-    spark: SparkSession, path: str, id_path: str = "$.id", scale: int = 1_000_000
+    spark: SparkSession, path: str, id_path: str = "$.id", scale: int = 1_000_000, id_type: str = "bigint"
 ) -> tuple[DataFrame, DataFrame]:
     """Polygons and rejected lines of newline-delimited GeoJSON files."""
-    return polygons_from_geojson(spark.read.text(path), id_path, scale)
+    return polygons_from_geojson(spark.read.text(path), id_path, scale, id_type)
 
 
 def polygons_from_geojson(
-    lines: DataFrame, id_path: str = "$.id", scale: int = 1_000_000
+    lines: DataFrame, id_path: str = "$.id", scale: int = 1_000_000, id_type: str = "bigint"
 ) -> tuple[DataFrame, DataFrame]:
     """Split text lines (column ``value``) into polygon rows and rejects.
 
     Polygon and MultiPolygon features give one row per ring, with coordinates
     times ``scale`` rounded to whole numbers, without the closing vertex, and
     with the feature's properties as a map of text.  ``id_path`` is a JSON path
-    to a whole-number id.  Any other line comes back with a ``reason``; blank
+    to the id, a whole number or with ``id_type`` ``string`` any text.  Any other line comes back with a ``reason``; blank
     lines are skipped.
     """
     rings = f"array<array<array<{NUMBER}>>>"
     # A generator around each parse keeps Spark from pushing the tests below
     # it and parsing the text again in every one of them.
     parsed = lines.where("trim(value) <> ''").selectExpr(
-        "value", f"try_cast(get_json_object(value, '{id_path}') as bigint) as feature_id",
+        "value", f"try_cast(get_json_object(value, '{id_path}') as {id_type}) as feature_id",
         f"inline_outer(array(from_json(value, '{FEATURE}', map('columnNameOfCorruptRecord', 'malformed'))))"
         " as (kind, geometry, properties, malformed)",
     )
@@ -56,7 +56,7 @@ def polygons_from_geojson(
         "*",
         "case when malformed is not null then 'malformed line' "
         "when kind is null or kind <> 'Feature' then 'not a feature' "
-        "when feature_id is null then 'no whole-number id' "
+        f"when feature_id is null then '{'no id' if id_type == 'string' else 'no whole-number id'}' "
         "when shape is null or shape not in ('Polygon', 'MultiPolygon') then 'not a polygon' "
         f"when parts is null or size(parts) = 0 or {gap} then 'bad coordinates' end as reason",
     )

@@ -50,14 +50,20 @@ def publish(
     The input is computed once: the rules read the written files, of which
     they need a few columns.  Rows are gathered by ``partition_by`` with
     Spark's rebalance hint, which splits a value that holds much of the table.
-    Raises ``LayerRefused`` and leaves the manifest alone if a rule is broken.
+    Raises ``LayerRefused`` and leaves the manifest alone if a rule is broken;
+    an empty string in a partition column fails the write, as it would come
+    back as null.
     Returns the path of the run.
     """
     if not re.fullmatch(r"[a-z][a-z0-9_]*", name) or name == MANIFEST:
         raise ValueError("a layer name is made of lower-case letters, digits and _, and is not 'manifest'")
     spark = df.sparkSession
     path = f"{root}/{name}/{uuid.uuid4().hex}"
-    spread = df.hint("rebalance", *partition_by) if partition_by else df
+    texts = [c for c in partition_by if df.schema[c].dataType.typeName() == "string"]
+    # A folder cannot tell an empty string from a null.
+    refuse = {c: F.expr(f"if(`{c}` = '', raise_error('empty string in partition column {c}'), `{c}`)") for c in texts}
+    named = df.withColumns(refuse) if refuse else df
+    spread = named.hint("rebalance", *partition_by) if partition_by else named
     writer = spread.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
