@@ -181,6 +181,9 @@ ORACLE: dict[str, str] = {
         select parent_id, severity, n / 16.0 as amount, sum(n) over (partition by parent_id) / 16.0 as total,
                cast(n * 1000000 // cast(sum(n) over (partition by parent_id) as bigint) as bigint) as share_ppm
         from sums"""),
+    "points_in_geojson_zones": sql("hits", """
+        select building_id, zone_id as feature_id, zone_code from hits
+        where zone_id % 31 <> 4 and zone_id % 37 <> 5 and zone_id % 41 <> 6"""),
     "zone_cell_centres": sql("zb ze", f"{sampled(10000)} select {cell('px', 'py', 10000)} as cell_id, zone_id from inside"),
     "coverage_cells": sql("bd", f' select {cell("x", "y", 10000)} as cell_id, count(*) as "rows" from bd group by 1'),
     "bfe_cells": sql("el", SUMMARY.format(cell=cell("x", "y", 100000), rows="select x, y, datum, bfe_mm as v from el")),

@@ -261,6 +261,14 @@ def zone_geojson_rejected(spark: SparkSession, d: str) -> DataFrame:
     return rejected.groupBy("reason").agg(F.expr("count(1) as lines"))
 
 
+def points_in_geojson_zones(spark: SparkSession, d: str) -> DataFrame:
+    """From text lines through cleaning to containment; properties stay a map all the way."""
+    polygons, _ = polygons_from_geojson(_zone_lines(spark, d))
+    kept, _ = clean(polygons, ["feature_id", "part", "ring"], ["x0", "y0"], verts="verts")
+    hits = points_in_polygons(_places(spark, d), kept, CELL)
+    return hits.selectExpr("building_id", "feature_id", "properties['zone_code'] as zone_code")
+
+
 def _work_folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one on one machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -317,5 +325,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_floor_cells, first_floor_cells_approximate, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
         clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
         published_layer, published_layers, zone_area_prevalence,
+        points_in_geojson_zones,
     )
 } | SHUFFLED
