@@ -26,6 +26,7 @@ def nearest(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
     grids: int = GRIDS,
+    match: list[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest targets within ``radius`` of each point, exactly.
 
@@ -33,6 +34,8 @@ def nearest(
     distances go to the lower target id.  Target columns come back with
     ``prefix``, next to ``<prefix>d2``, the squared distance, and
     ``<prefix>rank``.  A point without a target in reach is kept with nulls.
+    ``match`` names columns of both sides, such as the datum of heights, that
+    must be equal for a target to count; null equals nothing.
     ``target_id`` must be unique in ``targets``.  Every row of ``points`` is
     answered by its own place, so keys may repeat or be null; ``key`` only
     names what a row is about and does not change the result.
@@ -63,29 +66,34 @@ def nearest(
         strategy = "broadcast" if fits(targets, broadcast_bytes // (9 * grids)) else "shuffle"
 
     useful = targets.where("x is not null and y is not null")
-    useful = top_rows(useful, ["x", "y"], [target_id], k)
+    useful = top_rows(useful, ["x", "y", *match], [target_id], k)
     rest = [c for c in targets.columns if c not in ("x", "y", target_id)]
     hit = ", ".join(
         [f"'{prefix}{target_id}', `{target_id}`", f"'{prefix}x', x", f"'{prefix}y', y"]
         + [f"'{prefix}{c}', `{c}`" for c in rest]
     )
-    listed = useful.selectExpr(f"named_struct({hit}) as _t", "x as _x", "y as _y", f"explode({_around(sides)}) as _at")
-    listed = listed.selectExpr("_t", "_x", "_y", "_at.side as _side", "_at.cell as _cell")
+    same = [f"_same{j}" for j in range(len(match))]
+    as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
+    listed = useful.selectExpr(
+        f"named_struct({hit}) as _t", "x as _x", "y as _y", *as_same, f"explode({_around(sides)}) as _at"
+    )
+    listed = listed.selectExpr("_t", "_x", "_y", *same, "_at.side as _side", "_at.cell as _cell")
     d2 = "((x - _x) * (x - _x) + (y - _y) * (y - _y))"
     reach = radius * radius
 
-
     if strategy == "broadcast":
         graded = points
         for i in range(grids - 1):
-            known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}"))
-            graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}"), "left")
+            known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}", match))
+            equal = "".join(f" and `{c}` = _rich{i}_{j}" for j, c in enumerate(match))
+            graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}{equal}"), "left")
         cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
         graded = graded.selectExpr(*_each(points), f"{_choose(sides[1:] + sides[-1:])} as _own_side", f"{cell} as _own_cell")
-        grouped = listed.groupBy("_side", "_cell").agg(
+        grouped = listed.groupBy("_side", "_cell", *same).agg(
             F.expr("collect_list(named_struct('t', _t, 'x', _x, 'y', _y)) as _near")
         )
-        found = graded.join(F.broadcast(grouped), F.expr("_own_side = _side and _own_cell = _cell"), "left")
+        equal = "".join(f" and `{c}` = {s}" for c, s in zip(match, same))
+        found = graded.join(F.broadcast(grouped), F.expr(f"_own_side = _side and _own_cell = _cell{equal}"), "left")
         far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
         # Only distance, id and place in the list are compared; the rest may be of any type.
         hits = (
@@ -105,17 +113,19 @@ def nearest(
         )
 
     # What may count for a cell is settled once per cell that has points.
-    places = points.select("x", "y").where("x is not null and y is not null").distinct()
-    spots = places.selectExpr(f"{cell_of('x', 'y', finest)} as _fine")
-    spots = spots.groupBy("_fine").agg(F.expr("count(1) as _n"))
+    places = points.selectExpr("x", "y", *as_same).dropna().distinct()
+    spots = places.selectExpr(f"{cell_of('x', 'y', finest)} as _fine", *same)
+    spots = spots.groupBy("_fine", *same).agg(F.expr("count(1) as _n"))
     col, row = unpack("_fine")
-    graded = spots.selectExpr("_fine", f"{col} as _fx", f"{row} as _fy")
+    graded = spots.selectExpr("_fine", *same, f"{col} as _fx", f"{row} as _fy")
     at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(grids)]
     for i in range(grids - 1):
-        graded = graded.join(_rich(targets, sides[i], k, f"_rich{i}"), F.expr(f"{at[i]} = _rich{i}"), "left")
+        equal = "".join(f" and {s} = _rich{i}_{j}" for j, s in enumerate(same))
+        known = _rich(targets, sides[i], k, f"_rich{i}", match)
+        graded = graded.join(known, F.expr(f"{at[i]} = _rich{i}{equal}"), "left")
     bounds = [min(reach, 2 * s * s) for s in sides[:-1]]
     graded = graded.selectExpr(
-        "_fine", "_fx", "_fy",
+        "_fine", *same, "_fx", "_fy",
         f"{_choose(sides[1:] + sides[-1:])} as _side", f"{_choose(at[1:] + at[-1:])} as _cell",
         f"{_choose([*bounds, reach])} as _bound",
     )
@@ -123,14 +133,15 @@ def nearest(
         f"greatest(_f{a} * {finest} - _{a}, _{a} - _f{a} * {finest} - {finest - 1}, 0)" for a in ("x", "y")
     )
     in_bound = f"{gap_x} * {gap_x} + {gap_y} * {gap_y} <= _bound"
-    offers = skew_join(listed, graded, ["_side", "_cell"], "inner", in_bound, hot_rows)
-    offers = offers.select("_fine", "_t", "_x", "_y")
-    placed = places.selectExpr("x", "y", f"{cell_of('x', 'y', finest)} as _fine")
-    pairs = skew_join(placed, offers, ["_fine"], "inner", f"{d2} <= {reach}", hot_rows, hottest(spots, ["_fine"], hot_rows))
-    pairs = pairs.selectExpr("x", "y", "_t", f"{d2} as {prefix}d2")
+    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", in_bound, hot_rows)
+    offers = offers.select("_fine", *same, "_t", "_x", "_y")
+    placed = places.selectExpr("x", "y", *same, f"{cell_of('x', 'y', finest)} as _fine")
+    at_spot = ["_fine", *same]
+    pairs = skew_join(placed, offers, at_spot, "inner", f"{d2} <= {reach}", hot_rows, hottest(spots, at_spot, hot_rows))
+    pairs = pairs.selectExpr("x", "y", *same, "_t", f"{d2} as {prefix}d2")
     rank = [f"{prefix}d2", f"_t.{prefix}{target_id}"]
-    best = top_rows(pairs, ["x", "y"], rank, k, f"{prefix}rank")
-    found = skew_join(points, best, ["x", "y"], "left", hot_rows=hot_rows)
+    best = top_rows(pairs, ["x", "y", *same], rank, k, f"{prefix}rank")
+    found = skew_join(points.selectExpr("*", *as_same), best, ["x", "y", *same], "left", hot_rows=hot_rows)
     return found.selectExpr(*_each(points), "_t.*", f"{prefix}d2", f"{prefix}rank")
 
 
@@ -147,10 +158,12 @@ def _around(sides: list[int]) -> str:
     return f"array({', '.join(blocks)})"
 
 
-def _rich(targets: DataFrame, side: int, k: int, name: str) -> DataFrame:
-    """The cells of a grid that hold at least ``k`` targets."""
-    counts = targets.where("x is not null and y is not null").selectExpr(f"{cell_of('x', 'y', side)} as {name}").groupBy(name).agg(F.expr("count(1) as n"))
-    return counts.where(f"n >= {k}").select(name)
+def _rich(targets: DataFrame, side: int, k: int, name: str, match: list[str]) -> DataFrame:
+    """The cells of a grid that hold at least ``k`` targets, by the columns that must match."""
+    keys = [name, *(f"{name}_{j}" for j in range(len(match)))]
+    same = [f"`{c}` as {s}" for c, s in zip(match, keys[1:])]
+    counts = targets.where("x is not null and y is not null").selectExpr(f"{cell_of('x', 'y', side)} as {name}", *same).groupBy(*keys).agg(F.expr("count(1) as n"))
+    return counts.where(f"n >= {k}").select(*keys)
 
 
 def _choose(values: list) -> str:

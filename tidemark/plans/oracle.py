@@ -191,6 +191,14 @@ ORACLE: dict[str, str] = {
     "nearest_bfe": sql("near", """
         select b.building_id, n.bfe_id as near_bfe_id, n.bfe_mm as near_bfe_mm, n.datum as near_datum, n.d2 as near_d2
         from bd b left join near n on n.building_id = b.building_id and n.n = 1"""),
+    "nearest_bfe_same_datum": sql("bd el", """
+        select b.building_id, b.datum, e.bfe_id as near_bfe_id, e.bfe_mm as near_bfe_mm, e.d2 as near_d2
+        from bd b left join (
+            select p.building_id, t.*, (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) as d2, row_number() over (
+                partition by p.building_id order by (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y), t.bfe_id) as n
+            from bd p join el t on p.datum = t.datum
+            where (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) <= 2500000000) e
+        on e.building_id = b.building_id and e.n = 1"""),
     "nearest_bfe_three": sql("near", """
         select b.building_id, cast(n.n as int) as near_rank, n.bfe_id as near_bfe_id, n.d2 as near_d2
         from bd b left join near n on n.building_id = b.building_id and n.n <= 3"""),
@@ -260,6 +268,6 @@ ORACLE["buildings_wide_joined"] = ORACLE["buildings_wide"]
 ORACLE["first_floor_cells_approximate"] = ORACLE["first_floor_cells"].replace("quantile_cont", "quantile_disc")
 for _name in (
     "points_in_zones", "points_in_zones_or_none", "buildings_in_zones", "buildings_outside_zones", "panel_as_of_each",
-    "nearest_bfe", "nearest_bfe_three",
+    "nearest_bfe", "nearest_bfe_three", "nearest_bfe_same_datum",
 ):
     ORACLE[f"{_name}_shuffled"] = ORACLE[_name]

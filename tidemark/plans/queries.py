@@ -154,6 +154,12 @@ def nearest_bfe_three(spark: SparkSession, d: str, **options) -> DataFrame:
     return found.select("building_id", "near_rank", "near_bfe_id", "near_d2")
 
 
+def nearest_bfe_same_datum(spark: SparkSession, d: str, **options) -> DataFrame:
+    places = inputs.buildings(spark, d).select("building_id", "x", "y", "datum")
+    found = nearest(places, inputs.elevations(spark, d), RADIUS, match=["datum"], **options)
+    return found.select("building_id", "datum", "near_bfe_id", "near_bfe_mm", "near_d2")
+
+
 def zone_rings(spark: SparkSession, d: str) -> DataFrame:
     rings = rings_from_vertices(inputs.zone_vertices(spark, d))
     return rings.selectExpr("feature_id", "part", "ring", "x0", "y0", "x1", "y1", VERTS_AS_TEXT)
@@ -312,7 +318,7 @@ SHUFFLED = {
     f"{f.__name__}_shuffled": partial(f, strategy="shuffle")
     for f in (
         points_in_zones, points_in_zones_or_none, buildings_in_zones, buildings_outside_zones, panel_as_of_each,
-        nearest_bfe, nearest_bfe_three,
+        nearest_bfe, nearest_bfe_three, nearest_bfe_same_datum,
     )
 }
 
@@ -325,6 +331,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_floor_cells, first_floor_cells_approximate, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
         clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
         published_layer, published_layers, zone_area_prevalence,
-        points_in_geojson_zones,
+        points_in_geojson_zones, nearest_bfe_same_datum,
     )
 } | SHUFFLED
