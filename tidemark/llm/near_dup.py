@@ -23,6 +23,8 @@ EMPTY = 0xFFFF
 # as they would leave most buckets empty; sets from LARGE into one bucket a
 # shingle.  Between the two both are kept, so that no pair falls between.
 SMALL, LARGE = 300, 240
+# Members of a bucket whose pairs become rows, of a block of a larger one, and shingles compared at once.
+SMALL_BUCKET, BLOCK, STRIP = 8, 1024, 4096
 
 
 def compressed(least: np.ndarray) -> np.ndarray:
@@ -125,15 +127,15 @@ def estimate(a: str, b: str, n: str, m: str) -> str:
 
 
 def linked(df: DataFrame, text: str, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links between distinct shingle sets, enough of them to join all that belong together.
+    """Components of the links between distinct shingle sets, with no link lost.
 
-    Nodes that share a band are a bucket.  In each round every bucket with more
-    than one component picks pivots, the members with most company first, and
-    these meet all members of other components; then they leave the bucket.  So
-    a dense bucket is joined through a few members and a bucket of strangers is
-    still compared in full, with four times as many pivots in each round.
+    Nodes that share a band are a bucket.  First each bucket's member with most
+    company meets all others, which joins most of what belongs together.  Of
+    the buckets that still hold several components the small ones compare all
+    pairs, and the large ones are dealt in blocks to tasks that compare whole
+    blocks and return only what joins components.  So no pair of a large bucket
+    becomes a row, yet each is decided.
     """
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     members = nodes.selectExpr("_node", "n", "explode(_bands) as _band")
     shared = members.groupBy("_band").agg(F.expr("count(1) as _size")).where("_size > 1")
     buckets = saved(members.join(shared, "_band"))
@@ -144,50 +146,108 @@ def linked(df: DataFrame, text: str, nodes: DataFrame, percent: int) -> DataFram
     sets = fetched.selectExpr(f"{words('_t')} as _w").selectExpr(f"sort_array({shingles('_w')}) as _set")
     digested = sets.mapInArrow(digests, "_set array<bigint>, _node binary")
     sets = saved(digested.join(wanted.select("_node"), "_node", "left_semi").dropDuplicates(["_node"]))
-    open_ = saved(buckets.join(company, "_node").selectExpr("_band", "_node", "n", "_company", "_node as _label"))
-    links, pivots_each = None, 1
-    while True:
-        torn = open_.groupBy("_band").agg(F.expr("min(_label) <> max(_label) as _torn")).where("_torn").select("_band")
-        left = open_.join(torn, "_band")
-        ranked = left.selectExpr(
-            "_band", "_node as _pivot", "n as m", "_label as _own",
-            "row_number() over (partition by _band order by _company desc, _node) as _rank",
-        ).where(f"_rank <= {pivots_each}")
-        ranked = saved(ranked)
-        met = (
-            left.join(ranked, "_band")
-            .where(f"_label <> _own and {close}")
-            .selectExpr("least(_node, _pivot) as a", "greatest(_node, _pivot) as b")
-            .distinct()
-        )
-        facts = wanted.selectExpr("_node", "n", "_small as s", "_large as l")
-        one = facts.withColumnsRenamed({"_node": "a", "s": "s1", "l": "l1"})
-        two = facts.withColumnsRenamed({"_node": "b", "n": "m", "s": "s2", "l": "l2"})
-        # Six standard deviations of the estimate below the limit.
-        least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-        both_small = "s1 is not null and s2 is not null"
-        near = met.join(one, "a").join(two, "b").where(
-            f"case when {both_small} then {estimate('s1', 's2', 'n', 'm')} "
-            f"else {estimate('l1', 'l2', f'n / {REGISTERS}', f'm / {REGISTERS}')} end >= {least}D"
-        )
-        found = (
-            near.select("a", "b", "n", "m")
-            .join(sets.selectExpr("_node as a", "_set as _one"), "a")
-            .join(sets.selectExpr("_node as b", "_set as _two"), "b")
-            .selectExpr("a", "b", "n", "m", "cast(size(array_intersect(_one, _two)) as bigint) as _both")
-            .where(f"100 * _both >= {percent} * (n + m - _both)")
-            .select("a", "b")
-        )
-        found = saved(found)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        rest = left.drop("_label").join(
-            ranked.selectExpr("_band", "_pivot as _node"), ["_band", "_node"], "left_anti"
-        ).join(labels.withColumnsRenamed({"node": "_node", "label": "_new"}), "_node", "left")
-        open_ = saved(rest.selectExpr("_band", "_node", "n", "_company", "coalesce(_new, _node) as _label"))
-        if not open_.limit(1).count():
-            return labels
-        pivots_each *= 4
+
+    open_ = buckets.join(company, "_node")
+    hubs = open_.selectExpr(
+        "_band", "_node as _pivot", "n as m",
+        "row_number() over (partition by _band order by _company desc, _node) as _rank",
+    ).where("_rank = 1")
+    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    stars = buckets.join(hubs, "_band").where(f"_node <> _pivot and {close}")
+    links = saved(verified(_pairs(stars, "_node", "_pivot"), wanted, sets, percent))
+
+    labels = components(links).withColumnRenamed("node", "_node")
+    labelled = saved(
+        buckets.join(labels, "_node", "left").selectExpr("_band", "_size", "_node", "n", "coalesce(label, _node) as _label")
+    )
+    torn = labelled.groupBy("_band").agg(F.expr("min(_label) <> max(_label) as _torn")).where("_torn").select("_band")
+    labelled = saved(labelled.join(torn, "_band"))
+    few = labelled.where(f"_size <= {SMALL_BUCKET}")
+    other = few.selectExpr("_band", "_node as _pivot", "n as m", "_label as _own")
+    pairs = few.join(other, "_band").where(f"_node < _pivot and _label <> _own and {close}")
+    small = verified(_pairs(pairs, "_node", "_pivot"), wanted, sets, percent)
+
+    blocks = f"cast(ceil(_size / {BLOCK}) as int)"
+    many = labelled.where(f"_size > {SMALL_BUCKET}").selectExpr(
+        "_band", "_node", "_label", f"{blocks} as _blocks", f"pmod(hash(_node), {blocks}) as _own"
+    ).selectExpr("_band", "_node", "_label", "_own", "explode(sequence(0, _blocks - 1)) as _with")
+    dealt = many.selectExpr(
+        "_band", "_node", "_label", "least(_own, _with) as _lo", "greatest(_own, _with) as _hi"
+    ).join(sets, "_node").select("_band", "_lo", "_hi", "_node", "_label", "_set")
+    large = dealt.groupBy("_band", "_lo", "_hi").applyInArrow(within(percent), "a binary, b binary")
+    return components(saved(links.unionByName(small).unionByName(large)))
+
+
+def _pairs(df: DataFrame, one: str, two: str) -> DataFrame:
+    return df.selectExpr(f"least({one}, {two}) as a", f"greatest({one}, {two}) as b").distinct()
+
+
+def verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are as alike as asked; only those that registers find near are compared."""
+    facts = facts.selectExpr("_node", "n", "_small as s", "_large as l")
+    one = facts.withColumnsRenamed({"_node": "a", "s": "s1", "l": "l1"})
+    two = facts.withColumnsRenamed({"_node": "b", "n": "m", "s": "s2", "l": "l2"})
+    # Six standard deviations of the estimate below the limit.
+    least = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
+    near = pairs.join(one, "a").join(two, "b").where(
+        f"case when s1 is not null and s2 is not null then {estimate('s1', 's2', 'n', 'm')} "
+        f"else {estimate('l1', 'l2', f'n / {REGISTERS}', f'm / {REGISTERS}')} end >= {least}D"
+    )
+    return (
+        near.select("a", "b", "n", "m")
+        .join(sets.selectExpr("_node as a", "_set as _one"), "a")
+        .join(sets.selectExpr("_node as b", "_set as _two"), "b")
+        .selectExpr("a", "b", "n", "m", "cast(size(array_intersect(_one, _two)) as bigint) as _both")
+        .where(f"100 * _both >= {percent} * (n + m - _both)")
+        .select("a", "b")
+    )
+
+
+def within(percent: int):
+    """Compares all sets of a block with each other by one product of matrices of what they hold.
+
+    Of the links between components it returns as many as join them.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels = table.column("_node").to_pylist(), table.column("_label").to_pylist()
+        codes = np.unique(np.array([x.hex() for x in labels]), return_inverse=True)[1]
+        sets = table.column("_set").combine_chunks()
+        offsets = sets.offsets.to_numpy()
+        flat = sets.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets)
+        owner = np.repeat(np.arange(len(nodes)), sizes)
+        column, times = np.unique(flat, return_inverse=True, return_counts=True)[1:]
+        common = times[column] > 1
+        # Only what two sets hold can count; it is numbered anew and taken in strips.
+        column, owner = np.cumsum(times > 1)[column[common]] - 1, owner[common]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        both = np.zeros((len(nodes), len(nodes)), np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, STRIP):
+            at = slice(*np.searchsorted(column, (start, start + STRIP)))
+            holds = np.zeros((len(nodes), STRIP), np.float32)
+            holds[owner[at], column[at] - start] = 1
+            both += holds @ holds.T
+        parent, out = list(range(int(codes.max()) + 1)), []
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i in range(len(nodes) - 1):
+            near = 100 * both[i, i + 1 :] >= percent * (sizes[i] + sizes[i + 1 :] - both[i, i + 1 :])
+            for j in (np.flatnonzero(near & (codes[i + 1 :] != codes[i])) + i + 1).tolist():
+                x, y = root(int(codes[i])), root(int(codes[j]))
+                if x != y:
+                    parent[x] = y
+                    out.append((nodes[i], nodes[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
