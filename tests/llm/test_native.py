@@ -97,21 +97,19 @@ def test_sharding(spark):
 
 def test_sketch_and_next(spark):
     rows = [(i, " ".join(f"w{(i * 31 + j) % 977}" for j in range(300))) for i in range(0, 60, 3)]
-    rows += [(7, None), (8, ""), (9, "one two"), (9, "one two"), (None, "null key"), (10, rows[0][1])]
+    rows += [(61, None), (62, ""), (64, "one two"), (64, "one two"), (None, "null key"), (65, rows[0][1])]
     got = sketch.followed(texts(spark, rows), "doc_id", "text", "next", rows_each=4)
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     follows = {(a[0], a[1]): b[1] for a, b in zip(ordered, ordered[1:] + ordered[:1])}
-    follows[(9, "one two")] = ("one two", rows[0][1])
-    # Rows with key 9 tie with a row of the first list, so only unique keys are held against the order.
-    for r in got.collect():
-        if r.doc_id not in (9, 6, 8):
-            assert r.next == follows[(r.doc_id, r.text)]
-    assert got.count() == len(rows)
+    found = got.collect()
+    assert all(r.next == follows[(r.doc_id, r.text)] for r in found if r.doc_id != 64)
+    assert sorted(r.next for r in found if r.doc_id == 64) == sorted(["one two", rows[0][1]])
+    assert len(found) == len(rows)
     pair = texts(spark, rows).alias("a")
     s = {}
     for r in sketch.with_sketch(pair, "text", "s").collect():
         s.setdefault(r.doc_id, r.s)
-    assert s[7] == s[8] == [] and len(s[9]) == 1 and s[10] == s[0] and len(s[0]) == 128
+    assert s[61] == s[62] == [] and len(s[64]) == 1 and s[65] == s[0] and len(s[0]) == 128
 
 
 def test_resemblance_and_parts(spark):
@@ -149,13 +147,14 @@ def test_url_parts_and_rules(spark):
     assert urls.judge(df.limit(0), RULES).count() == 0
 
 
-def test_url_tree_splits_unlike_branches_and_merges_like_ones(spark):
+def test_url_tree_splits_unlike_branches_and_merges_others(spark):
     rows = [("h", f"/spam/{i}/p", 1) for i in range(100)]
     rows += [("h", f"/{lang}/{i}", int(i % 10 == 0)) for lang in ("en", "de") for i in range(100)]
     rows += [("h", "/spam/9999/p", None), ("h", "/fr/1", None)]
     got = urls.judge(spark.createDataFrame(rows, "host string, path string, bad int"), {}).collect()
     assert {r.template for r in got if r.path.startswith("/spam")} == {"/spam/*/*"}
-    assert len({r.template for r in got if r.path[1:3] in ("en", "de", "fr")}) <= 2
+    # With too few labels to differ, a branch is merged.
+    assert {r.template for r in got if r.path.startswith("/fr")} == {"/*/*"}
     assert all((r.verdict == "block") == r.path.startswith("/spam") for r in got)
 
 

@@ -25,13 +25,12 @@ def rule_for(rules: dict[str, str]) -> str:
 
     A rule fits its host and all subdomains, and paths that start with its own.
     """
-    fitting = "case"
-    for rule in sorted(rules, key=lambda r: (-len(r), r)):
+    fitting = "cast(null as string)"
+    for rule in sorted(rules, key=lambda r: (len(r), r)):
         host, _, path = rule.partition("/")
-        fitting += (
-            f" when (host = '{host}' or endswith(host, '.{host}')) and startswith(path, '/{path}') then '{rule}'"
-        )
-    return fitting + " end"
+        fits = f"(host = '{host}' or endswith(host, '.{host}')) and startswith(path, '/{path}')"
+        fitting = f"if({fits}, '{rule}', {fitting})"
+    return fitting
 
 
 def templates(df: DataFrame, min_labelled: int = 20, prior: float = 10.0) -> DataFrame:
@@ -42,7 +41,7 @@ def templates(df: DataFrame, min_labelled: int = 20, prior: float = 10.0) -> Dat
     more hexadecimal digits are ``%``.  Shapes are counted first, so that what
     follows grows with the distinct shapes and a hot host is many keys.  Each
     prefix is a node of the host's tree.  A branch is merged with its siblings
-    into ``*`` unless its share of bad labels differs from theirs by a test of
+    into ``*`` unless its share of bad labels differs from theirs together by a test of
     two proportions; with under ``min_labelled`` labels it counts as similar.
     The badness of a template is its share of bad labels, drawn by ``prior``
     labels' weight to the host's, and that to the share of all.
