@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 # Each labeller: bad if the first condition holds, good if the second, else no vote.
 LABELLERS = {
-    "symbols": ("symbols > 0.08D * chars", "symbols < 0.03D * chars"),
-    "shouting": ("capitals > 0.5D * letters", "capitals < 0.15D * letters"),
+    "symbols": ("symbols > 0.4D * n", "symbols < 0.1D * n"),
+    "shouting": ("capitals > 0.5D * letters", "capitals < 0.3D * letters"),
     "echo": ("echoes > 0.15D * n", "echoes < 0.05D * n"),
     "variety": ("kinds < 0.35D * least(n, 400)", "kinds > 0.6D * least(n, 400)"),
     "lines": ("repeated_lines > 0.3D * n_lines", "repeated_lines < 0.1D * n_lines"),
@@ -34,23 +34,20 @@ def measured(df: DataFrame, text: str) -> DataFrame:
     t = f"coalesce(`{text}`, '')"
     cased = rf"regexp_replace(regexp_replace(regexp_replace({t}, r'\p{{Ll}}+', 'a'), r'\p{{Lu}}+', 'A'), r'\p{{N}}+', '0')"
     split = df.selectExpr(
-        "*", f"array_remove(split({t}, r'[\\x20\\x09-\\x0D]+'), '') as _w", f"split({t}, '\\n') as _lines",
-        f"array_remove(split({cased}, r'[\\x20\\x09-\\x0D]+'), '') as _s", f"length({t}) as chars",
-        rf"length(regexp_replace({t}, r'[\p{{L}}\p{{N}}\s.,;:\x27\x22()-]+', '')) as symbols",
-        rf"length(regexp_replace({t}, r'[^\p{{Lu}}]+', '')) as capitals",
-        rf"length(regexp_replace({t}, r'[^\p{{L}}]+', '')) as letters",
+        "*", f"array_remove(split({t}, r'[\x20\x09-\x0D]+'), '') as _w", f"split({t}, '\n') as _lines", f"{cased} as _c",
     )
+    # What is counted by runs of letters is counted in the short text of shapes.
     counted = split.selectExpr(
-        *(f"`{c}`" for c in df.columns), "chars", "symbols", "capitals", "letters", "size(_w) as n",
-        "size(_lines) as n_lines", "size(_lines) - size(array_distinct(_lines)) as repeated_lines",
-        "size(array_distinct(slice(_w, 1, 400))) as kinds",
-        "transform(_s, (s, i) -> if(i > 0 and _w[i] = _w[i - 1], '=', s)) as shapes",
-    ).selectExpr(
-        "*", "size(filter(shapes, s -> s = '=')) as echoes",
-        "size(filter(shapes, s -> s <> '=' and not s rlike '[aA]')) as wordless",
-        "size(filter(shapes, s -> not s rlike '^[aA0=]+$')) as marked",
-        "size(filter(shapes, s -> s rlike '[.?!]$')) as stops",
-    )
+        *(f"`{c}`" for c in df.columns), "size(_w) as n", "size(_lines) as n_lines",
+        "size(_lines) - size(array_distinct(_lines)) as repeated_lines",
+        "size(array_distinct(slice(_w, 1, 400))) as kinds", "length(_c) - length(replace(_c, 'A', '')) as capitals",
+        "length(_c) - length(replace(replace(_c, 'A', ''), 'a', '')) as letters",
+        r"length(regexp_replace(_c, r'[aA0\s.,;:\x27\x22()-]+', '')) as symbols",
+        r"regexp_count(_c, r'(?<!\S)[^aA\s]++(?!\S)') as wordless",
+        r"regexp_count(_c, r'(?<!\S)[aA0]*+[^aA0\s]\S*+') as marked", r"regexp_count(_c, r'[.?!](?!\S)') as stops",
+        "transform(array_remove(split(_c, r'[\\x20\\x09-\\x0D]+'), ''), (s, i) -> "
+        "if(i > 0 and _w[i] = _w[i - 1], '=', s)) as shapes",
+    ).selectExpr("*", "size(filter(shapes, s -> s = '=')) as echoes")
     vote = ", ".join(f"case when n = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end" for bad, good in LABELLERS.values())
     kept = [c for c in df.columns if c not in ("shapes", "votes")]
     return counted.selectExpr(*(f"`{c}`" for c in kept), "shapes", f"array({vote}) as votes")
