@@ -137,7 +137,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the strings of 200 bytes that occur more than once."""
-    return suffix.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.without_repeats(docs, with_bytes=False).drop("kept")
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ ship(__name__)
 GRAM = 40
 # Chunks of one group before it is cut finer, bytes that a task expands at once,
 # and the most texts whose hashes are broadcast.
-MOST_CHUNKS, BYTES_AT_ONCE, MOST_BROADCAST = 2_000, 1_500_000, 500_000
+MOST_CHUNKS, BYTES_AT_ONCE, MOST_BROADCAST = 2_000, 500_000, 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -28,10 +29,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    if len(known.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        known[base] = np.multiply.accumulate(out)
+    return known[base][:n]
 
 
 class Hashes:
@@ -81,9 +84,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     at = np.arange(len(data) - GRAM + 1)
     grams, width = hashes.of(at, at + GRAM), length - GRAM + 1
     least = window_min(grams, width)
-    starts = np.arange(len(least))
-    owner = np.searchsorted(offsets, starts, side="right") - 1
-    valid = starts + length <= offsets[owner + 1]
+    starts, sizes = np.arange(len(least)), np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    valid = starts + length <= np.repeat(offsets[1:], sizes)[: len(least)]
     # Runs must not pass from one text to the next; invalid places lie between texts.
     first, last = runs(least, valid)
     end = last + length
@@ -112,9 +115,9 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """The rows in parts of about ``most`` bytes, so that memory follows that or the longest text."""
-    sizes = np.cumsum([len(x or b"") for x in batch.column(0).cast(pa.binary()).to_pylist()])
+    sizes = np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(sizes):
         upto = (sizes[start - 1] if start else 0) + most
@@ -140,10 +143,17 @@ def chunks(length: int):
 def finer(length: int):
     """Fetches the bytes of chunks; those of a crowded group are cut by further hashes first."""
 
+    names = ["text_key", "start", "alone", "grp", "bytes"]
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b)):
+            out = []
             for text, key, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                out = []
                 for w in wanted:
                     part = text[w["start"] : w["start"] + w["size"]]
                     pieces = [(0, len(part), w["grp"])]
@@ -158,12 +168,7 @@ def finer(length: int):
                         first, last = runs(ids, np.ones(len(ids), bool))
                         pieces = [(a, b + length, int(ids[a].view(np.int64))) for a, b in zip(first, last, strict=True)]
                     out += [(key, w["start"] + a, w["alone"], g, part[a:b]) for a, b, g in pieces]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                types = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                    ["text_key", "start", "alone", "grp", "bytes"],
-                )
+            yield told(out)
 
     return run
 
@@ -174,11 +179,22 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key, known = np.zeros(n, np.int64), 7
     for i in range(known):
         key = key * 257 + np.roll(text, -i)
-    _, rank = np.unique(key, return_inverse=True)
-    while known < depth and rank.max() < n - 1:
-        _, rank = np.unique(rank * n + np.roll(rank, -known), return_inverse=True)
+    open_, rank = np.arange(n), np.zeros(n, np.int64)
+    while True:
+        # Those of equal rank stand together; each gets the place of the first that equals it in one more part.
+        by = np.lexsort((key, rank[open_])) if len(open_) < n else np.argsort(key, kind="stable")
+        open_, key = open_[by], key[by]
+        old = rank[open_]
+        at, new_old = np.arange(len(open_)), np.concatenate(([True], old[1:] != old[:-1]))
+        new = new_old | np.concatenate(([True], key[1:] != key[:-1]))
+        place = old + at - np.maximum.accumulate(np.where(new_old, at, 0))
+        rank[open_] = place[np.maximum.accumulate(np.where(new, at, 0))]
+        several = ~(new & np.append(new[1:], True))
+        open_ = open_[several]
+        if known >= depth or not len(open_):
+            return np.argsort(rank, kind="stable")
+        key = rank[(open_ + known) % n]
         known *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def repeated(pieces: list[bytes], length: int) -> list[np.ndarray]:
@@ -259,11 +275,11 @@ def expanded(length: int):
     return run
 
 
-def kept(length: int, key_type: str):
+def kept(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 4 << 20)):
             sizes, removed, counts, digests, texts = [], [], [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
                     if merged and s <= merged[-1][1]:
@@ -276,9 +292,9 @@ def kept(length: int, key_type: str):
                 removed.append(len(text) - len(rest))
                 counts.append(len(merged))
                 digests.append(hashlib.sha256(rest).hexdigest())
-                texts.append(rest)
+                texts.append(rest if with_bytes else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()),
+                [batch.column(1), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()),
                  pa.array(digests, pa.string()), pa.array(texts, pa.binary())],
                 ["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
@@ -329,20 +345,23 @@ def repeated_spans(df: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(torn).distinct()
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200) -> DataFrame:
+def without_repeats(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_bytes: bool = True
+) -> DataFrame:
     """Rows (``key``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept``), one for each row of ``df``.
 
     ``kept`` is the text's UTF-8 bytes without those in a string of ``length``
     bytes that also starts anywhere else in ``df``, repeated rows included.  A
-    null text is empty; texts shorter than ``length`` stay whole.
+    null text is empty; texts shorter than ``length`` stay whole.  Without
+    ``with_bytes`` the column ``kept`` is null.
     """
     kind = df.schema[key].dataType.simpleString()
     keyed = df.selectExpr(
         f"`{key}` as _key", f"cast(coalesce(`{text}`, '') as binary) as bytes", f"md5(coalesce(`{text}`, '')) as text_key"
     )
     spans = repeated_spans(keyed, length).groupBy("text_key").agg(F.expr("collect_list(struct(s, e)) as spans"))
-    done = keyed.join(spans, "text_key", "left").select("_key", "bytes", "spans").mapInArrow(
-        kept(length, kind),
+    done = keyed.join(spans, "text_key", "left").select("bytes", "_key", "spans").mapInArrow(
+        kept(with_bytes),
         f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary",
     )
     return done.withColumnRenamed("_key", key)
