@@ -25,6 +25,8 @@ EMPTY = 0xFFFF
 SMALL, LARGE = 300, 240
 # Members of a bucket whose pairs become rows, of a block of a larger one, and shingles compared at once.
 SMALL_BUCKET, BLOCK, STRIP = 8, 1024, 4096
+# Rows sketched at once.
+AT_ONCE = 1_000
 
 
 def compressed(least: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def band_keys(registers: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]
 
 def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the digest of the set, its registers and band keys to rows with ``_set``."""
-    for batch in batches:
+    for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
         sets = batch.column(batch.schema.get_field_index("_set"))
         offsets = sets.offsets.to_numpy().astype(np.int64)
         flat = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
