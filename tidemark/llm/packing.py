@@ -16,14 +16,21 @@ from .job import ship
 ship(__name__)
 
 END = 1
-MOST_KNOWN, LONGEST_KNOWN = 400_000, 64
+MARKS = ".,;:!?%&$#*|"
+MOST_KNOWN, LONGEST_KNOWN, AT_ONCE = 1_000_000, 64, 100
 SCHEMA = (
     "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
 
 
 class Words(dict):
-    """Ids of each piece of text without blanks, as bytes; the tokenizer never joins text across blanks."""
+    """Ids of each piece of text without blanks, as bytes.
+
+    The tokenizer never joins text across blanks, nor a letter with the marks
+    after it, and it lower-cases; so pieces are known by their lower-cased
+    words, which are far fewer.  New words of letters alone are encoded many at
+    a time, each being one word to the tokenizer too.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -31,17 +38,52 @@ class Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_KNOWN:
-            if len(self) >= MOST_KNOWN:
-                self.clear()
-            self[word] = ids
-        return ids
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), END.to_bytes(4, "little")]), "<u4")
+    def __missing__(self, word: str) -> bytes:
+        return self.encoded(word).tobytes()
+
+    def parts(self, word: str) -> list[str]:
+        start = word.rstrip(MARKS)
+        parts = [start, word[len(start) :]] if start and start != word and start[-1].isalpha() else [word]
+        if parts[0].isascii() and "<" not in parts[0]:
+            parts[0] = parts[0].lower()
+        return parts
+
+    def learn(self, words: set[str]) -> None:
+        """Know all words but very long ones; all are forgotten when they become too many."""
+        if len(self) > MOST_KNOWN:
+            self.clear()
+        new = {w: self.parts(w) for w in words if len(w) <= LONGEST_KNOWN and w not in self}
+        plain = [p for p in {p for ps in new.values() for p in ps} if p.isalpha() and p not in self]
+        if plain:
+            told = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            data, word = np.array(told.ids, "<u4").tobytes(), np.array(told.word_ids)
+            starts = (np.flatnonzero(np.append(True, word[1:] != word[:-1])) * 4).tolist()
+            if len(starts) == len(plain):
+                self.update(zip(plain, (data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])), strict=True))
+        for word, parts in new.items():
+            for p in parts:
+                if p not in self:
+                    self[p] = self[p]
+            self[word] = b"".join(map(self.__getitem__, parts))
+
+    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        self.learn(set().union(*split))
+        for words in split:
+            yield np.frombuffer(b"".join([*map(self.__getitem__, words), END.to_bytes(4, "little")]), "<u4")
+
+
+def known_words(path: str) -> Words:
+    """The words that this worker process knows already, from its earlier tasks too; at most ``MOST_KNOWN``."""
+    import tokenizers
+
+    shared = vars(tokenizers).setdefault("_known_words", {})
+    if path not in shared:
+        shared[path] = Words(path)
+    return shared[path]
 
 
 class Windows:
@@ -106,7 +148,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = Words(tokenizer), Windows(size)
+        words, windows = known_words(tokenizer), Windows(size)
         sequence, rows = TaskContext.get().partitionId() << 32, []
 
         def done(window: list) -> None:
@@ -124,12 +166,15 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
             )
 
+        def read(got: pa.RecordBatch) -> Iterator[tuple]:
+            for part in (got.slice(i, AT_ONCE) for i in range(0, got.num_rows, AT_ONCE)):
+                yield from zip(part.column(0).to_pylist(), words.ids(part.column(1).to_pylist()), strict=True)
+
         names = [key, *(c.split()[0] for c in SCHEMA.split(", "))]
         types = [pa.int64()] * len(names)
         for got in batches:
             types[0] = got.schema.field(0).type
-            for key_, text_ in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                ids = words.ids(text_)
+            for key_, ids in read(got):
                 full = len(ids) // size * size
                 for at in range(0, full, size):
                     done([(key_, at, ids[at : at + size], len(ids))])
