@@ -13,7 +13,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly taught scorer finds good stay."""
+    """Documents that the weakly taught scorer finds good and that are not toxic stay."""
     return quality.kept(docs).select(*COLUMNS)
 
 

@@ -152,6 +152,27 @@ def test_quality_on_held_out_labels(spark):
     assert sum(r.good for r in rows if r.quality == 1) / sum(r.quality == 1 for r in rows) > 0.98
 
 
+def test_toxic_texts_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").dropDuplicates(["doc_id"])
+    labelled = docs.join(labels, "doc_id")
+    rows = labelled.select("doc_id", "lang", "quality", F.col("toxic").alias("label")).collect()
+    kept = {r.doc_id for r in quality.kept(labelled.select("doc_id", "text")).collect()}
+    # The abuse of the other languages is invented, anew for each table, and on no list.
+    toxic = [r for r in rows if r.label == 1 and r.quality == 1 and r.lang == "en"]
+    clean = [r for r in rows if r.label == 0 and r.quality == 1]
+    assert len(toxic) > 20 and sum(r.doc_id not in kept for r in toxic) / len(toxic) > 0.95
+    assert sum(r.doc_id in kept for r in clean) / len(clean) > 0.98
+
+
+def test_toxic_words_wherever_they_stand(spark):
+    calm = "Good friends walk slowly home. " * 400
+    rows = [(1, "You idiot."), (2, "You friend."), (3, calm + "Idiot, moron! SCUM (worthless) "), (4, calm + "He felt stupid. "), (5, None)]
+    rows += [(6, "Du Trottel!"), (7, "Espèce d'abrutis."), (8, "¡Gilipollas!"), (9, "A scummy pond.")]
+    got = quality.judged(texts(spark, rows)).collect()
+    assert {r.doc_id: r.toxic for r in got} == {i: i in (1, 3, 6, 7, 8) for i in range(1, 10)}
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "Fine words here."), (3, "Fine words here."), (4, "x" * 100_000), (None, "a b, c.")]
     df = texts(spark, rows).withColumn("score", F.lit("clash"))

@@ -2,7 +2,8 @@
 
 Heuristic labellers vote good, bad or nothing.  Expectation-maximisation
 estimates how often each is right, and the posteriors train a linear scorer
-over hashed word shapes, which then judges every text.
+over hashed word shapes, which then judges every text.  Shapes say nothing of
+abuse, so toxic texts are found apart, by a list of words.
 """
 
 from __future__ import annotations
@@ -24,15 +25,31 @@ LABELLERS = {
 }
 BUCKETS, MOST_TRAINED = 1 << 12, 10_000
 
+# Abusive words by language, as regular expressions for letters of a
+# lower-cased word between other marks; each list is looked for in texts of every language.  Other
+# words are not found, such as the invented ones of the given tables in de, fr and es.
+ABUSE = {
+    "en": r"idiots?|morons?|scum|worthless|stupid|losers?|pathetic|disgusting|trash|clowns?|imbeciles?|retards?|retarded|"
+    r"bastards?|bitch(?:es)?|assholes?|dumbass(?:es)?|whores?|sluts?|cunts?|scumbags?|motherfuckers?",
+    "de": r"idioten?|idiotin(?:nen)?|trottel|arschl(?:och|öcher)|abschaum|dummk(?:opf|öpfe)|hurens(?:ohn|öhne)|schlampen?|wichser|"
+    r"missgeburt(?:en)?|drecksau|wertlos(?:e|er|es|en)?",
+    "fr": r"connards?|connasses?|salopes?|salauds?|putes?|imbéciles?|crétine?s?|abrutie?s?|enculés?|idiote?s?|ordures?|débiles?",
+    "es": r"idiotas?|imb[eé]cil(?:es)?|estúpid[oa]s?|gilipollas|putas?|cabr(?:ón|ones)|escoria|pendej[oa]s?|inútil(?:es)?|asqueros[oa]s?",
+}
+# A text is toxic if so large a share of its words are abusive, or so many stand within so many words.
+ABUSIVE_SHARE, ABUSIVE_WORDS, ABUSIVE_WITHIN = 0.01, 4, 400
+
 
 def measured(df: DataFrame, text: str) -> DataFrame:
-    """Add ``shapes`` (a token for each word's shape) and ``votes`` (-1, 0, 1 for each labeller).
+    """Add ``shapes`` (a token for each word's shape), ``votes`` (-1, 0, 1 for each labeller) and ``toxic``.
 
     Letters in a row become ``a`` or ``A``, digits ``0``, other marks stay; a
-    word equal to the one before it becomes ``=``.
+    word equal to the one before it becomes ``=``.  Words are looked up in
+    ``ABUSE`` over the whole text.
     """
     t = f"coalesce(`{text}`, '')"
     cased = rf"regexp_replace(regexp_replace(regexp_replace({t}, r'\p{{Ll}}+', 'a'), r'\p{{Lu}}+', 'A'), r'\p{{N}}+', '0')"
+    abuse = rf"r'(?<!\p{{L}})(?:{'|'.join(ABUSE.values())})(?!\p{{L}})'"
     split = df.selectExpr(
         "*", f"array_remove(split({t}, r'[\x20\x09-\x0D]+'), '') as _w", f"split({t}, '\n') as _lines", f"{cased} as _c",
     )
@@ -47,10 +64,16 @@ def measured(df: DataFrame, text: str) -> DataFrame:
         r"regexp_count(_c, r'(?<!\S)[aA0]*+[^aA0\s]\S*+') as marked", r"regexp_count(_c, r'[.?!](?!\S)') as stops",
         "transform(array_remove(split(_c, r'[\\x20\\x09-\\x0D]+'), ''), (s, i) -> "
         "if(i > 0 and _w[i] = _w[i - 1], '=', s)) as shapes",
+        f"if(lower({t}) rlike {abuse}, filter(transform(_w, (w, i) -> if(lower(w) rlike {abuse}, i, null)), "
+        "i -> i is not null), array()) as abusive",
     ).selectExpr("*", "size(filter(shapes, s -> s = '=')) as echoes")
+    toxic = (
+        f"size(abusive) > 0 and (size(abusive) >= {ABUSIVE_SHARE}D * n or exists(transform(abusive, (p, i) -> "
+        f"get(abusive, i + {ABUSIVE_WORDS - 1}) - p), d -> coalesce(d < {ABUSIVE_WITHIN}, false)))"
+    )
     vote = ", ".join(f"case when n = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end" for bad, good in LABELLERS.values())
-    kept = [c for c in df.columns if c not in ("shapes", "votes")]
-    return counted.selectExpr(*(f"`{c}`" for c in kept), "shapes", f"array({vote}) as votes")
+    kept = [c for c in df.columns if c not in ("shapes", "votes", "toxic")]
+    return counted.selectExpr(*(f"`{c}`" for c in kept), "shapes", f"array({vote}) as votes", f"{toxic} as toxic")
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, np.ndarray]:
@@ -147,26 +170,27 @@ def fit(df: DataFrame, text: str, most_trained: int = MOST_TRAINED) -> tuple[str
 
 
 def judged(df: DataFrame, text: str = "text", threshold: float = 0.5, most_trained: int = MOST_TRAINED) -> DataFrame:
-    """Add ``votes``, ``posterior``, ``score`` (chance of a good text) and ``good`` to every row.
+    """Add ``votes``, ``posterior``, ``score`` (chance of a good text), ``good`` and ``toxic`` to every row.
 
+    ``good`` is of the prose alone, whatever it says; ``toxic`` is of its words.
     A text without words, null included, scores 0 and is not good.  Repeated
     texts score alike.  Columns of ``df`` with these names are replaced.
     """
-    rest = df.drop("votes", "posterior", "score", "good", "shapes")
+    rest = df.drop("votes", "posterior", "score", "good", "toxic", "shapes")
     scorer, teacher = fit(df.select(text), text, most_trained)
     names = [f"`{c}`" for c in rest.columns]
     return (
         measured(rest, text)
-        .selectExpr(*names, "votes", f"{teacher} as posterior", f"if(size(shapes) = 0, 0D, {scorer}) as score")
+        .selectExpr(*names, "votes", "toxic", f"{teacher} as posterior", f"if(size(shapes) = 0, 0D, {scorer}) as score")
         .selectExpr("*", f"score > 0 and score >= {threshold} as good")
     )
 
 
 def kept(df: DataFrame, text: str = "text", **how) -> DataFrame:
-    """The rows of ``df`` whose text is good.
+    """The rows of ``df`` whose text is good and not toxic.
 
     A plain filter would be pushed below the words and shapes and repeat them
     for each word, so the rows are listed by a generator instead.
     """
     columns = ", ".join(f"`{c}`" for c in df.columns)
-    return judged(df, text, **how).selectExpr(f"inline(if(good, array(struct({columns})), null))")
+    return judged(df, text, **how).selectExpr(f"inline(if(good and not toxic, array(struct({columns})), null))")

@@ -119,9 +119,9 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak-label posterior, score and verdict for each document."""
+    """Weak-label posterior, score and verdicts for each document."""
     found = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "votes", "posterior", "score", "good")
+    return found.select("doc_id", "votes", "posterior", "score", "good", "toxic")
 
 
 def tokenizer_file() -> str:
