@@ -173,6 +173,14 @@ def test_toxic_words_wherever_they_stand(spark):
     assert {r.doc_id: r.toxic for r in got} == {i: i in (1, 3, 6, 7, 8) for i in range(1, 10)}
 
 
+def test_variety_counts_all_words(spark):
+    rng, at = random.Random(8), list(quality.LABELLERS).index("variety")
+    varied, spam = prose(rng, 400, 9_999), " buy now cheap" * 3_000
+    rows = [(1, varied), (2, varied + spam), (3, prose(rng, 9_700, 9_999)), (4, "a b c " * 100), (5, "one"), (6, " ")]
+    got = quality.measured(texts(spark, rows), "text").collect()
+    assert {r.doc_id: r.votes[at] for r in got} == {1: 1, 2: -1, 3: 1, 4: -1, 5: 1, 6: 0}
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "Fine words here."), (3, "Fine words here."), (4, "x" * 100_000), (None, "a b, c.")]
     df = texts(spark, rows).withColumn("score", F.lit("clash"))

@@ -17,7 +17,7 @@ LABELLERS = {
     "symbols": ("symbols > 0.4D * n", "symbols < 0.1D * n"),
     "shouting": ("capitals > 0.5D * letters", "capitals < 0.3D * letters"),
     "echo": ("echoes > 0.15D * n", "echoes < 0.05D * n"),
-    "variety": ("kinds < 0.35D * least(n, 400)", "kinds > 0.6D * least(n, 400)"),
+    "variety": ("kinds < 0.35D * n", "kinds > 0.6D * n"),
     "lines": ("repeated_lines > 0.3D * n_lines", "repeated_lines < 0.1D * n_lines"),
     "wordless": ("wordless > 0.2D * n", "wordless < 0.05D * n"),
     "marks": ("marked > 0.5D * n", "marked < 0.25D * n"),
@@ -53,11 +53,13 @@ def measured(df: DataFrame, text: str) -> DataFrame:
     split = df.selectExpr(
         "*", f"array_remove(split({t}, r'[\x20\x09-\x0D]+'), '') as _w", f"split({t}, '\n') as _lines", f"{cased} as _c",
     )
+    # Distinct words of each block of 400, added up, so that long texts are not judged poor for their length.
+    kinds = "aggregate(sequence(0, greatest(0, size(_w) - 1), 400), 0, (a, i) -> a + size(array_distinct(slice(_w, i + 1, 400))))"
     # What is counted by runs of letters is counted in the short text of shapes.
     counted = split.selectExpr(
         *(f"`{c}`" for c in df.columns), "size(_w) as n", "size(_lines) as n_lines",
         "size(_lines) - size(array_distinct(_lines)) as repeated_lines",
-        "size(array_distinct(slice(_w, 1, 400))) as kinds", "length(_c) - length(replace(_c, 'A', '')) as capitals",
+        f"{kinds} as kinds", "length(_c) - length(replace(_c, 'A', '')) as capitals",
         "length(_c) - length(replace(replace(_c, 'A', ''), 'a', '')) as letters",
         r"length(regexp_replace(_c, r'[aA0\s.,;:\x27\x22()-]+', '')) as symbols",
         r"regexp_count(_c, r'(?<!\S)[^aA\s]++(?!\S)') as wordless",
