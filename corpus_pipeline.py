@@ -18,8 +18,8 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    found = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates (80 of 100 shingles) stays, the one with the smallest id."""
+    found = near_dup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi").select(*COLUMNS)
 
 

@@ -6,7 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from brute import components, sha, texts, without_repeats
+from brute import components, sha, shingle_set, texts, without_repeats
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -54,6 +54,24 @@ def test_near_duplicates_without_rows_or_keys(spark):
     ]
 
 
+def test_pipeline_joins_near_duplicates_from_80_percent(spark):
+    rng, rows = random.Random(12), []
+    for i in range(0, 80, 2):
+        # Words far apart are changed: each takes five shingles from both sets.
+        n, changes = (150, (40, 75, 110)) if i % 4 else (400, range(30, 390, 50))
+        a = prose(rng, n, 9_999)
+        w = a.split(" ")
+        for at in changes:
+            w[at] = "changed"
+        one, two = shingle_set(a), shingle_set(" ".join(w))
+        assert 0.8 <= len(one & two) / len(one | two) < 0.85
+        rows += [(i, a), (i + 1, " ".join(w))]
+    docs = texts(spark, rows).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "length(text) as n_chars")
+    got = corpus_pipeline.distinct_texts(spark, docs, SF).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 80, 2))
+    assert near_dup.band_rows(85) == 5 and near_dup.band_rows(80) == 4
+
+
 def test_registers_estimate_resemblance(spark):
     rng = np.random.default_rng(1)
     for n, share in ((150, 0.9), (2_000, 0.85), (2_000, 0.0)):

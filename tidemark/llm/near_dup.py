@@ -17,7 +17,8 @@ from .text import shingles, words
 ship(__name__)
 
 REGISTERS, MANTISSA, ROWS = 128, 10, 5
-BANDS = REGISTERS // ROWS
+# The chance that a pair at the limit misses all bands, at most.
+MISSED = 4.4e-7
 EMPTY = 0xFFFF
 # Sets up to SMALL are entered into every register under its own permutation,
 # as they would leave most buckets empty; sets from LARGE into one bucket a
@@ -58,56 +59,67 @@ def large_registers(flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.where(filled, compressed(least), EMPTY).astype(np.uint16).reshape(n, REGISTERS)
 
 
-def band_keys(registers: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band, and whether any of its registers is filled."""
-    rows = registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(salt * BANDS + 1), rows.shape[:2]).copy()
-    for i in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Registers of a band: as many, up to ``ROWS``, as keep the chance to miss a pair at the limit within ``MISSED``."""
+    chances = {r: (1 - (percent / 100) ** r) ** (REGISTERS // r) for r in range(1, ROWS + 1)}
+    return max((r for r, c in chances.items() if c <= MISSED), default=1)
+
+
+def band_keys(registers: np.ndarray, salt: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key for each band of ``size`` registers, and whether any of them is filled."""
+    bands = REGISTERS // size
+    rows = registers[:, : bands * size].reshape(-1, bands, size).astype(np.uint64)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(salt * bands + 1), rows.shape[:2]).copy()
+    for i in range(size):
         key = (key ^ rows[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(31)
     return key.view(np.int64), (rows != EMPTY).any(axis=2)
 
 
-def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the digest of the set, its registers and band keys to rows with ``_set``."""
-    for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
-        sets = batch.column(batch.schema.get_field_index("_set"))
-        offsets = sets.offsets.to_numpy().astype(np.int64)
-        flat = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        sizes = np.diff(offsets)
-        digests = [
-            hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest()
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True)
-        ]
-        registers, bands = {}, [[] for _ in sizes]
-        for salt, (name, chosen) in enumerate(
-            (("_small", (sizes > 0) & (sizes <= SMALL)), ("_large", sizes >= LARGE))
-        ):
-            rows = np.flatnonzero(chosen)
-            found: list = [None] * len(sizes)
-            if len(rows):
-                own = np.repeat(chosen, sizes)
-                part = flat[offsets[0] : offsets[-1]][own]
-                starts = np.concatenate(([0], np.cumsum(sizes[rows])[:-1]))
-                if name == "_small":
-                    made = small_registers(part, starts)
-                else:
-                    made = large_registers(part, np.repeat(np.arange(len(rows)), sizes[rows]), len(rows))
-                keys, filled = band_keys(made, salt)
-                for k, row in enumerate(rows):
-                    found[row] = made[k].view(np.int16)
-                    bands[row].append(keys[k][filled[k]])
-            registers[name] = pa.array(found, pa.list_(pa.int16()))
-        joined = [np.concatenate(b) if b else np.empty(0, np.int64) for b in bands]
-        kept = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-        yield pa.RecordBatch.from_pydict(
-            kept | {"_node": pa.array(digests, pa.binary()), **registers, "_bands": pa.array(joined, pa.list_(pa.int64()))}
-        )
+def sketched(size: int):
+    """Adds the digest of the set, its registers and keys of bands of ``size`` to rows with ``_set``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
+            sets = batch.column(batch.schema.get_field_index("_set"))
+            offsets = sets.offsets.to_numpy().astype(np.int64)
+            flat = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = np.diff(offsets)
+            digests = [
+                hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest()
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True)
+            ]
+            registers, bands = {}, [[] for _ in sizes]
+            for salt, (name, chosen) in enumerate(
+                (("_small", (sizes > 0) & (sizes <= SMALL)), ("_large", sizes >= LARGE))
+            ):
+                rows = np.flatnonzero(chosen)
+                found: list = [None] * len(sizes)
+                if len(rows):
+                    own = np.repeat(chosen, sizes)
+                    part = flat[offsets[0] : offsets[-1]][own]
+                    starts = np.concatenate(([0], np.cumsum(sizes[rows])[:-1]))
+                    if name == "_small":
+                        made = small_registers(part, starts)
+                    else:
+                        made = large_registers(part, np.repeat(np.arange(len(rows)), sizes[rows]), len(rows))
+                    keys, filled = band_keys(made, salt, size)
+                    for k, row in enumerate(rows):
+                        found[row] = made[k].view(np.int16)
+                        bands[row].append(keys[k][filled[k]])
+                registers[name] = pa.array(found, pa.list_(pa.int16()))
+            joined = [np.concatenate(b) if b else np.empty(0, np.int64) for b in bands]
+            kept = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            yield pa.RecordBatch.from_pydict(
+                kept | {"_node": pa.array(digests, pa.binary()), **registers, "_bands": pa.array(joined, pa.list_(pa.int64()))}
+            )
+
+    return run
 
 
-def with_nodes(sets: DataFrame, keep: str) -> DataFrame:
+def with_nodes(sets: DataFrame, keep: str, percent: int) -> DataFrame:
     return sets.mapInArrow(
-        sketched, f"{keep}, _set array<bigint>, _node binary, _small array<smallint>, _large array<smallint>, _bands array<bigint>"
+        sketched(band_rows(percent)), f"{keep}, _set array<bigint>, _node binary, _small array<smallint>, _large array<smallint>, _bands array<bigint>"
     )
 
 
@@ -275,7 +287,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     sets = split.selectExpr("_key", "_text", f"sort_array({shingles('_w')}) as _set").selectExpr(
         "_key", "_text", "size(_set) as n", "_set"
     )
-    rows = saved(with_nodes(sets, f"_key {kind}, _text bigint, n int").drop("_set"))
+    rows = saved(with_nodes(sets, f"_key {kind}, _text bigint, n int", percent).drop("_set"))
     nodes = saved(
         rows.where("n > 0").groupBy("_node").agg(
             F.expr("min(_text) as _text"), *(F.expr(f"first({c}) as {c}") for c in ("n", "_small", "_large", "_bands"))
