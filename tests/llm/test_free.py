@@ -107,6 +107,24 @@ def test_repeated_strings(spark, monkeypatch, most_chunks):
     assert suffix.without_repeats(texts(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shared", [150, 70])
+def test_no_task_expands_a_crowded_group(spark, monkeypatch, shared):
+    expand = suffix.repeated
+
+    def bounded(pieces, length):
+        assert len(pieces) <= 10
+        return expand(pieces, length)
+
+    for name, value in (("MOST_CHUNKS", 10), ("BYTES_AT_ONCE", 1), ("repeated", bounded)):
+        monkeypatch.setattr(suffix, name, value)
+    # One passage in many different texts; the shorter one leaves few equal strings and many kinds.
+    rng = random.Random(10)
+    passage = prose(rng, 60, 99_999)[:shared]
+    rows = [(i, f"{prose(rng, 30, 99_999)} {passage} {prose(rng, 30, 99_999)}") for i in range(60)]
+    got = suffix.without_repeats(texts(spark, rows), length=60).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(without_repeats(rows, 60))
+
+
 def test_interval_expansion_alone():
     rng = random.Random(2)
     pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 60))) for _ in range(30)]

@@ -173,6 +173,24 @@ def finer(length: int):
     return run
 
 
+def windows(length: int):
+    """Rows (``text_key``, ``s``, ``alone``, ``grp``, ``h``) for every string of ``length`` bytes of the pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in slices(b)):
+            data, offsets = flat_bytes(part.column(0))
+            many = np.diff(offsets) - length + 1
+            owner = np.repeat(np.arange(len(many)), many)
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            start = offsets[owner] + at
+            keys, starts, alone, grp = (part.column(i).take(pa.array(owner)) for i in range(1, 5))
+            places = pa.array(starts.to_numpy(zero_copy_only=False) + at, pa.int64())
+            hashes = pa.array(Hashes(data).of(start, start + length).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, places, alone, grp, hashes], ["text_key", "s", "alone", "grp", "h"])
+
+    return run
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of the text ordered by at least their first ``depth`` symbols, ties in any order."""
     n = len(text)
@@ -308,7 +326,8 @@ def repeated_spans(df: DataFrame, length: int) -> DataFrame:
     ``df`` has ``text_key`` and ``bytes``.  Chunks that are equal as a whole
     are repeated and need no expansion, however often they occur; of the other
     chunks of their group one copy each is expanded.  A crowded group is cut by
-    further content hashes, twice as many for each doubling of its chunks.
+    further content hashes, twice as many for each doubling of its chunks; its
+    pieces are settled as chunks are, see ``crowded``.
     """
     found = df.select("bytes", "text_key").mapInArrow(
         chunks(length), "text_key string, start bigint, size bigint, grp bigint, content bigint, twice boolean"
@@ -333,18 +352,53 @@ def repeated_spans(df: DataFrame, length: int) -> DataFrame:
         .groupBy("text_key").agg(F.expr("collect_list(w) as wanted"))
     )
     wanted = saved(wanted)
-    texts, keys = df.select("bytes", "text_key"), wanted.select("text_key")
-    if wanted.count() <= MOST_BROADCAST:
-        texts = texts.join(F.broadcast(keys), "text_key", "left_semi")
-    pieces = (
-        texts.join(wanted, "text_key").dropDuplicates(["text_key"]).select("bytes", "text_key", "wanted")
-        .mapInArrow(finer(length), "text_key string, start bigint, alone boolean, grp bigint, bytes binary")
-    )
+    few, names = wanted.count() <= MOST_BROADCAST, ["text_key", "start", "alone", "grp", "bytes"]
+
+    def fetched(which: str) -> DataFrame:
+        asked = wanted.selectExpr("text_key", f"filter(wanted, w -> {which}) as wanted").where("size(wanted) > 0")
+        texts = df.select("bytes", "text_key")
+        if few:
+            texts = texts.join(F.broadcast(asked.select("text_key")), "text_key", "left_semi")
+        return (
+            texts.join(asked, "text_key").dropDuplicates(["text_key"]).select("bytes", "text_key", "wanted")
+            .mapInArrow(finer(length), "text_key string, start bigint, alone boolean, grp bigint, bytes binary")
+        )
+
+    pieces = fetched("w.rounds = 0")
+    if wanted.where("exists(wanted, w -> w.rounds > 0)").take(1):
+        settled, left = crowded(saved(fetched("w.rounds > 0")), length)
+        whole, pieces = whole.unionByName(settled), pieces.unionByName(left.select(*names))
     parts = pieces.repartition("grp").sortWithinPartitions("grp")
     torn = parts.mapInArrow(expanded(length), "text_key string, s bigint, e bigint")
     return whole.unionByName(torn).distinct()
 
 
+def crowded(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans settled of the pieces of crowded groups, and the pieces left to expand.
+
+    Equal pieces are counted before the shuffle; those that occur twice or more
+    are repeated as a whole, and one copy of each kind is left.  Groups that
+    still have more than ``MOST_CHUNKS`` kinds are settled by the hashes of all
+    their strings instead, so that no task holds such a group.
+    """
+    at = ["grp", "content", "size"]
+    pieces = pieces.selectExpr("*", "md5(bytes) as content", "length(bytes) as size")
+    kinds = pieces.groupBy(*at).agg(
+        F.expr("count(1) as n"), F.expr("max(alone) as alone"), F.expr("min(struct(text_key, start)) as one"),
+        F.expr("first(bytes) as bytes"),
+    ).selectExpr(*at, "n", "n = 1 and alone as alone", "one.text_key as text_key", "one.start as start", "bytes")
+    kinds = saved(kinds)
+    whole = pieces.where("alone").join(kinds.where("n > 1").select(*at), at).selectExpr("text_key", "start as s", "start + size as e")
+    groups = kinds.groupBy("grp").agg(F.expr("count(1) as kinds"), F.expr("max(alone) as open")).where("open").drop("open")
+    left = kinds.select("bytes", "text_key", "start", "alone", "grp").join(groups, "grp")
+    strings = left.where(f"kinds > {MOST_CHUNKS}").select("bytes", "text_key", "start", "alone", "grp").mapInArrow(
+        windows(length), "text_key string, s bigint, alone boolean, grp bigint, h bigint"
+    )
+    several = strings.groupBy("grp", "h").agg(F.expr("count(1) as n")).where("n > 1").select("grp", "h")
+    found = strings.where("alone").join(several, ["grp", "h"]).selectExpr("text_key", "s", f"s + {length} as e")
+    return whole.unionByName(found), left.where(f"kinds <= {MOST_CHUNKS}")
+
+
 def without_repeats(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, with_bytes: bool = True
 ) -> DataFrame:
