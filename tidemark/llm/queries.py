@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, suffix, urls
+from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, suffix, tokens, urls
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -124,10 +124,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "votes", "posterior", "score", "good", "toxic")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(docs, with_bytes=False).drop("kept")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of each document, and whether there are more than 4096."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "cast(coalesce(octet_length(text), 0) as bigint) as n_bytes")
+    counted = tokens.with_tokens(docs, tokenizer_file("piece_bpe_32k.model"), limit=4096)
+    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup)
+    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup, op12_token_counts)
 }
