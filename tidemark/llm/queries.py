@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, packing, pii, quality, sharding, sketch, suffix, tokens, urls
+from . import chat, decontaminate, near_dup, negatives, packing, pii, quality, repair, sharding, sketch, suffix, tokens, urls
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -141,6 +141,37 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeats(docs, with_bytes=False).drop("kept")
 
 
+# What happens to a row, by the remainder of its checksum.
+DROPPED, EMPTIED, UNENDED, REPEATED, RENAMED = range(5)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, left without ends of sentences, repeated or given to the user."""
+    named = "concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' '))"
+    rows = conversations.selectExpr(
+        "conv_id", "turn", "coalesce(role, ' ') as role", "coalesce(text, ' ') as text", f"crc32({named}) % 20 as _fate"
+    )
+    text = f"case _fate when {EMPTIED} then '' when {UNENDED} then translate(text, '.!?', '') else text end"
+    return rows.where(f"_fate <> {DROPPED}").selectExpr(
+        "conv_id", "turn", f"if(_fate = {RENAMED}, 'user', role) as role", f"{text} as text",
+        f"explode(sequence(1, if(_fate = {REPEATED}, 2, 1)))",
+    ).drop("col")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired: faults, cost, edits and a digest of each."""
+    conversations = table(spark, sf_dir, "conversations")
+    found, messages = repair.repair(damaged(conversations))
+    found = found.withColumnRenamed("conv_id", "_found")
+    told = repair.digests(messages).withColumnRenamed("conv_id", "_told")
+    every = conversations.select("conv_id").distinct()
+    joined = every.join(found, F.expr("conv_id <=> _found"), "left").join(told, F.expr("conv_id <=> _told"), "left")
+    sums = (f"coalesce({c}, 0L) as {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return joined.selectExpr(
+        "conv_id", *sums, "coalesce(audit, '') as audit", "coalesce(sha256, sha2('', 256)) as repaired_sha256"
+    )
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of tokens of each document, and whether there are more than 4096."""
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "cast(coalesce(octet_length(text), 0) as bigint) as n_bytes")
@@ -148,6 +179,14 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives that score from 80 to 100 hundredths of each positive of the anchors; a seventh of the labels is changed first."""
+    vectors = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "embedding", "if(vec_id % 7 = 0, (label + 1) % 10, label) as label"
+    )
+    return negatives.hard_negatives(vectors, "vec_id % 100 = 0")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup, op12_token_counts)
+    f.__name__: f for f in (op1_pii, op2_quality, op3_decontaminate, op4_suffix_dedup, op5_sharding, op6_urls, op7_fingerprints, op8_packing, op9_chat, op10_near_dup, op11_repair, op12_token_counts, op13_hard_negatives)
 }
