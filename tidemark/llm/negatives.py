@@ -19,7 +19,7 @@ ship(__name__)
 ROWS_EACH, ANCHORS_EACH, LEAST_EACH = 32_768, 8_192, 1_024
 SCORED_AT_ONCE = (256, 8_192)
 # A key is an anchor, a score that falls, positives before negatives, and an id; its bytes sort as these do.
-KEY = struct.Struct(">QQBQ")
+KEY = ">QQBQ"
 KEYS = np.dtype([("anchor", ">u8"), ("fall", ">u8"), ("kind", "u1"), ("id", ">u8")])
 HALF = 1 << 63
 POSITIVE, NEGATIVE = 0, 1
@@ -37,7 +37,7 @@ def packed(anchor: np.ndarray, score: np.ndarray, kind: int, ids: np.ndarray) ->
 
 
 def unpacked(key: bytes) -> tuple[int, int, int, int]:
-    anchor, fall, kind, id_ = KEY.unpack(key)
+    anchor, fall, kind, id_ = struct.unpack(KEY, key)
     return anchor - HALF, HALF - 1 - fall, kind, id_ - HALF
 
 
@@ -85,6 +85,7 @@ def scored(pick: Callable, scale: int, k: int) -> Callable:
 
     def run(rows: pa.Table, anchors: pa.Table) -> pa.Table:
         keys: list[bytes] = []
+        anchors = anchors.rename_columns([c.removeprefix("a") for c in anchors.column_names])
         of_rows, of_anchors = by_length(rows, scale), by_length(anchors, scale)
         ids, labels = rows.column("_id").to_numpy(), rows.column("_label").to_numpy()
         wanted = anchors.select(["_id", "_label", "_windows"]).to_pydict()
@@ -203,7 +204,8 @@ def hard_negatives(
             "*", f"pmod(xxhash64(_id, 1), {groups}L) as _group", f"explode(sequence(0L, {blocks - 1}L)) as _block"
         )
         right = asking.selectExpr(
-            "*", f"pmod(xxhash64(_id, 2), {blocks}L) as _block", f"explode(sequence(0L, {groups - 1}L)) as _group"
+            "_id as a_id", "_label as a_label", "_vector as a_vector", "_windows as a_windows",
+            f"pmod(xxhash64(_id, 2), {blocks}L) as _block", f"explode(sequence(0L, {groups - 1}L)) as _group",
         )
         grouped = left.groupBy("_group", "_block").cogroup(right.groupBy("_group", "_block"))
         return grouped.applyInArrow(scored(pick, scale, k), "key binary")
