@@ -39,7 +39,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_all_are_registered():
     assert [n for n in QUERIES if n in contract.queries()] == list(QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_personal_data_query(spark, docs):
