@@ -38,7 +38,11 @@ def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes modulo 2**64 of any part of some bytes."""
+    """Polynomial hashes modulo 2**64 of any part of some bytes.
+
+    They deal strings into groups; structured strings collide in them, so they
+    never decide that strings are equal.
+    """
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -70,8 +74,15 @@ def runs(least: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new, ends
 
 
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """MD5 of parts of some bytes, as two whole numbers each; what decides that parts are equal."""
+    view = memoryview(np.ascontiguousarray(data))
+    told = b"".join(hashlib.md5(view[a:b]).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    return np.frombuffer(told, np.int64).reshape(-1, 2)
+
+
 def cut(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Chunks of the texts at ``offsets``: text, first start, size in bytes, group, content hash, twice.
+    """Chunks of the texts at ``offsets``: text, first start, size in bytes, group, two halves of a digest, twice.
 
     Each string of ``length`` bytes belongs to the group of the least hash of
     its ``GRAM``-grams, wherever it stands; neighbours of one group are a chunk.
@@ -79,7 +90,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     """
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, none.astype(bool)
+        return none, none, none, none, none, none, none.astype(bool)
     hashes = Hashes(data)
     at = np.arange(len(data) - GRAM + 1)
     grams, width = hashes.of(at, at + GRAM), length - GRAM + 1
@@ -90,9 +101,10 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     # Runs must not pass from one text to the next; invalid places lie between texts.
     first, last = runs(least, valid)
     end = last + length
+    content = digests(data, first, end)
     return (
         owner[first], first - offsets[owner[first]], end - first, least[first].view(np.int64),
-        hashes.of(first, end).view(np.int64), counted(grams, least, first, last + width - 1) > 1,
+        content[:, 0], content[:, 1], counted(grams, least, first, last + width - 1) > 1,
     )
 
 
@@ -130,11 +142,11 @@ def chunks(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b)):
             data, offsets = flat_bytes(part.column(0))
-            owner, start, size, group, content, twice = cut(data, offsets, length)
+            owner, start, size, group, content, content2, twice = cut(data, offsets, length)
             keys = part.column(1).take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(group), pa.array(content), pa.array(twice)],
-                ["text_key", "start", "size", "grp", "content", "twice"],
+                [keys, pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(group), pa.array(content), pa.array(content2), pa.array(twice)],
+                ["text_key", "start", "size", "grp", "content", "content2", "twice"],
             )
 
     return run
@@ -174,7 +186,7 @@ def finer(length: int):
 
 
 def windows(length: int):
-    """Rows (``text_key``, ``s``, ``alone``, ``grp``, ``h``) for every string of ``length`` bytes of the pieces."""
+    """Rows (``text_key``, ``s``, ``alone``, ``grp``, ``h``, ``h2``) for every string of ``length`` bytes of the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b)):
@@ -185,8 +197,10 @@ def windows(length: int):
             start = offsets[owner] + at
             keys, starts, alone, grp = (part.column(i).take(pa.array(owner)) for i in range(1, 5))
             places = pa.array(starts.to_numpy(zero_copy_only=False) + at, pa.int64())
-            hashes = pa.array(Hashes(data).of(start, start + length).view(np.int64))
-            yield pa.RecordBatch.from_arrays([keys, places, alone, grp, hashes], ["text_key", "s", "alone", "grp", "h"])
+            told = digests(data, start, start + length)
+            yield pa.RecordBatch.from_arrays(
+                [keys, places, alone, grp, pa.array(told[:, 0]), pa.array(told[:, 1])], ["text_key", "s", "alone", "grp", "h", "h2"]
+            )
 
     return run
 
@@ -330,18 +344,20 @@ def repeated_spans(df: DataFrame, length: int) -> DataFrame:
     pieces are settled as chunks are, see ``crowded``.
     """
     found = df.select("bytes", "text_key").mapInArrow(
-        chunks(length), "text_key string, start bigint, size bigint, grp bigint, content bigint, twice boolean"
+        chunks(length), "text_key string, start bigint, size bigint, grp bigint, content bigint, content2 bigint, twice boolean"
     )
     found = saved(found)
     groups = found.groupBy("grp").agg(
-        F.expr("count(1) as _n"), F.expr("min(content) <> max(content) or max(twice) as torn")
+        F.expr("count(1) as _n"),
+        F.expr("min(content) <> max(content) or min(content2) <> max(content2) or max(twice) as torn"),
     )
     shared = saved(found.drop("twice").join(groups.where("_n > 1 or torn").drop("_n"), "grp"))
-    copies = shared.groupBy("grp", "content", "size", "torn").agg(
+    same = ["grp", "content", "content2", "size"]
+    copies = shared.groupBy(*same, "torn").agg(
         F.expr("count(1) as n"), F.expr("min(struct(text_key, start)) as one")
     )
     copies = saved(copies)
-    whole = shared.join(copies.where("n > 1").select("grp", "content", "size"), ["grp", "content", "size"]).selectExpr(
+    whole = shared.join(copies.where("n > 1").select(*same), same).selectExpr(
         "text_key", "start as s", "start + size as e"
     )
     kinds = copies.where("torn").groupBy("grp").agg(F.expr("count(1) as kinds"), F.expr("min(n) as least"))
@@ -378,7 +394,7 @@ def crowded(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     Equal pieces are counted before the shuffle; those that occur twice or more
     are repeated as a whole, and one copy of each kind is left.  Groups that
-    still have more than ``MOST_CHUNKS`` kinds are settled by the hashes of all
+    still have more than ``MOST_CHUNKS`` kinds are settled by the digests of all
     their strings instead, so that no task holds such a group.
     """
     at = ["grp", "content", "size"]
@@ -392,10 +408,11 @@ def crowded(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     groups = kinds.groupBy("grp").agg(F.expr("count(1) as kinds"), F.expr("max(alone) as open")).where("open").drop("open")
     left = kinds.select("bytes", "text_key", "start", "alone", "grp").join(groups, "grp")
     strings = left.where(f"kinds > {MOST_CHUNKS}").select("bytes", "text_key", "start", "alone", "grp").mapInArrow(
-        windows(length), "text_key string, s bigint, alone boolean, grp bigint, h bigint"
+        windows(length), "text_key string, s bigint, alone boolean, grp bigint, h bigint, h2 bigint"
     )
-    several = strings.groupBy("grp", "h").agg(F.expr("count(1) as n")).where("n > 1").select("grp", "h")
-    found = strings.where("alone").join(several, ["grp", "h"]).selectExpr("text_key", "s", f"s + {length} as e")
+    string = ["grp", "h", "h2"]
+    several = strings.groupBy(*string).agg(F.expr("count(1) as n")).where("n > 1").select(*string)
+    found = strings.where("alone").join(several, string).selectExpr("text_key", "s", f"s + {length} as e")
     return whole.unionByName(found), left.where(f"kinds <= {MOST_CHUNKS}")
 
 
