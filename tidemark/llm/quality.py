@@ -145,18 +145,22 @@ def trained(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, good: np.nd
 def fit(df: DataFrame, text: str, most_trained: int = MOST_TRAINED) -> tuple[str, str]:
     """SQL of the scorer and of the posterior that taught it.
 
-    The labellers are estimated over all texts.  The scorer is fitted on about
-    ``most_trained`` texts, a bound of the training and not of the judging,
-    taken by hash; of each the driver gets counts by hash cell.
+    The labellers are estimated over all texts.  The scorer is fitted on
+    ``most_trained`` distinct texts at most, a bound of the training and not of
+    the judging, taken in the order of their hashes; of each the driver gets
+    counts by hash cell, once however often the text occurs.
     """
     patterns = measured(df, text).groupBy("votes").agg(F.expr("count(1) as c")).collect()
     total = sum(r.c for r in patterns)
     if not total:
         return "0.5D", "0.5D"
     teacher = posterior_sql(*estimate([(tuple(r.votes), r.c) for r in patterns]))
-    taken = df.where(f"pmod(xxhash64(`{text}`), {max(1, total // max(1, most_trained))}) = 0")
+    hashed = df.selectExpr(f"`{text}`", f"xxhash64(`{text}`) as _hash")
+    some = hashed.where(f"pmod(_hash, {max(1, -(-total // max(1, most_trained)))}) = 0")
+    last = some.select("_hash").distinct().orderBy("_hash").limit(most_trained).selectExpr("max(_hash)").first()[0]
+    taken = some.where(f"_hash <= {last}").dropDuplicates(["_hash"]) if last is not None else some
     counts = (
-        measured(taken, text)
+        measured(taken.select(text), text)
         .selectExpr(
             "monotonically_increasing_id() as row", f"{teacher} as good", "size(shapes) as n",
             f"transform(shapes, s -> pmod(hash(s), {BUCKETS})) as cells",
