@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,8 @@ class Words(dict):
     """Ids of each piece of text without blanks, as bytes.
 
     The tokenizer never joins text across blanks, nor a letter with the marks
-    after it, and it lower-cases; so pieces are known by their lower-cased
-    words, which are far fewer.  New words of letters alone are encoded many at
+    after it unless its normal form ends in a mark itself, and it lower-cases;
+    so pieces are known by their lower-cased words, which are far fewer.  New words of letters alone are encoded many at
     a time, each being one word to the tokenizer too.
     """
 
@@ -46,7 +47,10 @@ class Words(dict):
 
     def parts(self, word: str) -> list[str]:
         start = word.rstrip(MARKS)
-        parts = [start, word[len(start) :]] if start and start != word and start[-1].isalpha() else [word]
+        apart = start and start != word and start[-1].isalpha()
+        if apart and not start[-1].isascii():
+            apart = unicodedata.normalize("NFC", start[-1]).lower()[-1].isalpha()
+        parts = [start, word[len(start) :]] if apart else [word]
         if parts[0].isascii() and "<" not in parts[0]:
             parts[0] = parts[0].lower()
         return parts
