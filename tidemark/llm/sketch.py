@@ -93,13 +93,13 @@ def followed(df: DataFrame, key: str, column: str, name: str, rows_each: int = 5
     inside = dealt.selectExpr(
         "*", f"lead(struct(`{column}` as v)) over (partition by _range order by `{key}` nulls first, _tie) as _next"
     )
-    starts = dealt.groupBy("_range").agg(F.expr(f"min(struct({place} as k, _tie as t)) as _least")).selectExpr(
+    starts = dealt.groupBy("_range").agg(F.expr(f"min(struct(`{key}` as k, _tie as t)) as _least")).selectExpr(
         "_range as _of", "_least",
         "coalesce(lag(_range) over (order by _range), last(_range) over (order by _range rows between "
         "unbounded preceding and unbounded following)) as _before",
     )
     firsts = (
-        dealt.join(F.broadcast(starts), F.expr(f"_range = _of and {place} = _least.k and _tie = _least.t"))
+        dealt.join(F.broadcast(starts), F.expr(f"_range = _of and `{key}` <=> _least.k and _tie = _least.t"))
         .selectExpr("_before", f"struct(`{column}` as v) as _first")
         .dropDuplicates(["_before"])
     )
