@@ -14,10 +14,12 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows, computed once, written as Parquet under ``spark.checkpoint.dir`` and read again.
 
     Lost executors cost nothing that was saved.  The folder is the session's;
-    a temporary one is made only where there is none, as in tests.
+    a temporary one is made only on one machine, as in tests.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{shared or tempfile.mkdtemp(prefix='spark-')}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
