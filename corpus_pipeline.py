@@ -18,9 +18,16 @@ def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (80 of 100 shingles) stays, the one with the smallest id."""
-    found = near_dup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi").select(*COLUMNS)
+    """One document of each group of near-duplicates (80 of 100 shingles) stays, the one with the smallest id.
+
+    A document is its id and text: rows equal in both are one, and of several
+    texts under one id each is judged for itself.  Empty texts are alike to
+    nothing and stay.
+    """
+    named = docs.withColumn("_row", F.expr("md5(concat(coalesce(cast(doc_id as string), '-'), ':', coalesce(text, '')))"))
+    found = near_dup.near_duplicates(named.selectExpr("struct(doc_id, _row) as _id", "text"), "_id", percent=80)
+    found = found.where("kept").selectExpr("_id._row as _row").distinct()
+    return named.join(found, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
