@@ -1,3 +1,5 @@
+import random
+import statistics
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -13,6 +15,7 @@ from tidemark.operators.panels import panel_as_of
 from tidemark.operators.prevalence import prevalence
 from tidemark.operators.rings import rings_from_vertices
 from tidemark.operators.skew import hot_keys, skew_join
+from tidemark.operators import zone_cells
 from tidemark.operators.zone_cells import cell_summary, coverage
 from tidemark.sources.geojson import polygons_from_geojson, read_geojson_lines
 from tidemark.sources.layers import LayerRefused, layers, publish, read_layer
@@ -121,6 +124,27 @@ def test_panel_as_of(spark):
         assert {r.building_id: r.version for r in found.collect()} == {0: None, 1: 1, 2: 1}
 
 
+@pytest.mark.parametrize("kind", ("bigint", "double", "decimal(20,3)"))
+def test_median_ranks_only_the_middle(spark, monkeypatch, kind):
+    monkeypatch.setattr(zone_cells, "RANKED_WHOLE", 20)
+    rng = random.Random(3)
+    spread = [rng.randint(-(10**9), 10**9) for _ in range(3_001)]
+    groups = {1: spread, 2: spread[:-1], 3: [5] * 2_000 + [9] * 2_000, 4: [7], 5: [1, 2], 6: [0] * 999 + spread[:999], None: []}
+    rows = [(c, rng.choice(("a", None)), v) for c, vs in groups.items() for v in vs] + [(None, "a", 1), (1, "a", None)]
+    df = spark.createDataFrame(rows, "cell bigint, datum string, v bigint").selectExpr("cell", "datum", f"cast(v as {kind}) as v")
+    got = {(r.cell_id, r.datum): r for r in cell_summary(df, "cell", "v", by=("datum",), hot_rows=100).collect()}
+    want = {}
+    for c, d, v in rows:
+        if c is not None and v is not None:
+            want.setdefault((c, d), []).append(v)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        r = got[key]
+        assert (r.n_values, r.min_value, r.max_value) == (len(values), min(values), max(values))
+        assert float(r.median_value) == statistics.median(values)
+    assert cell_summary(df.limit(0), "cell", "v").collect() == []
+
+
 def test_cell_summary_and_coverage(spark):
     rows = [(1, 5), (1, 1), (1, 2), (1, 8), (2, 7), (2, 7), (2, 9), (3, None), (None, 4)]
     df = spark.createDataFrame(rows, "cell long, v long")

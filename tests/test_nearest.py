@@ -3,7 +3,7 @@ import random
 import pytest
 
 from helpers import plan, points
-from tidemark.operators.nearest import nearest
+from tidemark.operators.nearest import candidates, nearest, target_leaves
 
 
 def elevations(spark, rows):
@@ -72,3 +72,34 @@ def test_empty_inputs(spark):
     for strategy in ("auto", "broadcast", "shuffle"):
         assert nearest(spots.limit(0), targets, 9, strategy=strategy).count() == 0
         assert nearest(spots, targets.limit(0), 9, strategy=strategy).first().near_bfe_id is None
+
+
+def test_crowded_targets_are_not_all_ranked(spark):
+    rng = random.Random(9)
+    targets = sorted({(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(700)})
+    spots = [(20_000 + rng.randint(0, 700), rng.randint(0, 700)) for _ in range(4_000)]
+    near = candidates(points(spark, spots), elevations(spark, [(i, *t) for i, t in enumerate(targets)]), 50_000, 1, "'id', bfe_id")
+    found = near.selectExpr("x", "y", "size(_near) as n", "array_min(transform(_near, t -> (x - t.x) * (x - t.x) + (y - t.y) * (y - t.y))) as d2")
+    rows = found.collect()
+    assert len(rows) == len(set(spots)) and sum(r.n for r in rows) < len(set(spots)) * len(targets) / 20
+    least = {s: min((s[0] - x) ** 2 + (s[1] - y) ** 2 for x, y in targets) for s in set(spots)}
+    assert {(r.x, r.y): r.d2 for r in rows} == least
+
+
+@pytest.mark.parametrize("most", (1, 4))
+def test_leaves_hold_few_targets_each_once(spark, most):
+    rng = random.Random(10)
+    spots = {(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(200)} | {(rng.randint(-5000, 5000), -7) for _ in range(80)}
+    rows = elevations(spark, [(i, *t) for i, t in enumerate(sorted(spots))]).selectExpr("struct(bfe_id) as t", "x", "y")
+    leaves = target_leaves(rows, 2, 4, most, [], hot_rows=5).collect()
+    assert sorted((t.x, t.y) for r in leaves for t in r.ts) == sorted(spots)
+    for r in leaves:
+        assert r.n == len(r.ts) and (r.n <= most or (r.x0 // 2, r.y0 // 2) == (r.x1 // 2, r.y1 // 2))
+        assert (r.x0, r.y0, r.x1, r.y1) == (
+            min(t.x for t in r.ts), min(t.y for t in r.ts), max(t.x for t in r.ts), max(t.y for t in r.ts)
+        )
+
+
+def test_auto_shuffles_where_targets_crowd(spark):
+    spots, targets = points(spark, [(0, 0)]), elevations(spark, [(i, i % 20, i // 20) for i in range(300)])
+    assert "_leaf" in plan(nearest(spots, targets, 50)) and "_leaf" not in plan(nearest(spots, targets.limit(100), 50))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import axis, cell_of, check_size, pack, unpack
+from tidemark.functions.cells import axis, cell_of, check_size, pack, parent, unpack
 from tidemark.operators.pick import top_rows
-from tidemark.operators.skew import HOT_ROWS, fits, hottest, skew_join
+from tidemark.operators.skew import HOT_ROWS, hottest, row_bytes, skew_join
 
 BROADCAST_BYTES = 32 << 20
 FINER = 8
 GRIDS = 3
+# Targets of a leaf, leaves that a place meets in one row, and targets of a widest cell that points may all look at.
+LEAF, LEAVES_EACH, CROWD = 8, 512, 256
 
 
 def nearest(
@@ -27,6 +29,7 @@ def nearest(
     hot_rows: int = HOT_ROWS,
     grids: int = GRIDS,
     match: list[str] = (),
+    leaf: int = LEAF,
 ) -> DataFrame:
     """The ``k`` nearest targets within ``radius`` of each point, exactly.
 
@@ -49,21 +52,25 @@ def nearest(
     that crowd together.  Of targets on one spot only the ``k`` lowest ids can ever count,
     so the others are left out at the start.
 
-    ``broadcast`` keeps the points where they are and needs no shuffle at all;
-    ``shuffle`` sends each distinct place once, to its finest cell, where the
-    targets that may count for that cell wait, and the answers back to the
-    points, with hot cells and places cut into parts; ``auto``
-    measures the targets and broadcasts up to ``broadcast_bytes``.
+    ``broadcast`` keeps the points where they are and needs no shuffle at all,
+    but a point looks at every target around its cell.  ``shuffle`` sends each
+    distinct place once to its finest cell.  There wait the leaves that may
+    count: squares as small as it takes to hold ``leaf`` targets at most (see
+    ``target_leaves``).  Of them a cell keeps those no further than the far
+    side of its nearest leaf with ``k`` targets, a place does the same again
+    with the leaves of its cell, and ranks only the targets of what is left,
+    within one row: pairs never become rows, however targets crowd together.
+    The answers go back to the points, with hot cells and places cut into
+    parts.  ``auto`` measures the targets and broadcasts up to
+    ``broadcast_bytes``, if no cell of the widest grid holds a crowd.
     """
     check_size(radius)
     check_size(k)
     check_size(grids)
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError("strategy must be auto, broadcast or shuffle")
-    finest = -(-radius // FINER ** (grids - 1))
-    sides = [finest * FINER**i for i in range(grids)]
     if strategy == "auto":
-        strategy = "broadcast" if fits(targets, broadcast_bytes // (9 * grids)) else "shuffle"
+        strategy = "broadcast" if _sparse(targets, radius, broadcast_bytes // (9 * grids)) else "shuffle"
 
     useful = targets.where("x is not null and y is not null")
     useful = top_rows(useful, ["x", "y", *match], [target_id], k)
@@ -72,45 +79,77 @@ def nearest(
         [f"'{prefix}{target_id}', `{target_id}`", f"'{prefix}x', x", f"'{prefix}y', y"]
         + [f"'{prefix}{c}', `{c}`" for c in rest]
     )
+    if strategy == "broadcast":
+        return _by_lists(points, targets, useful, radius, k, prefix, target_id, hit, match, grids)
+    return _by_leaves(points, useful, radius, k, prefix, target_id, hit, match, grids, hot_rows, leaf)
+
+
+def _by_lists(
+    points: DataFrame, targets: DataFrame, useful: DataFrame, radius: int, k: int, prefix: str, target_id: str,
+    hit: str, match: list[str], grids: int,
+) -> DataFrame:
+    """The search without a shuffle of points: the targets around each cell, listed and broadcast."""
+    finest = -(-radius // FINER ** (grids - 1))
+    sides = [finest * FINER**i for i in range(grids)]
     same = [f"_same{j}" for j in range(len(match))]
-    as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
     listed = useful.selectExpr(
-        f"named_struct({hit}) as _t", "x as _x", "y as _y", *as_same, f"explode({_around(sides)}) as _at"
+        f"named_struct({hit}) as _t", "x as _x", "y as _y", *(f"`{c}` as {s}" for c, s in zip(match, same)),
+        f"explode({_around(sides, 'x', 'y')}) as _at",
+    ).selectExpr("_t", "_x", "_y", *same, "_at.side as _side", "_at.cell as _cell")
+    graded = points
+    for i in range(grids - 1):
+        known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}", match))
+        equal = "".join(f" and `{c}` = _rich{i}_{j}" for j, c in enumerate(match))
+        graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}{equal}"), "left")
+    cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
+    graded = graded.selectExpr(*_each(points), f"{_choose(sides[1:] + sides[-1:])} as _own_side", f"{cell} as _own_cell")
+    grouped = listed.groupBy("_side", "_cell", *same).agg(
+        F.expr("collect_list(named_struct('t', _t, 'x', _x, 'y', _y)) as _near")
+    )
+    equal = "".join(f" and `{c}` = {s}" for c, s in zip(match, same))
+    found = graded.join(F.broadcast(grouped), F.expr(f"_own_side = _side and _own_cell = _cell{equal}"), "left")
+    return _ranked(found, _each(points), k, radius * radius, prefix, target_id).selectExpr(
+        *_each(points), "_hit.t.*", f"_hit.d2 as {prefix}d2", f"if(_hit.d2 is null, null, _pos + 1) as {prefix}rank"
     )
-    listed = listed.selectExpr("_t", "_x", "_y", *same, "_at.side as _side", "_at.cell as _cell")
-    d2 = "((x - _x) * (x - _x) + (y - _y) * (y - _y))"
-    reach = radius * radius
 
-    if strategy == "broadcast":
-        graded = points
-        for i in range(grids - 1):
-            known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}", match))
-            equal = "".join(f" and `{c}` = _rich{i}_{j}" for j, c in enumerate(match))
-            graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}{equal}"), "left")
-        cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
-        graded = graded.selectExpr(*_each(points), f"{_choose(sides[1:] + sides[-1:])} as _own_side", f"{cell} as _own_cell")
-        grouped = listed.groupBy("_side", "_cell", *same).agg(
-            F.expr("collect_list(named_struct('t', _t, 'x', _x, 'y', _y)) as _near")
-        )
-        equal = "".join(f" and `{c}` = {s}" for c, s in zip(match, same))
-        found = graded.join(F.broadcast(grouped), F.expr(f"_own_side = _side and _own_cell = _cell{equal}"), "left")
-        far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
-        # Only distance, id and place in the list are compared; the rest may be of any type.
-        hits = (
-            f"filter(transform(_near, (n, i) -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 'i', i)), "
-            f"h -> h.d2 <= {reach})"
-        )
-        best = f"array(array_min({hits}))" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
-        return (
-            found.selectExpr(*_each(points), "_near", f"{best} as _best")
-            .selectExpr(
-                *_each(points),
-                "posexplode_outer(transform(_best, h -> named_struct('d2', h.d2, 't', _near[h.i].t))) as (_pos, _hit)",
-            )
-            .selectExpr(
-                *_each(points), "_hit.t.*", f"_hit.d2 as {prefix}d2", f"if(_hit.d2 is null, null, _pos + 1) as {prefix}rank"
-            )
-        )
+
+def _by_leaves(
+    points: DataFrame, useful: DataFrame, radius: int, k: int, prefix: str, target_id: str, hit: str,
+    match: list[str], grids: int, hot_rows: int, leaf: int,
+) -> DataFrame:
+    """The shuffled search: what may count for each place, ranked and sent back to the points."""
+    same = [f"_same{j}" for j in range(len(match))]
+    as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
+    near = candidates(points, useful, radius, k, hit, match, grids, hot_rows, leaf)
+    best = top_rows(
+        _ranked(near, ["x", "y", *same], k, radius * radius, prefix, target_id).where("_hit.d2 is not null")
+        .selectExpr("x", "y", *same, "_hit.t as _t", f"_hit.d2 as {prefix}d2"),
+        ["x", "y", *same], [f"{prefix}d2", f"_t.{prefix}{target_id}"], k, f"{prefix}rank",
+    )
+    found = skew_join(points.selectExpr("*", *as_same), best, ["x", "y", *same], "left", hot_rows=hot_rows)
+    return found.selectExpr(*_each(points), "_t.*", f"{prefix}d2", f"{prefix}rank")
+
+
+def candidates(
+    points: DataFrame, useful: DataFrame, radius: int, k: int, hit: str, match: list[str] = (), grids: int = GRIDS,
+    hot_rows: int = HOT_ROWS, leaf: int = LEAF,
+) -> DataFrame:
+    """Each distinct place with the targets ``_near`` that may be among its ``k`` nearest.
+
+    Leaves of targets meet cells of points, then places; ``hit`` is SQL for
+    the fields of a target.
+    """
+    base, depth = tree(radius, grids)
+    finest = base * FINER**depth
+    sides = [finest * FINER**i for i in range(grids)]
+    reach = radius * radius
+    same = [f"_same{j}" for j in range(len(match))]
+    as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
+    leaves = target_leaves(
+        useful.selectExpr(f"named_struct({hit}) as t", "x", "y", *as_same), base, depth, leaf, same, hot_rows
+    )
+    listed = leaves.selectExpr("*", f"explode({_around(sides, 'x0', 'y0')}) as _at")
+    listed = listed.selectExpr(*(f"`{c}`" for c in leaves.columns), "_at.side as _side", "_at.cell as _cell")
 
     # What may count for a cell is settled once per cell that has points.
     places = points.selectExpr("x", "y", *as_same).dropna().distinct()
@@ -121,38 +160,118 @@ def nearest(
     at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(grids)]
     for i in range(grids - 1):
         equal = "".join(f" and {s} = _rich{i}_{j}" for j, s in enumerate(same))
-        known = _rich(targets, sides[i], k, f"_rich{i}", match)
-        graded = graded.join(known, F.expr(f"{at[i]} = _rich{i}{equal}"), "left")
+        graded = graded.join(_rich(useful, sides[i], k, f"_rich{i}", match), F.expr(f"{at[i]} = _rich{i}{equal}"), "left")
     bounds = [min(reach, 2 * s * s) for s in sides[:-1]]
     graded = graded.selectExpr(
-        "_fine", *same, "_fx", "_fy",
+        "_fine", *same, f"_fx * {finest} as cx0", f"_fy * {finest} as cy0",
+        f"(_fx + 1) * {finest} - 1 as cx1", f"(_fy + 1) * {finest} - 1 as cy1",
         f"{_choose(sides[1:] + sides[-1:])} as _side", f"{_choose(at[1:] + at[-1:])} as _cell",
         f"{_choose([*bounds, reach])} as _bound",
     )
-    gap_x, gap_y = (
-        f"greatest(_f{a} * {finest} - _{a}, _{a} - _f{a} * {finest} - {finest - 1}, 0)" for a in ("x", "y")
+    cell, box = ("cx0", "cy0", "cx1", "cy1"), ("x0", "y0", "x1", "y1")
+    at_spot = ["_fine", *same]
+    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", f"{_least_d2(cell, box)} <= _bound", hot_rows)
+    # A leaf with k targets bounds the k-th distance of every place in the cell.
+    by_cell = f"partition by {', '.join(at_spot)}"
+    offers = offers.selectExpr(
+        *at_spot, f"named_struct({', '.join(f'{c!r}, {c}' for c in (*box, 'n', 'ts'))}) as _leaf", f"{_least_d2(cell, box)} as _least",
+        f"min(if(n >= {k}, {_most_d2(cell, box)}, null)) over ({by_cell}) as _most",
+    ).where("_most is null or _least <= _most")
+    blocks = (
+        offers.selectExpr("*", f"pmod(xxhash64(_leaf.x0, _leaf.y0), (count(1) over ({by_cell})) div {LEAVES_EACH} + 1) as _block")
+        .groupBy(*at_spot, "_block").agg(F.expr("collect_list(_leaf) as _near"))
     )
-    in_bound = f"{gap_x} * {gap_x} + {gap_y} * {gap_y} <= _bound"
-    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", in_bound, hot_rows)
-    offers = offers.select("_fine", *same, "_t", "_x", "_y")
     placed = places.selectExpr("x", "y", *same, f"{cell_of('x', 'y', finest)} as _fine")
-    at_spot = ["_fine", *same]
-    pairs = skew_join(placed, offers, at_spot, "inner", f"{d2} <= {reach}", hot_rows, hottest(spots, at_spot, hot_rows))
-    pairs = pairs.selectExpr("x", "y", *same, "_t", f"{d2} as {prefix}d2")
-    rank = [f"{prefix}d2", f"_t.{prefix}{target_id}"]
-    best = top_rows(pairs, ["x", "y", *same], rank, k, f"{prefix}rank")
-    found = skew_join(points.selectExpr("*", *as_same), best, ["x", "y", *same], "left", hot_rows=hot_rows)
-    return found.selectExpr(*_each(points), "_t.*", f"{prefix}d2", f"{prefix}rank")
+    met = skew_join(placed, blocks.drop("_block"), at_spot, "inner", hot_rows=hot_rows, hot=hottest(spots, at_spot, hot_rows))
+    here, there = ("x", "y", "x", "y"), tuple(f"b.{c}" for c in box)
+    enough = f"array_min(transform(filter(_near, b -> b.n >= {k}), b -> {_most_d2(here, there)}))"
+    # An array of one value binds it, so that it is found once and not for each leaf.
+    upto = f"array(least(coalesce({enough}, {reach}), {reach}))"
+    within = f"flatten(transform(filter(_near, b -> {_least_d2(here, there)} <= upto), b -> b.ts))"
+    return met.selectExpr("x", "y", *same, f"flatten(transform({upto}, upto -> {within})) as _near")
+
+
+def tree(radius: int, grids: int) -> tuple[int, int]:
+    """Side of the smallest squares, at most 4, and the steps of ``FINER`` from it to the finest grid."""
+    steps = grids - 1
+    while -(-radius // FINER**steps) > 4:
+        steps += 1
+    return -(-radius // FINER**steps), steps - grids + 1
+
+
+def target_leaves(targets: DataFrame, base: int, depth: int, most: int, same: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Targets in leaves: squares with at most ``most`` of them, or else the smallest squares of side ``base``.
+
+    Squares of ``depth + 1`` sides are counted, combined before the shuffle;
+    the leaves are those that hold few enough while the next wider one does
+    not.  A target finds its leaf by joining all its squares to them, where
+    crowded squares are cut into parts.  Rows have the leaf's tight box
+    ``x0 y0 x1 y1``, its number ``n`` and its targets ``ts``.
+    """
+    squares = [f"named_struct('level', {i}, 'node', {cell_of('x', 'y', base * FINER**i)})" for i in range(depth + 1)]
+    named = targets.selectExpr("t", "x", "y", *same, f"explode(array({', '.join(squares)})) as _s").selectExpr(
+        "t", "x", "y", *same, "_s.level as _level", "_s.node as _node"
+    )
+    at = ["_level", "_node", *same]
+    counts = named.groupBy(*at).agg(F.expr("count(1) as _n"))
+    full = counts.where(f"_n > {most} and _level > 0")
+    # Below a full square all are open; a leaf is open, or the widest, and not full itself.
+    wider = full.selectExpr("_level - 1 as _level", "_node as _wide", *same)
+    step = FINER.bit_length() - 1
+    tops = counts.where(f"_level = {depth} and (_n <= {most} or _level = 0)").select(*at)
+    inner = counts.where(f"_level < {depth} and (_n <= {most} or _level = 0)").withColumn("_wide", F.expr(parent("_node", step)))
+    inner = inner.join(wider, ["_level", "_wide", *same], "left_semi").select(*at)
+    found = skew_join(named, tops.unionByName(inner), at, "inner", hot_rows=hot_rows, hot=hottest(counts, at, hot_rows))
+    return found.groupBy(*at).agg(
+        *(F.expr(f"{f}({c}) as {c}{i}") for i, f in ((0, "min"), (1, "max")) for c in ("x", "y")),
+        F.expr("count(1) as n"), F.expr("collect_list(named_struct('t', t, 'x', x, 'y', y)) as ts"),
+    ).drop("_level", "_node")
+
+
+def _least_d2(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    """Least squared distance between two boxes."""
+    x, y = (f"greatest({b[i]} - {a[i + 2]}, {a[i]} - {b[i + 2]}, 0L)" for i in (0, 1))
+    return f"({x} * {x} + {y} * {y})"
+
+
+def _most_d2(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    """Greatest squared distance between two boxes."""
+    x, y = (f"greatest({b[i + 2]} - {a[i]}, {a[i + 2]} - {b[i]})" for i in (0, 1))
+    return f"({x} * {x} + {y} * {y})"
+
+
+def _ranked(df: DataFrame, keep: list[str], k: int, reach: int, prefix: str, target_id: str) -> DataFrame:
+    """The first ``k`` of the array ``_near`` as rows ``_pos`` and ``_hit``, one with nulls if there is none.
+
+    Only distance, id and place in the list are compared; the rest may be of any type.
+    """
+    far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
+    hits = (
+        f"filter(transform(_near, (n, i) -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 'i', i)), "
+        f"h -> h.d2 <= {reach})"
+    )
+    best = f"filter(array(array_min({hits})), h -> h is not null)" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
+    return df.selectExpr(*keep, "_near", f"{best} as _best").selectExpr(
+        *keep, "posexplode_outer(transform(_best, h -> named_struct('d2', h.d2, 't', _near[h.i].t))) as (_pos, _hit)"
+    )
+
+
+def _sparse(targets: DataFrame, radius: int, limit: int) -> bool:
+    """Are the targets at most ``limit`` bytes, with no crowd in one cell of the widest grid?"""
+    cells = targets.selectExpr(f"{cell_of('x', 'y', radius)} as c", f"cast({row_bytes(targets)} as double) as b")
+    crowds = cells.groupBy("c").agg(F.expr("count(c) as n"), F.expr("sum(b) as b"))
+    size, crowd = crowds.selectExpr("coalesce(sum(b), 0D)", "coalesce(max(n), 0L)").first()
+    return size <= limit and crowd <= CROWD
 
 
 def _each(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
-def _around(sides: list[int]) -> str:
-    """Array of the cells of each grid in which a target is listed."""
+def _around(sides: list[int], x: str, y: str) -> str:
+    """Array of the cells of each grid in which what lies in one cell is listed."""
     blocks = [
-        f"named_struct('side', {s}, 'cell', {pack(f'{axis("x", s)} + {i}', f'{axis("y", s)} + {j}')})"
+        f"named_struct('side', {s}, 'cell', {pack(f'{axis(x, s)} + {i}', f'{axis(y, s)} + {j}')})"
         for s in sides for i in (-1, 0, 1) for j in (-1, 0, 1)
     ]
     return f"array({', '.join(blocks)})"

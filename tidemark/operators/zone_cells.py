@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import axis, cell_of, check_size, pack
 from tidemark.functions.outline import crossings
 from tidemark.operators.cover import outline_cells
+from tidemark.operators.skew import HOT_ROWS, skew_join
+
+# Thousandths of a cell's rows between the bounds of its median, ten times what the sketch may be off
+# to either side; cells of so few rows are ranked as a whole.
+MIDDLE, RANKED_WHOLE = 2, 1_000
 
 
 def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "feature_id") -> DataFrame:
@@ -56,16 +61,18 @@ def coverage(df: DataFrame, size: int, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def cell_summary(
-    df: DataFrame, cell: str, value: str, approximate: bool = False, by: tuple[str, ...] = ()
+    df: DataFrame, cell: str, value: str, approximate: bool = False, by: tuple[str, ...] = (), hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Count, least, greatest, mean and median of ``value`` in each cell.
 
     ``by`` names further columns to keep apart, such as the datum of heights,
     which must not be compared across datums.
-    Nulls are left out.  The exact median counts equal values first, so what
-    is ranked within a cell is its distinct values, and that ranking can spill
-    to disk.  ``approximate`` takes ``percentile_approx`` instead: one grouping
-    and a bounded sketch per cell.
+    Nulls are left out.  The exact median ranks only the middle of a cell: a
+    bounded sketch, combined before the shuffle, gives two values between which
+    the median must lie; equal values are counted, those below the first become
+    one count, and what is left, some ``MIDDLE`` thousandths of a large cell, is
+    ranked.  Hot cells are cut into parts for the join with their bounds.
+    ``approximate`` takes ``percentile_approx`` instead: one grouping.
     """
     keys = ["cell_id", *by]
     rows = df.selectExpr(f"{cell} as cell_id", f"{value} as v", *(f"`{c}`" for c in by))
@@ -76,15 +83,25 @@ def cell_summary(
         return rows.selectExpr("*", "1L as n").groupBy(*keys).agg(
             *(F.expr(t) for t in totals), F.expr("cast(percentile_approx(v, 0.5, 10000) as double) as median_value")
         )
-    counts = rows.groupBy(*keys, "v").agg(F.expr("count(1) as n"))
-    ranked = counts.selectExpr(
-        *keys, "v", "n",
-        f"sum(n) over (partition by {', '.join(keys)} order by v rows between unbounded preceding and current row) as upto",
-        f"sum(n) over (partition by {', '.join(keys)}) as total",
+    # A struct is never null, so groups with a null among their columns meet, too.
+    grouped = rows.selectExpr(f"struct({', '.join(f'`{k}`' for k in keys)}) as _group", "v", "cast(v as double) as _d", "1L as n")
+    bounds = f"percentile_approx(_d, array({0.5 - MIDDLE / 2000}D, {0.5 + MIDDLE / 2000}D), 10000) as _q"
+    stats = grouped.groupBy("_group").agg(*(F.expr(t) for t in totals), F.expr(bounds), F.expr("min(_d) as _lo"), F.expr("max(_d) as _hi"))
+    names = ["n_values", "min_value", "max_value", "mean_value"]
+    small = f"n_values <= {RANKED_WHOLE}"
+    stats = stats.selectExpr(
+        "_group", f"struct({', '.join(names)}) as _all", f"if({small}, _lo, _q[0]) as _from", f"if({small}, _hi, _q[1]) as _upto"
+    )
+    counts = grouped.groupBy("_group", "v", "_d").agg(F.expr("count(1) as n"))
+    middle = (
+        skew_join(counts, stats, ["_group"], "inner", "_d <= _upto", hot_rows)
+        .groupBy("_group", "_all", F.expr("if(_d < _from, null, v) as v")).agg(F.expr("sum(n) as n"))
     )
-    middle = [
-        f"min(if(upto >= {place}, v, null))" for place in ("(total + 1) div 2", "total div 2 + 1")
-    ]
-    return ranked.groupBy(*keys).agg(
-        *(F.expr(t) for t in totals), F.expr(f"({middle[0]} + {middle[1]}) / 2 as median_value")
+    upto = "sum(n) over (partition by _group order by v nulls first rows between unbounded preceding and current row) as upto"
+    first, second = "(_all.n_values + 1) div 2", "_all.n_values div 2 + 1"
+    reached = f"if(v is null and upto >= {first}, raise_error('the median lies below its bound'), v)"
+    ranked = middle.selectExpr("_group", "_all", "v", "n", upto).selectExpr("_group", "_all", f"{reached} as v", "upto")
+    found = ranked.groupBy("_group", "_all").agg(
+        F.expr(f"(min(if(upto >= {first}, v, null)) + min(if(upto >= {second}, v, null))) / 2 as median_value")
     )
+    return found.selectExpr("_group.*", "_all.*", "median_value")

@@ -32,8 +32,14 @@ def keyed(df: DataFrame, key: str, per_tile: int) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the narrow rows of a table out by key, whatever its size and files."""
-    return df.repartition(key)
+    """Deal the narrow rows of a table out by key, whatever its size and files.
+
+    The number of parts is given: Spark would join small parts to one, but
+    what is done with these rows is far more work than their bytes tell.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
 
 
 def ring(points) -> str:
