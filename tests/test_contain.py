@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import inside, plan, points, polygons, square
 from tidemark.operators.contain import points_in_polygons
-from tidemark.operators.cover import cover, median_side, pieces, pieces_size
+from tidemark.operators.cover import cover, layered_pieces, median_side, pieces, pieces_size, wider_levels, widest
 from tidemark.operators.crowd import crowded_cells
 from tidemark.operators.pick import pick_one
 from tidemark.operators.zone_cells import zone_cells
@@ -173,6 +173,38 @@ def test_crowded_cell_is_cut_finer(spark):
         assert len(rows) == len(expected) and set(rows) == expected
 
 
+def test_rows_of_a_large_polygon_grow_with_its_border(spark):
+    rows = {}
+    for side in (500, 2_000):
+        ring = [(3, 3), (side * 10, 7), (side * 10 - 5, side * 10), (side * 5, side * 4), (1, side * 10 - 9)]
+        zones = polygons(spark, {1: [ring, square(side * 2, side * 2, side)]})
+        levels = wider_levels(widest(zones), 10)
+        assert levels == (2 if side == 500 else 3)
+        rows[side] = sum(cut.count() for cut in layered_pieces(zones, 10, levels))
+    assert rows[2_000] < 5 * rows[500] and rows[2_000] < 150_000 < 2_000**2 / 20
+
+
+@pytest.mark.parametrize("strategy", ("broadcast", "shuffle", "auto"))
+def test_large_and_small_polygons_on_several_grids(spark, strategy):
+    rng = random.Random(21)
+    features = {
+        1: [[(-2000, -2000), (2500, -1900), (2400, 2600), (100, 300), (-1900, 2400)], square(-900, -900, 777)],
+        2: [square(-1000, -1000, 640)], 3: [square(5, 5, 3)], 4: [square(-4000, 3000, 500)],
+        5: [square(0, 0, 90), square(-1200, -1200, 2000)],
+    }
+    spots = [(rng.randint(-2300, 2700), rng.randint(-2300, 3700)) for _ in range(700)] + [(None, 1)]
+    spots += [(x, y) for x in (-2000, -1280, -640, 0, 640) for y in (-1000, -360, 0, 1640)]
+    hits = {i: {f for f, r in features.items() if inside(x, y, r)} if x is not None else set() for i, (x, y) in enumerate(spots)}
+    pts, zones = points(spark, spots), polygons(spark, features).withColumn("name", F.expr("concat('z', feature_id)"))
+    run = lambda how: points_in_polygons(pts, zones, 10, how, strategy=strategy, hot_rows=50)
+    inner = [(r.building_id, r.feature_id, r.name) for r in run("inner").collect()]
+    assert sorted(inner) == sorted((i, f, f"z{f}") for i, fs in hits.items() for f in fs)
+    left = [(r.building_id, r.feature_id) for r in run("left").collect()]
+    assert sorted(left, key=str) == sorted(((i, f) for i, fs in hits.items() for f in fs or {None}), key=str)
+    assert sorted(r.building_id for r in run("semi").collect()) == [i for i, fs in hits.items() if fs]
+    assert sorted(r.building_id for r in run("anti").collect()) == [i for i, fs in hits.items() if not fs]
+
+
 def test_median_side(spark):
     zones = polygons(spark, {1: [square(0, 0, 5)], 2: [square(0, 0, 9)], 3: [[(0, 0), (50, 0), (0, 70)]]})
     assert median_side(zones) == 9 and median_side(zones.limit(0)) == 1

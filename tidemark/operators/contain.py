@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import flat_crossings, flat_edges
-from tidemark.operators.cover import attributes, pieces, pieces_size
+from tidemark.operators.cover import WIDER, attributes, layered_pieces, pieces_size, wider_levels, widest
 from tidemark.operators.crowd import CROWD, crowded_cells, split_crowded
 from tidemark.operators.skew import HOT_ROWS, fits, skew_join
 
@@ -37,6 +39,8 @@ def points_in_polygons(
     one row per point whatever ``how`` is, since a point lies in one cell.
     Polygons are cut to cells first (see ``pieces``); a point in a full cell is
     settled at once and one in an edge cell walks that cell's edges only.
+    Polygons many cells wide have their full cells on wider grids (see
+    ``layered_pieces``), which a point probes one after the other.
 
     ``strategy`` is ``broadcast`` (points are not shuffled), ``shuffle``
     (points are shuffled by cell, hot cells cut into parts) or ``auto``, which
@@ -56,36 +60,69 @@ def points_in_polygons(
     if taken:
         raise ValueError(f"rename these columns on one side first: {taken}")
 
-    placed = points.withColumn("cell_id", F.expr(cell_of(x, y, size)))
-    cut = pieces(polygons, size, feature).withColumnsRenamed(
-        {"full": "_full", "edges": "_edges", "lo_x": "_lo_x", "hi_x": "_hi_x", "lo_y": "_lo_y", "hi_y": "_hi_y"}
-    )
     inside = (
         f"(_full or ({x} >= _lo_x and {x} < _hi_x and {y} >= _lo_y and {y} < _hi_y"
         f" and {flat_crossings(x, y, FLAT_EDGES)} % 2 = 1))"
     )
-    if on is not None:
-        inside = f"({on}) and {inside}"
-
     look, auto = strategy == "shuffle", strategy == "auto"
-    if auto:
-        edges, size_bytes = pieces_size(polygons, size, feature)
+    edges, size_bytes, side = pieces_size(polygons, size, feature) if auto else (0, 0, widest(polygons))
+    levels = wider_levels(side, size)
+    cuts = [
+        cut.withColumnsRenamed(
+            {"full": "_full", "edges": "_edges", "lo_x": "_lo_x", "hi_x": "_hi_x", "lo_y": "_lo_y", "hi_y": "_hi_y"}
+        )
+        for cut in layered_pieces(polygons, size, levels, feature)
+    ]
+    if auto and not levels:
         strategy = "broadcast" if size_bytes <= broadcast_bytes else "shuffle"
         look = strategy == "shuffle" or edges > WORTH_LOOKING * crowd
-    keys = ["cell_id"]
+    elif auto:
+        # The bound by boxes says little of large polygons, so their pieces are measured.
+        strategy, look = ("broadcast" if all(fits(cut, broadcast_bytes // len(cuts)) for cut in cuts) else "shuffle"), True
+    crowded = None
     if look:
-        placed, cut = split_crowded(placed, cut, crowded_cells(polygons, size, crowd, feature), size, x, y)
-        keys.append("_square")
+        crowded = crowded_cells(polygons, size, crowd, feature)
         # Squares copy pieces, so the bound taken before no longer holds.
-        if auto and strategy == "broadcast" and not fits(cut, broadcast_bytes):
-            strategy = "shuffle"
-    cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
-    kind = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
-    if strategy == "broadcast":
-        right = F.broadcast(cut.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
-        match = " and ".join(f"{k} = _r_{k}" for k in keys)
-        joined = placed.join(right, F.expr(f"{match} and {inside}"), kind)
-    else:
-        joined = skew_join(placed, cut, keys, kind, inside, hot_rows)
-    kept = points.columns if how in ("semi", "anti") else [*points.columns, *gained]
-    return joined.select(*kept)
+        if auto and strategy == "broadcast":
+            split = split_crowded(points.selectExpr("*", f"{cell_of(x, y, size)} as cell_id"), cuts[0], crowded, size, x, y)[1]
+            strategy = "broadcast" if fits(split, broadcast_bytes) else "shuffle"
+
+    def met(left: DataFrame, level: int, kind: str) -> DataFrame:
+        """Points joined to the pieces of one grid; of wider grids there are full cells only."""
+        cut, keys = cuts[level], ["cell_id"]
+        placed = left.withColumn("cell_id", F.expr(cell_of(x, y, size * WIDER**level)))
+        tests = [f"({on})"] if on is not None else []
+        if level:
+            cut = cut.drop("_full", "_edges", "_lo_x", "_hi_x", "_lo_y", "_hi_y")
+        else:
+            tests.append(inside)
+            if crowded is not None:
+                placed, cut = split_crowded(placed, cut, crowded, size, x, y)
+                keys.append("_square")
+            cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
+        if strategy == "broadcast":
+            right = F.broadcast(cut.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
+            match = " and ".join([*(f"{k} = _r_{k}" for k in keys), *tests])
+            joined = placed.join(right, F.expr(match), kind)
+        else:
+            joined = skew_join(placed, cut, keys, kind, " and ".join(tests) or "true", hot_rows)
+        return joined.select(*(points.columns if kind in ("left_semi", "left_anti") else [*points.columns, *gained]))
+
+    if not levels:
+        return met(points, 0, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
+    # A point is held on one grid by each polygon, so hits of the grids add up; the others are in none of them.
+    grids = range(levels + 1)
+    found, left = [], points
+    if how in ("inner", "left"):
+        found = [met(points, level, "inner") for level in grids]
+    if how != "inner":
+        for level in grids:
+            if how == "semi":
+                found.append(met(left, level, "left_semi"))
+            left = met(left, level, "left_anti")
+    if how == "anti":
+        return left
+    if how == "left":
+        kinds = {f.name: f.dataType for f in found[0].schema.fields}
+        found.append(left.select("*", *(F.lit(None).cast(kinds[c]).alias(c) for c in gained)))
+    return reduce(DataFrame.unionByName, found)

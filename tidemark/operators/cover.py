@@ -29,6 +29,8 @@ from tidemark.operators.skew import row_bytes
 
 EDGE_BYTES = 64
 PIECE_BYTES = 320
+WIDER = 8
+WIDEST = "max(least(x1 - x0, y1 - y0))"
 
 
 def cover(polygons: DataFrame, size: int) -> DataFrame:
@@ -140,31 +142,79 @@ def outline_cells(polygons: DataFrame, size: int, feature: str = "feature_id") -
     )
 
 
+NOTHING = "cast(null as bigint)"
+PIECE = (
+    "named_struct('c', {c}, 'full', {full}, 'edges', {edges}, 'lo_x', {lo_x}, 'hi_x', {hi_x}, 'lo_y', {lo_y}, 'hi_y', {hi_y})"
+)
+EDGE_PIECE = PIECE.format(
+    c="_col", full="false", edges="edges", lo_x="lo_x", hi_x="array_max(transform(edges, e -> greatest(e.xa, e.xb)))",
+    lo_y="array_min(transform(edges, e -> e.ya))", hi_y="array_max(transform(edges, e -> e.yb))",
+)
+FULL_PIECE = PIECE.format(
+    c="c", full="true", edges=f"cast(null as array<{EDGE_TYPE}>)", lo_x=NOTHING, hi_x=NOTHING, lo_y=NOTHING, hi_y=NOTHING
+)
+
+
 def pieces(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataFrame:
     """One row per feature and cell that holds some of it: a full or an edge cell.
 
     ``lo_x``, ``hi_x``, ``lo_y``, ``hi_y`` bound the points an edge cell can
     accept, as a cheap test before its edges are walked.
     """
-    edge_cell = (
-        "named_struct('c', _col, 'full', false, 'edges', edges, 'lo_x', lo_x, "
-        "'hi_x', array_max(transform(edges, e -> greatest(e.xa, e.xb))), "
-        "'lo_y', array_min(transform(edges, e -> e.ya)), 'hi_y', array_max(transform(edges, e -> e.yb)))"
-    )
-    nothing = "cast(null as bigint)"
-    full_cells = (
-        "transform(sequence(run_from, run_to), c -> "
-        f"named_struct('c', c, 'full', true, 'edges', cast(null as array<{EDGE_TYPE}>), "
-        f"'lo_x', {nothing}, 'hi_x', {nothing}, 'lo_y', {nothing}, 'hi_y', {nothing}))"
-    )
-    cells = outline_cells(polygons, size, feature).selectExpr(
-        feature, "_about", "_row",
-        f"inline_outer(if(run_from is null, array({edge_cell}), concat(array({edge_cell}), {full_cells})))",
-    )
+    return layered_pieces(polygons, size, 0, feature)[0]
+
+
+def layered_pieces(polygons: DataFrame, size: int, levels: int, feature: str = "feature_id") -> list[DataFrame]:
+    """Pieces of a grid and of ``levels`` wider ones, each ``WIDER`` times as wide as the one before.
+
+    A full cell is listed on the widest grid on which it is full and on no
+    other, so the rows of a large polygon grow with its border and not with
+    its area.  Wider grids are cut for the features that are wide enough to
+    have a full cell there.  A run of full cells leaves out the runs of the
+    next wider grid, which are joined to it by feature and row.
+    """
     about = ["_about.*"] if attributes(polygons, feature) else []
-    return cells.selectExpr(
-        feature, *about, f"{pack('c', '_row')} as cell_id", "full", "edges", "lo_x", "hi_x", "lo_y", "hi_y"
-    )
+    out, wider = [], None
+    for level in range(levels, -1, -1):
+        side = size * WIDER**level
+        some = polygons
+        if level:
+            wide = polygons.where(f"least(x1 - x0, y1 - y0) >= {side}").select(feature).distinct()
+            some = polygons.join(wide, feature, "left_semi")
+        cells = outline_cells(some, side, feature)
+        runs = "array(named_struct('f', run_from, 't', run_to))"
+        if wider is not None:
+            cells = cells.join(wider, F.expr(f"{feature} = _of and shiftright(_row, {WIDER.bit_length() - 1}) = _wide_row"), "left")
+            within = f"filter(coalesce(_wide, array()), w -> w.f * {WIDER} >= run_from and (w.t + 1) * {WIDER} <= run_to + 1)"
+            runs = (
+                f"flatten(transform(array({within}), w -> zip_with(concat(array(run_from), transform(w, r -> (r.t + 1) * {WIDER})), "
+                f"concat(transform(w, r -> r.f * {WIDER} - 1), array(run_to)), (f, t) -> named_struct('f', f, 't', t))))"
+            )
+        full = f"flatten(transform(filter({runs}, r -> r.f <= r.t), r -> transform(sequence(r.f, r.t), c -> {FULL_PIECE})))"
+        edge = f"array({EDGE_PIECE})"
+        listed = f"if(run_from is null, {edge}, concat({edge}, {full}))" if not level else f"if(run_from is null, null, {full})"
+        found = cells.selectExpr(feature, "_about", "_row", f"inline_outer({listed})")
+        out.append((found.where("full") if level else found).selectExpr(
+            feature, *about, f"{pack('c', '_row')} as cell_id", "full", "edges", "lo_x", "hi_x", "lo_y", "hi_y"
+        ))
+        if level:
+            wider = outline_cells(some, side, feature).where("run_from is not null").groupBy(feature, "_row").agg(
+                F.expr("array_sort(collect_list(named_struct('f', run_from, 't', run_to))) as _wide")
+            ).selectExpr(f"{feature} as _of", "_row as _wide_row", "_wide")
+    return out[::-1]
+
+
+def wider_levels(side: int | None, size: int) -> int:
+    """How many wider grids a polygon can have a full cell on whose box has this shorter side."""
+    levels = 0
+    while size * WIDER ** (levels + 1) <= (side or 0):
+        levels += 1
+    return levels
+
+
+def widest(polygons: DataFrame) -> int:
+    """The greatest shorter side of the boxes; one pass."""
+    return polygons.where("size(verts) >= 3").selectExpr(WIDEST).first()[0] or 0
 
 
 def median_side(polygons: DataFrame) -> int:
@@ -173,8 +223,8 @@ def median_side(polygons: DataFrame) -> int:
     return max(int(side or 1), 1)
 
 
-def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") -> tuple[int, int]:
-    """Number of edges, and a bound on the bytes of the pieces, in one pass.
+def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") -> tuple[int, int, int]:
+    """Number of edges, a bound on the bytes of the pieces of one grid, and what ``widest`` gives, in one pass.
 
     An edge touches no more cells than its own bounding box has, nor more than
     a walk along it meets; full cells are bounded by the polygon's box.
@@ -188,5 +238,6 @@ def pieces_size(polygons: DataFrame, size: int, feature: str = "feature_id") ->
         f"cast({axis('x1', size)} - {axis('x0', size)} + 1 as double) * ({axis('y1', size)} - {axis('y0', size)} + 1)"
     )
     bound = f"coalesce({touches}, 0D) * {EDGE_BYTES} + coalesce({cells}, 0D) * ({PIECE_BYTES} + {width})"
-    edges, total = polygons.where("size(verts) >= 3").selectExpr("sum(size(verts))", f"sum({bound})").first()
-    return edges or 0, int(total or 0)
+    usable = polygons.where("size(verts) >= 3")
+    edges, total, side = usable.selectExpr("sum(size(verts))", f"sum({bound})", WIDEST).first()
+    return edges or 0, int(total or 0), side or 0
