@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from helpers import inside, plan, points, polygons, square
 from tidemark.operators.contain import points_in_polygons
 from tidemark.operators.cover import cover, layered_pieces, median_side, pieces, pieces_size, wider_levels, widest
-from tidemark.operators.crowd import crowded_cells
+from tidemark.operators.crowd import STEPS, crowded_cells, crowded_grids
 from tidemark.operators.pick import pick_one
 from tidemark.operators.zone_cells import zone_cells
 
@@ -173,6 +173,26 @@ def test_crowded_cell_is_cut_finer(spark):
         assert len(rows) == len(expected) and set(rows) == expected
 
 
+def test_crowds_within_crowds(spark):
+    """Hundreds of polygons in one square of a square, some long edges, and polygons that hold them all."""
+    rng = random.Random(22)
+    tiny = {i: [square(rng.randint(3, 40), rng.randint(3, 40), rng.randint(1, 3))] for i in range(500)}
+    tiny |= {600 + i: [[(0, i), (900, 37 * i % 50), (5, 48 - i)]] for i in range(12)}
+    tiny |= {700: [square(-5000, -5000, 9000)], 701: [square(-3, -3, 90), square(8, 8, 20)], 702: [square(900, 900, 80)]}
+    zones = polygons(spark, tiny)
+    grids = crowded_grids(zones, 1000, 60)
+    assert [s for s, _ in grids][:2] == [1000, 100] and len(grids) >= 3
+    sides = [s // next(t for t in STEPS if s % t == 0) for s, _ in grids][::-1] + [1000]
+    for side, cut in zip(sides, layered_pieces(zones, sides, cut=dict(grids))):
+        most = cut.groupBy("cell_id").agg(F.expr("sum(coalesce(size(edges), 0)) as n")).agg({"n": "max"}).first()[0] or 0
+        assert most <= 2 * 60 or side == 1
+    spots = [(x, y) for x in range(-1, 45) for y in range(-1, 45)] + [(rng.randint(-50, 1100), rng.randint(-50, 1100)) for _ in range(300)]
+    expected = sorted((i, f) for i, (x, y) in enumerate(spots) for f, r in tiny.items() if inside(x, y, r))
+    run = lambda how: points_in_polygons(points(spark, spots), zones, 1000, how, strategy="shuffle", crowd=60)
+    assert sorted((r.building_id, r.feature_id) for r in run("inner").collect()) == expected
+    assert run("semi").count() == len({i for i, _ in expected})
+
+
 def test_rows_of_a_large_polygon_grow_with_its_border(spark):
     rows = {}
     for side in (500, 2_000):
@@ -180,7 +200,7 @@ def test_rows_of_a_large_polygon_grow_with_its_border(spark):
         zones = polygons(spark, {1: [ring, square(side * 2, side * 2, side)]})
         levels = wider_levels(widest(zones), 10)
         assert levels == (2 if side == 500 else 3)
-        rows[side] = sum(cut.count() for cut in layered_pieces(zones, 10, levels))
+        rows[side] = sum(cut.count() for cut in layered_pieces(zones, [10 * 8**i for i in range(levels + 1)]))
     assert rows[2_000] < 5 * rows[500] and rows[2_000] < 150_000 < 2_000**2 / 20
 
 

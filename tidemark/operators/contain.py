@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import flat_crossings, flat_edges
 from tidemark.operators.cover import WIDER, attributes, layered_pieces, pieces_size, wider_levels, widest
-from tidemark.operators.crowd import CROWD, crowded_cells, split_crowded
+from tidemark.operators.crowd import CROWD, STEPS, crowded_grids
 from tidemark.operators.skew import HOT_ROWS, fits, skew_join
 
 BROADCAST_BYTES = 128 << 20
@@ -45,9 +45,10 @@ def points_in_polygons(
     ``strategy`` is ``broadcast`` (points are not shuffled), ``shuffle``
     (points are shuffled by cell, hot cells cut into parts) or ``auto``, which
     bounds the size of the cut polygons in one pass and broadcasts them up to
-    ``broadcast_bytes``, measured again once crowded cells are cut.  Cells with more than ``crowd`` edges are cut
-    finer, see ``split_crowded``; for a broadcast they are looked for only if
-    there are enough edges for it to matter.  The result has the point columns, and for ``inner``
+    ``broadcast_bytes``; the pieces of several grids are measured.  Cells with
+    more than ``crowd`` edges are cut finer and finer, see ``crowded_grids``;
+    for a broadcast they are looked for only if there are enough edges for it
+    to matter.  The result has the point columns, and for ``inner``
     and ``left`` the feature id and attributes, whose names must be free.
     ``on`` is a further SQL condition on point and attribute columns.
     """
@@ -64,54 +65,45 @@ def points_in_polygons(
         f"(_full or ({x} >= _lo_x and {x} < _hi_x and {y} >= _lo_y and {y} < _hi_y"
         f" and {flat_crossings(x, y, FLAT_EDGES)} % 2 = 1))"
     )
-    look, auto = strategy == "shuffle", strategy == "auto"
+    auto = strategy == "auto"
     edges, size_bytes, side = pieces_size(polygons, size, feature) if auto else (0, 0, widest(polygons))
-    levels = wider_levels(side, size)
+    wider = [size * WIDER**i for i in range(1, wider_levels(side, size) + 1)]
+    look = strategy == "shuffle" or (auto and (size_bytes > broadcast_bytes or edges > WORTH_LOOKING * crowd))
+    crowded = crowded_grids(polygons, size, crowd, feature) if look else []
+    finer = [s // next(step for step in STEPS if s % step == 0) for s, _ in crowded]
+    sides = [*finer[::-1], size, *wider]
     cuts = [
         cut.withColumnsRenamed(
             {"full": "_full", "edges": "_edges", "lo_x": "_lo_x", "hi_x": "_hi_x", "lo_y": "_lo_y", "hi_y": "_hi_y"}
         )
-        for cut in layered_pieces(polygons, size, levels, feature)
+        for cut in layered_pieces(polygons, sides, feature, dict(crowded))
     ]
-    if auto and not levels:
-        strategy = "broadcast" if size_bytes <= broadcast_bytes else "shuffle"
-        look = strategy == "shuffle" or edges > WORTH_LOOKING * crowd
-    elif auto:
-        # The bound by boxes says little of large polygons, so their pieces are measured.
-        strategy, look = ("broadcast" if all(fits(cut, broadcast_bytes // len(cuts)) for cut in cuts) else "shuffle"), True
-    crowded = None
-    if look:
-        crowded = crowded_cells(polygons, size, crowd, feature)
-        # Squares copy pieces, so the bound taken before no longer holds.
-        if auto and strategy == "broadcast":
-            split = split_crowded(points.selectExpr("*", f"{cell_of(x, y, size)} as cell_id"), cuts[0], crowded, size, x, y)[1]
-            strategy = "broadcast" if fits(split, broadcast_bytes) else "shuffle"
+    if auto:
+        # The bound by boxes says little of several grids, so their pieces are measured.
+        small = size_bytes <= broadcast_bytes if len(sides) == 1 else all(fits(cut, broadcast_bytes // len(cuts)) for cut in cuts)
+        strategy = "broadcast" if small else "shuffle"
 
     def met(left: DataFrame, level: int, kind: str) -> DataFrame:
         """Points joined to the pieces of one grid; of wider grids there are full cells only."""
-        cut, keys = cuts[level], ["cell_id"]
-        placed = left.withColumn("cell_id", F.expr(cell_of(x, y, size * WIDER**level)))
+        cut = cuts[level]
+        placed = left.withColumn("cell_id", F.expr(cell_of(x, y, sides[level])))
         tests = [f"({on})"] if on is not None else []
-        if level:
+        if sides[level] > size:
             cut = cut.drop("_full", "_edges", "_lo_x", "_hi_x", "_lo_y", "_hi_y")
         else:
             tests.append(inside)
-            if crowded is not None:
-                placed, cut = split_crowded(placed, cut, crowded, size, x, y)
-                keys.append("_square")
             cut = cut.selectExpr(*(f"`{c}`" for c in cut.columns if c != "_edges"), *flat_edges("_edges", FLAT_EDGES))
         if strategy == "broadcast":
-            right = F.broadcast(cut.withColumnsRenamed({k: f"_r_{k}" for k in keys}))
-            match = " and ".join([*(f"{k} = _r_{k}" for k in keys), *tests])
-            joined = placed.join(right, F.expr(match), kind)
+            right = F.broadcast(cut.withColumnRenamed("cell_id", "_r_cell_id"))
+            joined = placed.join(right, F.expr(" and ".join(["cell_id = _r_cell_id", *tests])), kind)
         else:
-            joined = skew_join(placed, cut, keys, kind, " and ".join(tests) or "true", hot_rows)
+            joined = skew_join(placed, cut, ["cell_id"], kind, " and ".join(tests) or "true", hot_rows)
         return joined.select(*(points.columns if kind in ("left_semi", "left_anti") else [*points.columns, *gained]))
 
-    if not levels:
+    if len(sides) == 1:
         return met(points, 0, {"semi": "left_semi", "anti": "left_anti"}.get(how, how))
     # A point is held on one grid by each polygon, so hits of the grids add up; the others are in none of them.
-    grids = range(levels + 1)
+    grids = range(len(sides))
     found, left = [], points
     if how in ("inner", "left"):
         found = [met(points, level, "inner") for level in grids]

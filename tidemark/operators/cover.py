@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import axis, check_size, pack
+from tidemark.functions.cells import axis, check_size, pack, unpack
 from tidemark.functions.outline import EDGE_TYPE, ENDS, SHAPE_COLUMNS, corners, strip_column, upward
 from tidemark.operators.skew import row_bytes
 
@@ -95,10 +95,10 @@ def _strips(polygons: DataFrame, size: int, feature: str) -> DataFrame:
     )
 
 
-def edge_cells(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataFrame:
-    """One row per edge and cell it touches, only the cell: for counting."""
-    touched = _strips(polygons, size, feature).selectExpr("_row", "explode_outer(sequence(_left, _right)) as _col")
-    return touched.selectExpr(f"{pack('_col', '_row')} as cell_id")
+def edge_cells(polygons: DataFrame, size: int, feature: str = "feature_id", keep: list[str] = ()) -> DataFrame:
+    """One row per edge and cell it touches, only the cell and what to ``keep`` (``_feature``): for counting."""
+    touched = _strips(polygons, size, feature).selectExpr(*keep, "_row", "explode_outer(sequence(_left, _right)) as _col")
+    return touched.selectExpr(*keep, f"{pack('_col', '_row')} as cell_id")
 
 
 def outline_cells(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataFrame:
@@ -161,44 +161,65 @@ def pieces(polygons: DataFrame, size: int, feature: str = "feature_id") -> DataF
     ``lo_x``, ``hi_x``, ``lo_y``, ``hi_y`` bound the points an edge cell can
     accept, as a cheap test before its edges are walked.
     """
-    return layered_pieces(polygons, size, 0, feature)[0]
+    return layered_pieces(polygons, [size], feature)[0]
 
 
-def layered_pieces(polygons: DataFrame, size: int, levels: int, feature: str = "feature_id") -> list[DataFrame]:
-    """Pieces of a grid and of ``levels`` wider ones, each ``WIDER`` times as wide as the one before.
+def layered_pieces(
+    polygons: DataFrame, sides: list[int], feature: str = "feature_id", cut: dict[int, DataFrame] | None = None
+) -> list[DataFrame]:
+    """Pieces of several grids, whose ``sides`` grow and divide each other.
 
     A full cell is listed on the widest grid on which it is full and on no
     other, so the rows of a large polygon grow with its border and not with
-    its area.  Wider grids are cut for the features that are wide enough to
-    have a full cell there.  A run of full cells leaves out the runs of the
-    next wider grid, which are joined to it by feature and row.
+    its area.  Grids are cut for the features that are wide enough to have a
+    full cell there.  A run of full cells leaves out the runs of the next
+    wider grid, which are joined to it by feature and row.
+
+    ``cut`` has, by side, the crowded cells ``_crowded`` that go on to the
+    next finer grid: they keep no edges, and finer grids hold nothing outside
+    them.  Edges are kept on the widest grid in ``cut`` and on finer ones, or
+    else on the first grid alone.
     """
+    cut = cut or {}
+    base = max(cut, default=sides[0])
     about = ["_about.*"] if attributes(polygons, feature) else []
-    out, wider = [], None
-    for level in range(levels, -1, -1):
-        side = size * WIDER**level
-        some = polygons
-        if level:
+    out, wider, times = [], None, 1
+    for i in range(len(sides) - 1, -1, -1):
+        side, some = sides[i], polygons
+        if side > base:
             wide = polygons.where(f"least(x1 - x0, y1 - y0) >= {side}").select(feature).distinct()
             some = polygons.join(wide, feature, "left_semi")
+        elif side < base:
+            col, row = unpack("cell_id")
+            near = edge_cells(polygons, sides[i + 1], feature, ["_feature"]).join(cut[sides[i + 1]], F.expr("cell_id = _crowded"), "left_semi")
+            some = polygons.join(near.select(F.col("_feature").alias(feature)).distinct(), feature, "left_semi")
         cells = outline_cells(some, side, feature)
+        own = cells.where("run_from is not null") if i else None
         runs = "array(named_struct('f', run_from, 't', run_to))"
         if wider is not None:
-            cells = cells.join(wider, F.expr(f"{feature} = _of and shiftright(_row, {WIDER.bit_length() - 1}) = _wide_row"), "left")
-            within = f"filter(coalesce(_wide, array()), w -> w.f * {WIDER} >= run_from and (w.t + 1) * {WIDER} <= run_to + 1)"
+            cells = cells.join(wider, F.expr(f"{feature} = _of and floor(_row / {times}) = _wide_row"), "left")
+            within = f"filter(coalesce(_wide, array()), w -> w.f * {times} >= run_from and (w.t + 1) * {times} <= run_to + 1)"
             runs = (
-                f"flatten(transform(array({within}), w -> zip_with(concat(array(run_from), transform(w, r -> (r.t + 1) * {WIDER})), "
-                f"concat(transform(w, r -> r.f * {WIDER} - 1), array(run_to)), (f, t) -> named_struct('f', f, 't', t))))"
+                f"flatten(transform(array({within}), w -> zip_with(concat(array(run_from), transform(w, r -> (r.t + 1) * {times})), "
+                f"concat(transform(w, r -> r.f * {times} - 1), array(run_to)), (f, t) -> named_struct('f', f, 't', t))))"
             )
         full = f"flatten(transform(filter({runs}, r -> r.f <= r.t), r -> transform(sequence(r.f, r.t), c -> {FULL_PIECE})))"
         edge = f"array({EDGE_PIECE})"
-        listed = f"if(run_from is null, {edge}, concat({edge}, {full}))" if not level else f"if(run_from is null, null, {full})"
+        listed = f"if(run_from is null, {edge}, concat({edge}, {full}))" if side <= base else f"if(run_from is null, null, {full})"
         found = cells.selectExpr(feature, "_about", "_row", f"inline_outer({listed})")
-        out.append((found.where("full") if level else found).selectExpr(
+        found = (found.where("full") if side > base else found).selectExpr(
             feature, *about, f"{pack('c', '_row')} as cell_id", "full", "edges", "lo_x", "hi_x", "lo_y", "hi_y"
-        ))
-        if level:
-            wider = outline_cells(some, side, feature).where("run_from is not null").groupBy(feature, "_row").agg(
+        )
+        if side < base:
+            around = pack(f"floor({col} / {times})", f"floor({row} / {times})")
+            found = found.join(cut[sides[i + 1]], F.expr(f"{around} = _crowded"), "left_semi")
+        if side in cut and i:
+            kept = found.where("not full").join(cut[side], F.expr("cell_id = _crowded"), "left_anti")
+            found = found.where("full").unionByName(kept)
+        out.append(found)
+        if i:
+            times = side // sides[i - 1]
+            wider = own.groupBy(feature, "_row").agg(
                 F.expr("array_sort(collect_list(named_struct('f', run_from, 't', run_to))) as _wide")
             ).selectExpr(f"{feature} as _of", "_row as _wide_row", "_wide")
     return out[::-1]

@@ -2,8 +2,9 @@
 
 A single cell side cannot suit a table in which a large part of the polygons
 is tiny and sits in one place, or has all its vertices there: every point of
-the cell would be tested against all of them.  Such cells are cut into 8 x 8 squares, for points and pieces alike.
-A piece goes only to the squares it reaches, with the edges that matter there.
+the cell would be tested against all of them.  Such cells are cut to the cells
+of a finer grid, and these again, until none holds too many edges or the side
+cannot be divided any more.
 """
 
 from __future__ import annotations
@@ -11,12 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import unpack
+from tidemark.functions.cells import pack, unpack
 from tidemark.operators.cover import edge_cells
-from tidemark.operators.skew import listed
 
 CROWD = 4096
-PER_SIDE = 8
+# The first of these that divides a side cuts it.
+STEPS = (10, 8, 5, 4, 7, 3, 2, 11, 13)
+
+
+def cell_around(cell: str, times: int) -> str:
+    """Id of the cell ``times`` as wide that contains ``cell``."""
+    col, row = unpack(cell)
+    return pack(f"floor({col} / {times})", f"floor({row} / {times})")
 
 
 def crowded_cells(polygons: DataFrame, size: int, crowd: int, feature: str = "feature_id") -> DataFrame:
@@ -26,47 +33,23 @@ def crowded_cells(polygons: DataFrame, size: int, crowd: int, feature: str = "fe
     return counts.selectExpr("cell_id as _crowded")
 
 
-def split_crowded(
-    placed: DataFrame, cut: DataFrame, crowded: DataFrame, size: int, x: str, y: str
-) -> tuple[DataFrame, DataFrame]:
-    """Give both sides the number ``_square`` of a square, or -1 in other cells."""
-    crowded = listed(crowded)
-    col, row = unpack("cell_id")
-    left, foot = f"({col} * {size})", f"({row} * {size})"
-
-    def step(v: str, start: str) -> str:
-        return f"floor((({v}) - {start}) * {PER_SIDE} / {size})"
-
-    points = placed.join(crowded, F.expr("cell_id = _crowded"), "left").selectExpr(
-        *(f"`{c}`" for c in placed.columns),
-        f"if(_crowded is null, -1L, {step(y, foot)} * {PER_SIDE} + {step(x, left)}) as _square",
-    )
-
-    whole = "array(named_struct('s', -1L, 'e', _edges))"
-    everywhere = (
-        f"transform(sequence(0L, {PER_SIDE * PER_SIDE - 1}L), s -> named_struct('s', s, 'e', _edges))"
-    )
-    reach_x = [f"greatest(_lo_x, {left})", f"least(_hi_x - 1, {left} + {size} - 1)"]
-    reach_y = [f"greatest(_lo_y, {foot})", f"least(_hi_y - 1, {foot} + {size} - 1)"]
-    matter = (
-        f"filter(_edges, e -> greatest(e.xa, e.xb) * {PER_SIDE} >= {left} * {PER_SIDE} + c * {size}"
-        f" and e.yb * {PER_SIDE} > {foot} * {PER_SIDE} + r * {size}"
-        f" and e.ya * {PER_SIDE} < {foot} * {PER_SIDE} + (r + 1) * {size})"
-    )
-    reached = (
-        f"flatten(transform(sequence({step(reach_y[0], foot)}, {step(reach_y[1], foot)}), r -> "
-        f"transform(sequence({step(reach_x[0], left)}, {step(reach_x[1], left)}), c -> "
-        f"named_struct('s', r * {PER_SIDE} + c, 'e', {matter}))))"
-    )
-    outside = f"{reach_x[0]} > {reach_x[1]} or {reach_y[0]} > {reach_y[1]}"
-    squares = (
-        f"case when _crowded is null then {whole} when _full then {everywhere} "
-        f"when {outside} then null else {reached} end"
-    )
-    kept = [f"`{c}`" for c in cut.columns if c != "_edges"]
-    split = (
-        cut.join(crowded, F.expr("cell_id = _crowded"), "left")
-        .selectExpr(*kept, f"inline_outer({squares}) as (_square, _edges)")
-        .where("_square is not null and (_full or size(_edges) > 0)")
-    )
-    return points, split
+def crowded_grids(polygons: DataFrame, size: int, crowd: int, feature: str = "feature_id") -> list[tuple[int, DataFrame]]:
+    """Sides from ``size`` down, each with its cells that hold more than ``crowd`` edges and are to be cut.
+
+    A side is looked at only if the one before has such cells, and then for
+    the features with edges in them.  What cannot be cut is not listed.
+    """
+    out: list[tuple[int, DataFrame]] = []
+    some = polygons
+    while step := next((s for s in STEPS if size % s == 0), None):
+        cells = crowded_cells(some, size, crowd, feature)
+        if out:
+            wider, known = out[-1]
+            cells = cells.join(known.withColumnRenamed("_crowded", "_wide"), F.expr(f"{cell_around('_crowded', wider // size)} = _wide"), "left_semi")
+        if not cells.take(1):
+            break
+        out.append((size, cells))
+        touching = edge_cells(some, size, feature, ["_feature"]).join(cells, F.expr("cell_id = _crowded"), "left_semi")
+        some = some.join(touching.select(F.col("_feature").alias(feature)).distinct(), feature, "left_semi")
+        size //= step
+    return out
