@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import pack, unpack
 from tidemark.operators.cover import edge_cells
 
-CROWD = 4096
+CROWD, MOST_LISTED = 4096, 100_000
 # The first of these that divides a side cuts it.
 STEPS = (10, 8, 5, 4, 7, 3, 2, 11, 13)
 
@@ -37,7 +37,9 @@ def crowded_grids(polygons: DataFrame, size: int, crowd: int, feature: str = "fe
     """Sides from ``size`` down, each with its cells that hold more than ``crowd`` edges and are to be cut.
 
     A side is looked at only if the one before has such cells, and then for
-    the features with edges in them.  What cannot be cut is not listed.
+    the features with edges in them.  What cannot be cut is not listed.  Up to
+    ``MOST_LISTED`` cells of a side are broadcast as a list; more are found by
+    a join each time.
     """
     out: list[tuple[int, DataFrame]] = []
     some = polygons
@@ -46,8 +48,11 @@ def crowded_grids(polygons: DataFrame, size: int, crowd: int, feature: str = "fe
         if out:
             wider, known = out[-1]
             cells = cells.join(known.withColumnRenamed("_crowded", "_wide"), F.expr(f"{cell_around('_crowded', wider // size)} = _wide"), "left_semi")
-        if not cells.take(1):
+        found = cells.limit(MOST_LISTED + 1).collect()
+        if not found:
             break
+        if len(found) <= MOST_LISTED:
+            cells = F.broadcast(polygons.sparkSession.createDataFrame(found, "_crowded bigint"))
         out.append((size, cells))
         touching = edge_cells(some, size, feature, ["_feature"]).join(cells, F.expr("cell_id = _crowded"), "left_semi")
         some = some.join(touching.select(F.col("_feature").alias(feature)).distinct(), feature, "left_semi")
