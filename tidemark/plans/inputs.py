@@ -151,3 +151,38 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "if(version = 1, date_add(date'2008-01-01', cast(10 * k as int)), "
         "date_add(date'2019-01-01', cast(30 * k as int))) as effective_date",
     )
+
+
+def basins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave polygons hundreds of thousands of units wide, one per nation on every tile."""
+    last = table(spark, sf_dir, "supplier").selectExpr(
+        f"coalesce(max(cast(s_suppkey as bigint) div {SUPPLIERS_PER_TILE}), 0) as last"
+    )
+    nation = table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as bigint) as k")
+    boxes = nation.withColumn("t", F.explode_outer(F.sequence(F.lit(0).cast("bigint"), last.scalar()))).selectExpr(
+        "k + 25 * t as basin_id", f"(k * 337919) % {TILE} + t * {TILE} as cx", f"(k * 570817) % {TILE} as cy", "100000 + 6000 * k as w"
+    )
+    return boxes.selectExpr(
+        "basin_id", "0 as part", "0 as ring", f"{ring(ZONE_VERTICES)} as verts",
+        "cx - w as x0", "cy - w as y0", "cx + w as x1", "cy + w as y1",
+    )
+
+
+def town_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones at a hundredth of their scale, so that thousands lie in one cell."""
+    boxes = zone_boxes(spark, sf_dir).selectExpr("zone_id", "severity", "cx div 100 as cx", "cy div 100 as cy", "w div 100 as w")
+    return boxes.selectExpr(
+        "zone_id", "0 as part", "0 as ring", f"{ring(ZONE_VERTICES)} as verts",
+        "cx - w as x0", "cy - w as y0", "cx + w as x1", "cy + w as y1", "severity",
+    )
+
+
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauges in 25 dense clusters on every tile, one per part."""
+    part = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
+    return keyed(part, "p_partkey", PARTS_PER_TILE).selectExpr(
+        "k as gauge_id",
+        "100000 + (m % 5) * 200000 + (m * 7919) % 700 + shift as x",
+        "100000 + (m div 5 % 5) * 200000 + (m * 104729) % 900 as y",
+        "(31 * k) % 5000 as level_mm",
+    )

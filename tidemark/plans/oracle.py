@@ -266,8 +266,51 @@ ORACLE: dict[str, str] = {
 ORACLE["buildings_wide_joined"] = ORACLE["buildings_wide"]
 # Each cell has fewer values than the sketch keeps, so its median is a value.
 ORACLE["first_floor_cells_approximate"] = ORACLE["first_floor_cells"].replace("quantile_cont", "quantile_disc")
+
+
+def in_pentagons(boxes: str, points: str, key: str, more: str = "") -> str:
+    """Points in the pentagons of centre and half width, tested on all their edges."""
+    return f"""
+        with bx as ({boxes}), pt as ({points}), v as (
+            select {key}, 1 as i, cx - w as x, cy - w as y from bx union all
+            select {key}, 2, cx + w, cy - w from bx union all select {key}, 3, cx + w, cy + w from bx union all
+            select {key}, 4, cx, cy from bx union all select {key}, 5, cx - w, cy + w from bx
+        ), e as (
+            select a.{key}, a.x as x1, a.y as y1, b.x as x2, b.y as y2
+            from v a join v b on a.{key} = b.{key} and b.i = a.i % 5 + 1 where a.y <> b.y
+        )
+        select p.building_id, b.{key}{more}
+        from pt p join bx b on p.x between b.cx - b.w and b.cx + b.w and p.y between b.cy - b.w and b.cy + b.w
+        where (select count(*) from e
+               where e.{key} = b.{key} and (e.y1 > p.y) <> (e.y2 > p.y)
+                 and case when e.y2 > e.y1 then (p.x - e.x1) * (e.y2 - e.y1) < (e.x2 - e.x1) * (p.y - e.y1)
+                          else (p.x - e.x1) * (e.y2 - e.y1) > (e.x2 - e.x1) * (p.y - e.y1) end) % 2 = 1"""
+
+
+_BASINS = """
+    select k + 25 * t as basin_id, (k * 337919) % 1000000 + t * 1000000 as cx, (k * 570817) % 1000000 as cy, 100000 + 6000 * k as w
+    from (select cast(n_nationkey as bigint) as k from nation),
+         (select unnest(range(0, (select max(s_suppkey) // 1000 + 1 from supplier))) as t)"""
+_TOWN = f"select zone_id, severity, cx // 100 as cx, cy // 100 as cy, w // 100 as w from ({INPUTS['zb']})"
+ORACLE["points_in_basins"] = in_pentagons(_BASINS, INPUTS["bd"], "basin_id")
+ORACLE["points_in_town_zones"] = in_pentagons(
+    _TOWN, f"select building_id, x // 100 as x, y // 100 as y from ({INPUTS['bd']})", "zone_id", ", b.severity"
+)
+ORACLE["nearest_gauge"] = sql("bd", """
+    , ga as (
+        select k as gauge_id, 100000 + (m % 5) * 200000 + (m * 7919) % 700 + t * 1000000 as x,
+               100000 + (m // 5 % 5) * 200000 + (m * 104729) % 900 as y, (31 * k) % 5000 as level_mm
+        from (select cast(p_partkey as bigint) as k, p_partkey % 20000 as m, p_partkey // 20000 as t from part)
+    ), found as (
+        select b.building_id, g.gauge_id, g.level_mm, (b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y) as d2
+        from bd b join ga g on (b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y) <= 2500000000
+        qualify row_number() over (partition by b.building_id
+            order by (b.x - g.x) * (b.x - g.x) + (b.y - g.y) * (b.y - g.y), g.gauge_id) = 1
+    )
+    select b.building_id, f.gauge_id as near_gauge_id, f.level_mm as near_level_mm, f.d2 as near_d2
+    from bd b left join found f using (building_id)""")
 for _name in (
-    "points_in_zones", "points_in_zones_or_none", "buildings_in_zones", "buildings_outside_zones", "panel_as_of_each",
+    "points_in_basins", "points_in_town_zones", "points_in_zones", "points_in_zones_or_none", "buildings_in_zones", "buildings_outside_zones", "panel_as_of_each",
     "nearest_bfe", "nearest_bfe_three", "nearest_bfe_same_datum",
 ):
     ORACLE[f"{_name}_shuffled"] = ORACLE[_name]

@@ -313,12 +313,31 @@ def zone_area_prevalence(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def points_in_basins(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Polygons hundreds of cells wide: their full cells are on wider grids."""
+    hits = points_in_polygons(_places(spark, d), inputs.basins(spark, d), 1_000, feature="basin_id", **options)
+    return hits.select("building_id", "basin_id")
+
+
+def points_in_town_zones(spark: SparkSession, d: str, **options) -> DataFrame:
+    """Thousands of zones and all buildings in one cell, which is cut finer."""
+    places = _places(spark, d).selectExpr("building_id", "x div 100 as x", "y div 100 as y")
+    hits = points_in_polygons(places, inputs.town_zones(spark, d), CELL, feature="zone_id", **options)
+    return hits.select("building_id", "zone_id", "severity")
+
+
+def nearest_gauge(spark: SparkSession, d: str) -> DataFrame:
+    """Targets in dense clusters: leaves of a tree in place of all their pairs."""
+    found = nearest(_places(spark, d), inputs.gauges(spark, d), RADIUS, target_id="gauge_id", strategy="shuffle")
+    return found.select("building_id", "near_gauge_id", "near_level_mm", "near_d2")
+
+
 # The branches that large inputs take, over the same tables and with the same answers.
 SHUFFLED = {
     f"{f.__name__}_shuffled": partial(f, strategy="shuffle")
     for f in (
         points_in_zones, points_in_zones_or_none, buildings_in_zones, buildings_outside_zones, panel_as_of_each,
-        nearest_bfe, nearest_bfe_three, nearest_bfe_same_datum,
+        nearest_bfe, nearest_bfe_three, nearest_bfe_same_datum, points_in_basins, points_in_town_zones,
     )
 }
 
@@ -331,6 +350,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         first_floor_cells, first_floor_cells_approximate, nearest_bfe, nearest_bfe_three, zone_rings, clean_buildings, clean_buildings_rejected,
         clean_zones, clean_zones_rejected, buildings_wide, buildings_wide_joined, layer_violations, zone_geojson, zone_geojson_rejected,
         published_layer, published_layers, zone_area_prevalence,
-        points_in_geojson_zones, nearest_bfe_same_datum,
+        points_in_geojson_zones, nearest_bfe_same_datum, points_in_basins, points_in_town_zones, nearest_gauge,
     )
 } | SHUFFLED
