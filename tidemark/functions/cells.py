@@ -2,8 +2,11 @@
 
 A cell of side ``size`` holds the points ``col*size <= x < (col+1)*size`` and
 likewise for rows.  Its id packs column and row into one bigint, so a join on
-cells is a join on a single long.  Coordinates must stay below 2**52 and cell
-columns and rows below 2**30, which leaves ample room for 1e-6 degree input.
+cells is a join on a single long.  Cell columns and rows must stay below 2**30,
+and so must coordinates below 2**52.  Containment and distance multiply two
+differences of coordinates in a bigint: a polygon, with the points near it, and
+a radius must span less than 2**31, which leaves room for the whole globe in
+1e-6 degrees.  Beyond that Spark raises an overflow error.
 """
 
 from __future__ import annotations
