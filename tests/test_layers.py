@@ -243,3 +243,24 @@ def test_geojson_lines(spark, tmp_path):
     again, _ = polygons_from_geojson(spark.createDataFrame([(lines[0],)], "value string"), "$.properties.n", 10)
     assert {r.feature_id for r in again.collect()} == {3}
     assert float(Decimal(again.first().x1)) == -820
+
+
+def test_keys_hot_on_both_sides_are_spread(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        n = 100_000
+        left = spark.range(n).selectExpr("if(id < 10, cast(null as bigint), if(id < 100, id, 7L)) as k", "id as a")
+        right = spark.range(n).selectExpr("if(id < 10, id, 7L) as k", "id as b", "map(1, id) as m")
+        joined = skew_join(left, right, ["k"], "inner", "a = b", hot_rows=20_000, both=True)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+        assert joined.columns == ["k", "a", "b", "m"] and sum(r.n for r in parts) == n - 100
+        assert max(r.n for r in parts) < n / 3 and len(parts) > 8
+        pairs = skew_join(left.where("a < 300"), right.where("b < 300"), ["k"], "inner", hot_rows=20, both=True)
+        want = left.where("a < 300").join(right.where("b < 300"), "k").select("k", "a", "b")
+        assert sorted(map(tuple, pairs.select("k", "a", "b").collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    with pytest.raises(ValueError):
+        skew_join(left, right, ["k"], "left", both=True)

@@ -97,7 +97,7 @@ def points_in_polygons(
             right = F.broadcast(cut.withColumnRenamed("cell_id", "_r_cell_id"))
             joined = placed.join(right, F.expr(" and ".join(["cell_id = _r_cell_id", *tests])), kind)
         else:
-            joined = skew_join(placed, cut, ["cell_id"], kind, " and ".join(tests) or "true", hot_rows)
+            joined = skew_join(placed, cut, ["cell_id"], kind, " and ".join(tests) or "true", hot_rows, both=kind == "inner")
         return joined.select(*(points.columns if kind in ("left_semi", "left_anti") else [*points.columns, *gained]))
 
     if len(sides) == 1:

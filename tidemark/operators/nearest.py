@@ -170,7 +170,7 @@ def candidates(
     )
     cell, box = ("cx0", "cy0", "cx1", "cy1"), ("x0", "y0", "x1", "y1")
     at_spot = ["_fine", *same]
-    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", f"{_least_d2(cell, box)} <= _bound", hot_rows)
+    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", f"{_least_d2(cell, box)} <= _bound", hot_rows, both=True)
     # A leaf with k targets bounds the k-th distance of every place in the cell.
     by_cell = f"partition by {', '.join(at_spot)}"
     offers = offers.selectExpr(

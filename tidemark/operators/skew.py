@@ -67,6 +67,7 @@ def skew_join(
     condition: str = "true",
     hot_rows: int = HOT_ROWS,
     hot: DataFrame | None = None,
+    both: bool = False,
 ) -> DataFrame:
     """Shuffled equi-join in which hot keys of ``left`` are cut into parts.
 
@@ -78,6 +79,10 @@ def skew_join(
     differ apart from the keys.  ``left`` is read once more to count its keys,
     unless ``hot`` gives them; the list of hot keys is broadcast up to a
     counted size, and joined otherwise.
+
+    With ``both``, for inner joins, the hot keys of ``right`` are counted and
+    cut as well: the parts of both sides make a grid, a row of either side goes
+    to one line of it, and each pair of rows meets in one place.
     """
     spread = ", ".join(f"`{f.name}`" for f in left.schema.fields if not has_map(f.dataType))
     hot = listed(hot_keys(left, keys, hot_rows) if hot is None else hot)
@@ -95,9 +100,26 @@ def skew_join(
         .drop("_parts")
         .withColumnsRenamed({k: f"_r_{k}" for k in keys})
     )
-    match = " and ".join([*(f"{k} = _r_{k}" for k in keys), "_sent_to = _copied_to", f"({condition})"])
+    meets = ["_sent_to = _copied_to"]
+    if both:
+        if how != "inner":
+            raise ValueError("both sides are cut for inner joins only")
+        across = listed(hot_keys(right, keys, hot_rows)).withColumnRenamed("_parts", "_lines")
+        values = ", ".join(f"`{f.name}`" for f in right.schema.fields if not has_map(f.dataType))
+        cut = cut.join(across, keys, "left").selectExpr("*", "explode_outer(sequence(0, coalesce(_lines, 1) - 1)) as _sent_across")
+        lines = across.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+        copied = copied.join(lines, [f"_r_{k}" for k in keys], "left").selectExpr(
+            "*", f"cast(if(_lines > 1, pmod(xxhash64({_renamed(values, keys)}), _lines), 0) as int) as _copied_across"
+        )
+        cut, copied = cut.drop("_lines"), copied.drop("_lines")
+        meets.append("_sent_across = _copied_across")
+    match = " and ".join([*(f"{k} = _r_{k}" for k in keys), *meets, f"({condition})"])
     joined = cut.join(copied.hint("merge"), F.expr(match), how)
-    return joined.drop("_sent_to", "_copied_to", *(f"_r_{k}" for k in keys))
+    return joined.drop("_sent_to", "_copied_to", "_sent_across", "_copied_across", *(f"_r_{k}" for k in keys))
+
+
+def _renamed(columns: str, keys: list[str]) -> str:
+    return ", ".join(f"`_r_{c.strip('`')}`" if c.strip("`") in keys else c for c in columns.split(", "))
 
 
 def _present(keys: list[str]) -> str:
