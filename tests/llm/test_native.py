@@ -37,6 +37,32 @@ def test_contexts_give_away_unseen_identifiers(spark):
     assert all(not found[i] for i in [*range(12), 101])
 
 
+def test_second_round_patterns_runs_and_contexts_by_place(spark):
+    rows = [(i, f"w{'abcdefghijkl'[i]} mailto: user{i}@site.example then") for i in range(12)]
+    rows += [(100 + i, f"see mailto: jane#doe7{i} x{i}x") for i in range(6)]
+    rows += [(200 + i, f"with handle jane#doe7{i} y{i}y") for i in range(6)]
+    rows += [(300, "a handle new#one99 so"), (301, "room 4711 here"), (302, "handle"), (303, "")]
+    rows += [(400 + i, f"call ph1: +1 555 010 99{10 + i} now") for i in range(12)]
+    rows += [(420, "the ph1: 5551234 x"), (421, "the ph1: (555) 123-4567 x"), (422, "other 1 555 010 9911. x")]
+    df = texts(spark, rows).selectExpr("*", "'mine' as base", "'mine' as cands", "1 as _row", "2 as _t", "3 as kind", "4 as m")
+    found = {r.doc_id: r for r in pii.find(df).collect()}
+    added = {d: [(x.kind, x.s, x.e) for x in r.added] for d, r in found.items() if r.added}
+    wanted = {100 + i: [(0, 12, 22)] for i in range(6)} | {200 + i: [(0, 12, 22)] for i in range(6)}
+    # The handle is a pattern only once its six values are known from mailto:.
+    wanted |= {300: [(0, 9, 18)], 420: [(3, 9, 16)], 421: [(3, 10, 23)]}
+    # A seed without its plus sign.
+    wanted |= {422: [(3, 6, 20)]}
+    assert added == wanted
+    assert all((r.cands, r._row, r._t, r.kind, r.m) == ("mine", 1, 2, 3, 4) and len(r) == 8 for r in found.values())
+    first = {r.doc_id for r in pii.find(texts(spark, rows), rounds=1).where("size(added) > 0").collect()}
+    assert 300 not in first and 200 in first
+
+
+def test_no_pattern_supports_itself(spark):
+    rows = [(i, f"id= a{i}@b.cd") for i in range(3)] + [(10 + i, f"id= thing{i}") for i in range(60)]
+    assert pii.find(texts(spark, rows)).where("size(added) > 0").count() == 0
+
+
 def test_masking(spark):
     t = "to a@b.cd and 1.2.3.4!"
     row = pii.find(texts(spark, [(1, t), (2, None)]), keep_text=True)
