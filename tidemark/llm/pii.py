@@ -107,7 +107,7 @@ def scanned(df: DataFrame) -> DataFrame:
 
 def core(m: str) -> str:
     """SQL for a value without the punctuation around it; a seed and a candidate that differ in no more are one."""
-    return rf"regexp_extract({m}, r'^[^A-Za-z0-9@]*(.*?)[^A-Za-z0-9]*$', 1)"
+    return rf"regexp_replace({m}, r'^[^A-Za-z0-9@]++|(?<![^A-Za-z0-9])[^A-Za-z0-9]++$', '')"
 
 
 def contexts() -> str:
