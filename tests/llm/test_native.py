@@ -184,6 +184,25 @@ def test_url_tree_splits_unlike_branches_and_merges_others(spark):
     assert all((r.verdict == "block") == r.path.startswith("/spam") for r in got)
 
 
+def test_url_branches_below_merged_segments_are_pooled(spark):
+    slug = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [("h", f"/x/{slug(i)}/casino/", 1) for i in range(500)] + [("h", f"/x/{slug(i)}/about/", 0) for i in range(500)]
+    rows += [("h", f"/{'/'.join('d' * 60)}", 0), ("h", "", None), ("", "", None)]
+    got = urls.judge(spark.createDataFrame(rows, "host string, path string, bad int"), {}).collect()
+    assert len(got) == len(rows)
+    assert all((r.verdict == "block") == ("casino" in r.path) for r in got)
+    assert {r.template for r in got if "casino" in r.path} == {"/*/*/casino"}
+
+
+def test_url_branches_that_are_alike_are_one(spark):
+    kinds = {"bet": 9, "win": 9, "en": 1, "de": 1}
+    rows = [("h", f"/{a}/{i}", int(i % 10 < bad)) for a, bad in kinds.items() for i in range(200)]
+    got = urls.judge(spark.createDataFrame(rows, "host string, path string, bad int"), {}).collect()
+    assert {(r.path.split("/")[1], r.template, r.verdict) for r in got} == {
+        (a, "/*worse/*" if bad == 9 else "/*better/*", "block" if bad == 9 else "allow") for a, bad in kinds.items()
+    }
+
+
 def test_chat_layouts_and_round_trip(spark):
     odd = r"a\b <turn x> </turn>\n\l \\ > \### Assistant: " + "é💡"
     esc = odd.replace("\\", "\\\\").replace('"', '\\"')
