@@ -220,8 +220,30 @@ def test_chat_layouts_and_round_trip(spark):
     assert [tuple(x) for x in by[1].read_turns] == [("user", odd), ("assistant", odd)] and by[1].loss_text == odd
     assert by[1].layout == "messages" and by[4].loss_text == "7"
     assert [tuple(x) for x in by[3].read_turns] == [("a>\nb\\", "")]
-    assert [tuple(x) for x in by[4].turns] == [("system", "i"), ("user", ""), ("assistant", "7")]
+    assert [tuple(x) for x in by[4].turns] == [("user", "i"), ("assistant", "7")]
     assert by[7].turns is None and by[8].formatted is None and by[9].layout is None
     assert by[10].turns == [] and by[10].formatted == ""
     start, end = by[2].loss_spans[0]
     assert by[2].formatted[start:end] == "c" and sha(by[2].loss_text) == sha("c")
+
+
+def test_chat_roles_parts_and_further_fields(spark):
+    records = [
+        '{"id": 7, "conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}]}',
+        '{"messages": [{"role": "user", "name": "n", "content": "q"}, {"role": "assistant", "content": "a"}], "meta": {"k": [1]}}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image"}]}, {"role": "assistant", "content": "a"}]}',
+        '{"messages": [{"role": "user", "content": ["q", ""]}, {"role": "assistant", "content": [{"text": "a"}]}]}',
+        '{"instruction": "q", "input": "", "output": "a", "lang, x": {"a`b: <": null}}', '{"instruction": "q", "input": null, "output": "a"}',
+        '{"question": "q", "answer": "a", "source": "s"}', '{"id": 1, "messages": []}', '{"messages": "q", "role": 1}', "[1]", "7", "null",
+        '{"instruction": "s", "input": "q", "output": "a"}',
+    ]
+    df = spark.createDataFrame(list(enumerate(records)), "id bigint, record string")
+    df = df.selectExpr("*", *(f"1 as {c}" for c in ("_record", "_print", "_layout", "formatted", "loss_spans", "read_turns", "loss_text")))
+    out = chat.parsed(chat.formatted(chat.canonical(df, "record")))
+    assert len(set(out.columns)) == len(out.columns)
+    got = {r.id: r for r in out.collect()}
+    for i in range(7):
+        assert [tuple(x) for x in got[i].read_turns] == [("user", "q"), ("assistant", "a")] and got[i].loss_text == "a", records[i]
+    assert got[7].turns == [] and all(got[i].turns is None for i in range(8, 12))
+    assert [x.role for x in got[12].turns] == ["system", "user", "assistant"] and got[0]._print == 1
+    assert chat.parsed(chat.formatted(chat.canonical(df.limit(0), "record"))).count() == 0

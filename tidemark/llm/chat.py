@@ -10,64 +10,112 @@ from pyspark.sql import DataFrame
 
 TURNS = "array<struct<role: string, text: string>>"
 
-# Declarative mappings: example of the layout, then either the path of the
-# list with the names of its role and text fields, or (role, path) by turn.
+# Names of roles in layouts that have their own.
+ROLES = {
+    "human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant",
+}
+# Declarative mappings, in the order in which they are tried: the field paths a
+# record must have (one of each group), then either the list with the names of
+# its role and text fields and of the roles to rename, or (role, path) by turn.
 MAPPINGS = {
-    "messages": ('{"messages": [{"role": "", "content": ""}]}', ("$.messages", "role", "content")),
-    "conversations": ('{"conversations": [{"from": "", "value": ""}]}', ("$.conversations", "from", "value")),
-    "completion": ('{"prompt": "", "completion": ""}', (("user", "$.prompt"), ("assistant", "$.completion"))),
+    "messages": (
+        (("messages[].role",), ("messages[].content", "messages[].content[]", "messages[].content[].text")),
+        ("$.messages", "role", "content", {}),
+    ),
+    "conversations": (
+        (("conversations[].from",), ("conversations[].value", "conversations[].value[]", "conversations[].value[].text")),
+        ("$.conversations", "from", "value", ROLES),
+    ),
+    "completion": ((("prompt",), ("completion",)), (("user", "$.prompt"), ("assistant", "$.completion"))),
     "instruction": (
-        '{"instruction": "", "input": "", "output": ""}',
+        (("instruction",), ("input",), ("output",)),
         (("system", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")),
     ),
-    "instruction_only": (
-        '{"instruction": "", "output": ""}',
-        (("user", "$.instruction"), ("assistant", "$.output")),
-    ),
-    "question": ('{"question": "", "answer": ""}', (("user", "$.question"), ("assistant", "$.answer"))),
+    "instruction_only": ((("instruction",), ("output",)), (("user", "$.instruction"), ("assistant", "$.output"))),
+    "question": ((("question",), ("answer",)), (("user", "$.question"), ("assistant", "$.answer"))),
 }
+# A layout that turns into another when a field of it is empty.
+WITHOUT = {"instruction": ("$.input", "instruction_only")}
 
 
 def fingerprint(record: str) -> str:
-    """SQL for the hash of a variant's nested field paths, whatever the values' types.
+    """SQL for the sorted hashes of a variant's nested field paths, whatever the values' types.
 
-    Scalars are told apart from objects and lists, not from each other; the
-    fields of an object are sorted; an absent field differs from a null one.
+    ``[]`` marks the items of a list.  Only paths of scalars, of values of mixed
+    types and of empty lists' items count; an absent field differs from a null one.
     """
-    scalar = r"r'(?<=: |^|ARRAY<)(STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|BINARY|DATE|DECIMAL\([0-9,]+\))(?=[,>]|$)'"
-    return f"xxhash64(regexp_replace(schema_of_variant({record}), {scalar}, '?'))"
+    token = r"`(?:[^`]|``)*`: |[^<>:,` ]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\\([0-9,]+\\))?"
+    step = (
+        "case when endswith(t, ': ') then named_struct('at', a.at, 'key', rtrim(': ', trim('`', rtrim(': ', t))), 'out', a.out) "
+        "when t = 'OBJECT<' then named_struct('at', array_append(a.at, concat(element_at(a.at, -1), a.key, '.')), 'key', '', 'out', a.out) "
+        "when t = 'ARRAY<' then named_struct('at', array_append(a.at, concat(element_at(a.at, -1), a.key, '[]')), 'key', '', 'out', a.out) "
+        "when t = '>' then named_struct('at', slice(a.at, 1, size(a.at) - 1), 'key', '', 'out', a.out) "
+        "else named_struct('at', a.at, 'key', '', 'out', array_append(a.out, concat(element_at(a.at, -1), a.key))) end"
+    )
+    tokens = f"regexp_extract_all(schema_of_variant({record}), '{token}', 0)"
+    zero = "named_struct('at', array(''), 'key', '', 'out', cast(array() as array<string>))"
+    return f"array_sort(array_distinct(transform(aggregate({tokens}, {zero}, (a, t) -> {step}).out, p -> xxhash64(if(startswith(p, '.'), substr(p, 2), p)))))"
+
+
+def fits(needs: tuple) -> str:
+    """SQL: whether ``_print`` has a path of each group; other fields do not matter."""
+    return " and ".join(f"arrays_overlap(_print, array({', '.join(f"xxhash64('{p}')" for p in group)}))" for group in needs)
+
+
+def text_of(value: str) -> str:
+    """SQL for the text of a variant: itself, or the texts of the parts of a list; a part without a text gives none."""
+    part = (
+        "if(startswith(schema_of_variant(p), 'OBJECT'), try_variant_get(p, '$.text', 'string'), try_variant_get(p, '$', 'string'))"
+    )
+    parts = f"transform(try_variant_get({value}, '$', 'array<variant>'), p -> coalesce({part}, ''))"
+    return (
+        f"coalesce(if(startswith(schema_of_variant({value}), 'ARRAY'), array_join({parts}, ''), "
+        f"try_variant_get({value}, '$', 'string')), '')"
+    )
 
 
 def turns_by(mapping: tuple) -> str:
     """SQL for the turns of a record ``_record`` under one mapping."""
     if isinstance(mapping[0], str):
-        path, role, text = mapping
-        got = f"variant_get(_record, '{path}', 'array<struct<`{role}`: string, `{text}`: string>>')"
-        return f"transform({got}, x -> named_struct('role', coalesce(x.`{role}`, ''), 'text', coalesce(x.`{text}`, '')))"
-    one = (f"named_struct('role', '{r}', 'text', coalesce(variant_get(_record, '{p}', 'string'), ''))" for r, p in mapping)
+        path, role, text, renamed = mapping
+        got = f"try_variant_get(_record, '{path}', 'array<variant>')"
+        found = f"coalesce(try_variant_get(x, '$.{role}', 'string'), '')"
+        for old, new in renamed.items():
+            found = f"if(lower(try_variant_get(x, '$.{role}', 'string')) = '{old}', '{new}', {found})"
+        content = f"try_variant_get(x, '$.{text}', 'variant')"
+        return f"transform({got}, x -> named_struct('role', {found}, 'text', {text_of(content)}))"
+    one = (f"named_struct('role', '{r}', 'text', {text_of(f"try_variant_get(_record, '{p}', 'variant')")})" for r, p in mapping)
     return f"array({', '.join(one)})"
 
 
 def canonical(df: DataFrame, record: str, mappings: dict[str, tuple] | None = None) -> DataFrame:
     """Add ``layout`` and ``turns`` (array of role and text) to records in JSON.
 
-    A record that is null, no JSON or of no known layout keeps its row, with
-    null in both.  Null roles and texts become empty.  An empty list of turns
-    gives no turns.  Columns named like the two are replaced.
+    A mapping is selected by the hashes of the paths it needs; further fields
+    are ignored.  Roles are renamed as the mapping says.  A text given as a list
+    of parts is their texts in order.  An instruction with an empty ``input`` is
+    the user's.  A record that is null, no JSON or of no known layout keeps its
+    row, with null in both.  Null roles and texts become empty.  An empty list
+    of turns gives no turns.  Columns named like the two are replaced, others kept.
     """
     mappings = MAPPINGS if mappings is None else mappings
-    read = df.drop("layout", "turns").selectExpr("*", f"try_parse_json(`{record}`) as _record")
+    kept = [c for c in df.columns if c not in ("layout", "turns")]
+    columns = "".join(f", '{c}', `{c}`" for c in kept)
+    read = df.selectExpr(f"named_struct('_', 0{columns}) as _in", f"try_parse_json(`{record}`) as _record")
     read = read.selectExpr("*", f"{fingerprint('_record')} as _print")
-    layout, turns = "case", "case"
-    for name, (example, mapping) in mappings.items():
-        same = f"_print = {fingerprint(f'''parse_json('{example}')''')}"
-        layout += f" when {same} then '{name}'"
-        turns += f" when {same} then {turns_by(mapping)}"
-    empty = "schema_of_variant(_record) in ('OBJECT<messages: ARRAY<VOID>>', 'OBJECT<conversations: ARRAY<VOID>>')"
-    return (
-        read.selectExpr("*", f"if({empty}, 'empty', {layout} end) as layout")
-        .selectExpr("*", f"cast(if(layout = 'empty', array(), {turns} end) as {TURNS}) as turns")
-        .drop("_record", "_print")
+    layout = "".join(f" when {fits(needs)} then '{name}'" for name, (needs, _) in mappings.items())
+    turns = "".join(f" when _layout = '{name}' then {turns_by(mapping)}" for name, (_, mapping) in mappings.items())
+    lists = [m[0][2:] for _, m in mappings.values() if isinstance(m[0], str)]
+    empty = fits((tuple(f"{name}[]" for name in lists),)) if lists else "false"
+    instead = "".join(
+        f" when _layout = '{a}' and {text_of(f"try_variant_get(_record, '{path}', 'variant')")} = '' then '{b}'"
+        for a, (path, b) in WITHOUT.items() if a in mappings and b in mappings
+    )
+    read = read.selectExpr("*", f"case{layout} when {empty} then 'empty' end as _layout")
+    read = read.selectExpr("_in", "_record", f"case{instead} else _layout end as _layout") if instead else read
+    return read.selectExpr(
+        *(f"_in.`{c}`" for c in kept), "_layout as layout",
+        f"cast(case when _layout = 'empty' then array(){turns} end as {TURNS}) as turns",
     )
 
 
@@ -87,7 +135,7 @@ def formatted(df: DataFrame, learnt: str = "assistant") -> DataFrame:
     A turn is ``<turn ROLE>\\n``, its text and ``</turn>\\n``; control strings
     in roles and texts are escaped reversibly.  A span is start and end, in
     code points, of an escaped text to learn from.  No turns give empty text,
-    null turns give null.
+    null turns give null.  Columns named like the two are replaced.
     """
     head = f"concat('<turn ', replace({escaped('x.role')}, '>', r'\\g'), '>\\n')"
     parts = f"transform(turns, x -> named_struct('role', x.role, 'head', {head}, 'body', {escaped('x.text')}))"
@@ -98,7 +146,8 @@ def formatted(df: DataFrame, learnt: str = "assistant") -> DataFrame:
     )
     zero = "named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int>>))"
     return (
-        df.selectExpr("*", f"{parts} as _parts")
+        df.drop("formatted", "loss_spans")
+        .selectExpr("*", f"{parts} as _parts")
         .selectExpr(
             "*",
             "array_join(transform(_parts, p -> concat(p.head, p.body, '</turn>\\n')), '') as formatted",
@@ -116,7 +165,7 @@ def parsed(df: DataFrame) -> DataFrame:
     )
     pieces = "slice(split(formatted, '</turn>\\n'), 1, size(split(formatted, '</turn>\\n')) - 1)"
     masked = unescaped("substr(formatted, s.start + 1, s.end - s.start)")
-    return df.selectExpr(
+    return df.drop("read_turns", "loss_text").selectExpr(
         "*",
         f"transform({pieces}, p -> {turn}) as read_turns",
         f"array_join(transform(loss_spans, s -> {masked}), '') as loss_text",

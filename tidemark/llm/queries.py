@@ -84,7 +84,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A conversation arrives as one JSON record: prompt and completion if it is
     one question and its answer, instruction, input and output if it is a
-    system turn before these, else a list of messages.
+    system turn before these and the input is not empty, else a list of messages.
     """
     turns = table(spark, sf_dir, "conversations").selectExpr(
         "conv_id", "turn", "coalesce(role, '') as role", "coalesce(text, '') as content"
@@ -100,7 +100,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id",
         "case when roles = array('user', 'assistant') then "
         "to_json(named_struct('prompt', messages[0].content, 'completion', messages[1].content)) "
-        "when roles = array('system', 'user', 'assistant') then to_json(named_struct('instruction', "
+        "when roles = array('system', 'user', 'assistant') and messages[1].content <> '' then to_json(named_struct('instruction', "
         "messages[0].content, 'input', messages[1].content, 'output', messages[2].content)) "
         "else to_json(named_struct('messages', messages)) end as record",
     )
