@@ -103,3 +103,30 @@ def test_leaves_hold_few_targets_each_once(spark, most):
 def test_auto_shuffles_where_targets_crowd(spark):
     spots, targets = points(spark, [(0, 0)]), elevations(spark, [(i, i % 20, i // 20) for i in range(300)])
     assert "_leaf" in plan(nearest(spots, targets, 50)) and "_leaf" not in plan(nearest(spots, targets.limit(100), 50))
+
+
+def test_auto_broadcasts_targets_that_are_listed_once_for_each_grid(spark):
+    spots, targets = points(spark, [(0, 0)]), elevations(spark, [(i, i * 40, i * 7) for i in range(200)])
+    assert "_leaf" not in plan(nearest(spots, targets, 50, broadcast_bytes=60_000))
+    assert "_leaf" in plan(nearest(spots, targets, 50, broadcast_bytes=20_000))
+
+
+def joined_rows(node):
+    """The most rows that a sort-merge join of an executed plan made."""
+    name, below = node.nodeName(), [node.children().apply(i) for i in range(node.children().size())]
+    if name == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif "QueryStage" in name:
+        below = [node.plan()]
+    own = node.metrics().apply("numOutputRows").value() if name == "SortMergeJoin" else 0
+    return max([own, *map(joined_rows, below)])
+
+
+def test_lists_of_targets_do_not_grow_with_points(spark):
+    rng = random.Random(11)
+    targets = [(i, rng.randint(0, 40_000), rng.randint(0, 40_000)) for i in range(40)]
+    spots = sorted({(rng.randint(0, 40_000), rng.randint(0, 40_000)) for _ in range(3_000)})
+    found = nearest(points(spark, spots), elevations(spark, targets), 20_000, 3, strategy="shuffle")
+    rows = {(r.building_id, r.near_rank, r.near_bfe_id, r.near_d2) for r in found.collect()}
+    assert rows == brute(spots, targets, 20_000, 3)
+    assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 3 * len(spots)

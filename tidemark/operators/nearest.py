@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import axis, cell_of, check_size, pack, parent, unpack
 from tidemark.operators.pick import top_rows
-from tidemark.operators.skew import HOT_ROWS, hottest, row_bytes, skew_join
+from tidemark.operators.skew import HOT_ROWS, hottest, listed, row_bytes, skew_join
 
 BROADCAST_BYTES = 32 << 20
 FINER = 8
 GRIDS = 3
-# Targets of a leaf, leaves that a place meets in one row, and targets of a widest cell that points may all look at.
-LEAF, LEAVES_EACH, CROWD = 8, 512, 256
+BOX = ("x0", "y0", "x1", "y1")
+FAR = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
+# Targets of a leaf, branches that a place meets in one row, and targets of a widest cell that points may all look at.
+LEAF, BRANCHES_EACH, CROWD = 8, 64, 256
 
 
 def nearest(
@@ -43,8 +45,8 @@ def nearest(
     answered by its own place, so keys may repeat or be null; ``key`` only
     names what a row is about and does not change the result.
 
-    Points and targets meet on grid cells, with each target listed in the 3 x 3
-    cells around its own.  Which of the ``grids`` grids a point searches follows the
+    Points and targets meet on grid cells: a point searches the 3 x 3 cells
+    around its own.  Which of the ``grids`` grids it searches follows the
     density of targets: where a small cell already has ``k`` of them, the
     nearest ``k`` are no further away than its diagonal, and the next wider
     grid is enough; elsewhere the widest is used, whose side is at least the
@@ -52,14 +54,17 @@ def nearest(
     that crowd together.  Of targets on one spot only the ``k`` lowest ids can ever count,
     so the others are left out at the start.
 
-    ``broadcast`` keeps the points where they are and needs no shuffle at all,
-    but a point looks at every target around its cell.  ``shuffle`` sends each
-    distinct place once to its finest cell.  There wait the leaves that may
-    count: squares as small as it takes to hold ``leaf`` targets at most (see
-    ``target_leaves``).  Of them a cell keeps those no further than the far
-    side of its nearest leaf with ``k`` targets, a place does the same again
-    with the leaves of its cell, and ranks only the targets of what is left,
-    within one row: pairs never become rows, however targets crowd together.
+    ``broadcast`` keeps the points where they are and needs no shuffle at all:
+    the targets are broadcast by the cell they lie in, once for each grid that
+    is searched, and a point looks up the cells around its own.  ``shuffle``
+    sends each distinct place once to the cell it searches.  There wait the
+    targets around, in leaves, squares as small as it takes to hold ``leaf``
+    of them at most (see ``target_leaves``), and these in branches, the next
+    wider squares.  A target is listed in nine cells of a grid at most,
+    however many points there are.  A place ranks the targets of
+    the branch with ``k`` of them whose far side is nearest, and then those of
+    all leaves that are no further than the ``k``-th of these, within one row:
+    pairs never become rows, however targets crowd together.
     The answers go back to the points, with hot cells and places cut into
     parts.  ``auto`` measures the targets and broadcasts up to
     ``broadcast_bytes``, if no cell of the widest grid holds a crowd.
@@ -70,7 +75,7 @@ def nearest(
     if strategy not in ("auto", "broadcast", "shuffle"):
         raise ValueError("strategy must be auto, broadcast or shuffle")
     if strategy == "auto":
-        strategy = "broadcast" if _sparse(targets, radius, broadcast_bytes // (9 * grids)) else "shuffle"
+        strategy = "broadcast" if _sparse(targets, radius, broadcast_bytes // max(1, grids - 1)) else "shuffle"
 
     useful = targets.where("x is not null and y is not null")
     useful = top_rows(useful, ["x", "y", *match], [target_id], k)
@@ -91,23 +96,32 @@ def _by_lists(
     """The search without a shuffle of points: the targets around each cell, listed and broadcast."""
     finest = -(-radius // FINER ** (grids - 1))
     sides = [finest * FINER**i for i in range(grids)]
+    searched = sides[1:] + sides[-1:]
     same = [f"_same{j}" for j in range(len(match))]
-    listed = useful.selectExpr(
-        f"named_struct({hit}) as _t", "x as _x", "y as _y", *(f"`{c}` as {s}" for c, s in zip(match, same)),
-        f"explode({_around(sides, 'x', 'y')}) as _at",
-    ).selectExpr("_t", "_x", "_y", *same, "_at.side as _side", "_at.cell as _cell")
+    as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
     graded = points
     for i in range(grids - 1):
         known = F.broadcast(_rich(targets, sides[i], k, f"_rich{i}", match))
         equal = "".join(f" and `{c}` = _rich{i}_{j}" for j, c in enumerate(match))
         graded = graded.join(known, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}{equal}"), "left")
-    cell = _choose([cell_of("x", "y", s) for s in sides[1:] + sides[-1:]])
-    graded = graded.selectExpr(*_each(points), f"{_choose(sides[1:] + sides[-1:])} as _own_side", f"{cell} as _own_cell")
-    grouped = listed.groupBy("_side", "_cell", *same).agg(
-        F.expr("collect_list(named_struct('t', _t, 'x', _x, 'y', _y)) as _near")
+    col, row = (_choose([axis(c, s) for s in searched]) for c in ("x", "y"))
+    found = graded.selectExpr(
+        *_each(points), *as_same, f"{_choose(searched)} as _own_side", f"{col} as _own_col", f"{row} as _own_row"
+    )
+    grouped = F.broadcast(
+        useful.selectExpr(f"named_struct({hit}) as t", "x", "y", *as_same, f"explode({_own(searched)}) as _at")
+        .groupBy("_at", *same).agg(F.expr("collect_list(named_struct('t', t, 'x', x, 'y', y)) as _in"))
+        .selectExpr("_at.side as _side", "_at.cell as _cell", *(f"{s} as _r{s}" for s in same), "_in")
     )
-    equal = "".join(f" and `{c}` = {s}" for c, s in zip(match, same))
-    found = graded.join(F.broadcast(grouped), F.expr(f"_own_side = _side and _own_cell = _cell{equal}"), "left")
+    # The same list is looked up nine times, and broadcast once.
+    equal = "".join(f" and {s} = _r{s}" for s in same)
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    for n, (i, j) in enumerate(around):
+        meets = f"_own_side = _side and {pack(f'_own_col + {i}', f'_own_row + {j}')} = _cell{equal}"
+        found = found.join(grouped, F.expr(meets), "left").drop("_side", "_cell", *(f"_r{s}" for s in same))
+        found = found.withColumnRenamed("_in", f"_in{n}")
+    lists = ", ".join(f"_in{n}" for n in range(len(around)))
+    found = found.selectExpr(*_each(points), f"flatten(filter(array({lists}), l -> l is not null)) as _near")
     return _ranked(found, _each(points), k, radius * radius, prefix, target_id).selectExpr(
         *_each(points), "_hit.t.*", f"_hit.d2 as {prefix}d2", f"if(_hit.d2 is null, null, _pos + 1) as {prefix}rank"
     )
@@ -136,59 +150,97 @@ def candidates(
 ) -> DataFrame:
     """Each distinct place with the targets ``_near`` that may be among its ``k`` nearest.
 
-    Leaves of targets meet cells of points, then places; ``hit`` is SQL for
+    Branches of targets meet cells of points, then places; ``hit`` is SQL for
     the fields of a target.
     """
     base, depth = tree(radius, grids)
     finest = base * FINER**depth
     sides = [finest * FINER**i for i in range(grids)]
+    searched = sides[1:] + sides[-1:]
     reach = radius * radius
+    bounds = [*(min(reach, 2 * s * s) for s in sides[:-1]), reach]
     same = [f"_same{j}" for j in range(len(match))]
     as_same = [f"`{c}` as {s}" for c, s in zip(match, same)]
     leaves = target_leaves(
         useful.selectExpr(f"named_struct({hit}) as t", "x", "y", *as_same), base, depth, leaf, same, hot_rows
     )
-    listed = leaves.selectExpr("*", f"explode({_around(sides, 'x0', 'y0')}) as _at")
-    listed = listed.selectExpr(*(f"`{c}`" for c in leaves.columns), "_at.side as _side", "_at.cell as _cell")
+    offered = _branches(leaves, base, depth, same).selectExpr("*", f"explode({_own(searched, 'x0', 'y0')}) as _at")
+    offered = offered.selectExpr(*same, *BOX, "n", "leaves", "_at.side as _side", "_at.cell as _cell")
+    crowds = useful.selectExpr(*as_same, f"explode({_own(searched)}) as _at").selectExpr(*same, "_at.side as _side", "_at.cell as _cell")
+    crowds = crowds.groupBy("_side", "_cell", *same).agg(F.expr("count(1) as _n"))
+
+    known = [listed(_rich(useful, sides[i], k, f"_rich{i}", match)) for i in range(grids - 1)]
+
+    def graded(rows: DataFrame) -> DataFrame:
+        """Rows with the cell that each searches, and the grade it was chosen by."""
+        for i, rich in enumerate(known):
+            equal = "".join(f" and {s} = _rich{i}_{j}" for j, s in enumerate(same))
+            rows = rows.join(rich, F.expr(f"{cell_of('x', 'y', sides[i])} = _rich{i}{equal}"), "left")
+        return rows.selectExpr(
+            "x", "y", *same, f"{_choose([cell_of('x', 'y', s) for s in searched])} as _fine", f"{_choose(list(range(grids)))} as _grade"
+        )
 
     # What may count for a cell is settled once per cell that has points.
-    places = points.selectExpr("x", "y", *as_same).dropna().distinct()
-    spots = places.selectExpr(f"{cell_of('x', 'y', finest)} as _fine", *same)
-    spots = spots.groupBy("_fine", *same).agg(F.expr("count(1) as _n"))
+    at_spot = ["_fine", "_grade", *same]
+    places = points.selectExpr("x", "y", *as_same).dropna()
+    spots = graded(places).groupBy(*at_spot).agg(F.expr("count(1) as _n"))
     col, row = unpack("_fine")
-    graded = spots.selectExpr("_fine", *same, f"{col} as _fx", f"{row} as _fy")
-    at = [pack(f"floor(_fx / {FINER**i})", f"floor(_fy / {FINER**i})") for i in range(grids)]
-    for i in range(grids - 1):
-        equal = "".join(f" and {s} = _rich{i}_{j}" for j, s in enumerate(same))
-        graded = graded.join(_rich(useful, sides[i], k, f"_rich{i}", match), F.expr(f"{at[i]} = _rich{i}{equal}"), "left")
-    bounds = [min(reach, 2 * s * s) for s in sides[:-1]]
-    graded = graded.selectExpr(
-        "_fine", *same, f"_fx * {finest} as cx0", f"_fy * {finest} as cy0",
-        f"(_fx + 1) * {finest} - 1 as cx1", f"(_fy + 1) * {finest} - 1 as cy1",
-        f"{_choose(sides[1:] + sides[-1:])} as _side", f"{_choose(at[1:] + at[-1:])} as _cell",
-        f"{_choose([*bounds, reach])} as _bound",
+    side = f"element_at(array({', '.join(f'{s}L' for s in searched)}), _grade + 1)"
+    wanted = spots.selectExpr(
+        *at_spot, f"{side} as _side", f"element_at(array({', '.join(f'{b}L' for b in bounds)}), _grade + 1) as _bound",
+        f"{col} as _fx", f"{row} as _fy",
+    ).selectExpr(
+        *at_spot, "_side", "_bound", "_fx * _side as cx0", "_fy * _side as cy0",
+        "(_fx + 1) * _side - 1 as cx1", "(_fy + 1) * _side - 1 as cy1",
+        f"explode({_around('_fx', '_fy')}) as _cell",
+    )
+    cell = ("cx0", "cy0", "cx1", "cy1")
+    offers = skew_join(
+        offered, wanted, ["_side", "_cell", *same], "inner", f"{_least_d2(cell, BOX)} <= _bound", hot_rows,
+        hot=hottest(crowds, ["_side", "_cell", *same], hot_rows),
     )
-    cell, box = ("cx0", "cy0", "cx1", "cy1"), ("x0", "y0", "x1", "y1")
-    at_spot = ["_fine", *same]
-    offers = skew_join(listed, graded, ["_side", "_cell", *same], "inner", f"{_least_d2(cell, box)} <= _bound", hot_rows, both=True)
-    # A leaf with k targets bounds the k-th distance of every place in the cell.
+    # A branch with k targets bounds the k-th distance of every place in the cell.
     by_cell = f"partition by {', '.join(at_spot)}"
     offers = offers.selectExpr(
-        *at_spot, f"named_struct({', '.join(f'{c!r}, {c}' for c in (*box, 'n', 'ts'))}) as _leaf", f"{_least_d2(cell, box)} as _least",
-        f"min(if(n >= {k}, {_most_d2(cell, box)}, null)) over ({by_cell}) as _most",
+        *at_spot, f"named_struct({', '.join(f'{c!r}, {c}' for c in (*BOX, 'n', 'leaves'))}) as _branch", f"{_least_d2(cell, BOX)} as _least",
+        f"min(if(n >= {k}, {_most_d2(cell, BOX)}, null)) over ({by_cell}) as _most",
     ).where("_most is null or _least <= _most")
     blocks = (
-        offers.selectExpr("*", f"pmod(xxhash64(_leaf.x0, _leaf.y0), (count(1) over ({by_cell})) div {LEAVES_EACH} + 1) as _block")
-        .groupBy(*at_spot, "_block").agg(F.expr("collect_list(_leaf) as _near"))
+        offers.selectExpr("*", f"pmod(xxhash64(_branch.x0, _branch.y0), (count(1) over ({by_cell})) div {BRANCHES_EACH} + 1) as _block")
+        .groupBy(*at_spot, "_block").agg(F.expr("collect_list(_branch) as _near"))
     )
-    placed = places.selectExpr("x", "y", *same, f"{cell_of('x', 'y', finest)} as _fine")
-    met = skew_join(placed, blocks.drop("_block"), at_spot, "inner", hot_rows=hot_rows, hot=hottest(spots, at_spot, hot_rows))
-    here, there = ("x", "y", "x", "y"), tuple(f"b.{c}" for c in box)
-    enough = f"array_min(transform(filter(_near, b -> b.n >= {k}), b -> {_most_d2(here, there)}))"
-    # An array of one value binds it, so that it is found once and not for each leaf.
-    upto = f"array(least(coalesce({enough}, {reach}), {reach}))"
-    within = f"flatten(transform(filter(_near, b -> {_least_d2(here, there)} <= upto), b -> b.ts))"
-    return met.selectExpr("x", "y", *same, f"flatten(transform({upto}, upto -> {within})) as _near")
+    met = skew_join(
+        graded(places.distinct()), blocks.drop("_block"), at_spot, "inner", hot_rows=hot_rows, hot=hottest(spots, at_spot, hot_rows)
+    )
+    return met.selectExpr("x", "y", *same, f"{_within_reach(k, reach)} as _near")
+
+
+def _within_reach(k: int, reach: int) -> str:
+    """The targets of the branches ``_near`` whose leaves are no further from a place than its ``k``-th in one branch.
+
+    That branch is the one with ``k`` targets whose far side is nearest.
+    """
+    here, there = ("x", "y", "x", "y"), tuple(f"b.{c}" for c in BOX)
+    least = _least_d2(here, there)
+    first = f"array_min(transform(_near, (b, i) -> if(b.n >= {k}, named_struct('d2', {_most_d2(here, there)}, 'i', i), null))).i"
+    far = f"transform(flatten(transform(_near[{first}].leaves, l -> l.ts)), n -> {FAR})"
+    nearest_there = f"array_min({far})" if k == 1 else f"element_at(array_sort({far}), {k})"
+    # An array of one value binds it, so that it is found once and not for each box.
+    upto = f"array(least(coalesce({nearest_there}, {reach}), {reach}))"
+    leaves = f"transform(filter(_near, b -> {least} <= upto), a -> filter(a.leaves, b -> {least} <= upto))"
+    return f"flatten(transform({upto}, upto -> flatten(transform(flatten({leaves}), l -> l.ts))))"
+
+
+def _branches(leaves: DataFrame, base: int, depth: int, same: list[str]) -> DataFrame:
+    """Leaves grouped by the next wider square, up to the widest."""
+    step = FINER.bit_length() - 1
+    up = f"if(_level < {depth}, {parent('_node', step)}, _node)"
+    leaf = f"named_struct({', '.join(f'{c!r}, {c}' for c in (*BOX, 'n', 'ts'))}) as _leaf"
+    named = leaves.selectExpr(f"least(_level + 1, {depth}) as _over", f"{up} as _branch", *same, *BOX, "n", leaf)
+    return named.groupBy("_over", "_branch", *same).agg(
+        *(F.expr(f"{f}({c}) as {c}") for c, f in zip(BOX, ("min", "min", "max", "max"))),
+        F.expr("sum(n) as n"), F.expr("collect_list(_leaf) as leaves"),
+    ).drop("_over", "_branch")
 
 
 def tree(radius: int, grids: int) -> tuple[int, int]:
@@ -206,7 +258,8 @@ def target_leaves(targets: DataFrame, base: int, depth: int, most: int, same: li
     the leaves are those that hold few enough while the next wider one does
     not.  A target finds its leaf by joining all its squares to them, where
     crowded squares are cut into parts.  Rows have the leaf's tight box
-    ``x0 y0 x1 y1``, its number ``n`` and its targets ``ts``.
+    ``x0 y0 x1 y1``, its number ``n`` and its targets ``ts``, next to its
+    ``_level`` and ``_node``.
     """
     squares = [f"named_struct('level', {i}, 'node', {cell_of('x', 'y', base * FINER**i)})" for i in range(depth + 1)]
     named = targets.selectExpr("t", "x", "y", *same, f"explode(array({', '.join(squares)})) as _s").selectExpr(
@@ -225,7 +278,7 @@ def target_leaves(targets: DataFrame, base: int, depth: int, most: int, same: li
     return found.groupBy(*at).agg(
         *(F.expr(f"{f}({c}) as {c}{i}") for i, f in ((0, "min"), (1, "max")) for c in ("x", "y")),
         F.expr("count(1) as n"), F.expr("collect_list(named_struct('t', t, 'x', x, 'y', y)) as ts"),
-    ).drop("_level", "_node")
+    )
 
 
 def _least_d2(a: tuple[str, ...], b: tuple[str, ...]) -> str:
@@ -245,9 +298,8 @@ def _ranked(df: DataFrame, keep: list[str], k: int, reach: int, prefix: str, tar
 
     Only distance, id and place in the list are compared; the rest may be of any type.
     """
-    far = "((x - n.x) * (x - n.x) + (y - n.y) * (y - n.y))"
     hits = (
-        f"filter(transform(_near, (n, i) -> named_struct('d2', {far}, 'id', n.t.`{prefix}{target_id}`, 'i', i)), "
+        f"filter(transform(_near, (n, i) -> named_struct('d2', {FAR}, 'id', n.t.`{prefix}{target_id}`, 'i', i)), "
         f"h -> h.d2 <= {reach})"
     )
     best = f"filter(array(array_min({hits})), h -> h is not null)" if k == 1 else f"slice(array_sort({hits}), 1, {k})"
@@ -268,13 +320,15 @@ def _each(df: DataFrame) -> list[str]:
     return [f"`{c}`" for c in df.columns]
 
 
-def _around(sides: list[int], x: str, y: str) -> str:
-    """Array of the cells of each grid in which what lies in one cell is listed."""
-    blocks = [
-        f"named_struct('side', {s}, 'cell', {pack(f'{axis(x, s)} + {i}', f'{axis(y, s)} + {j}')})"
-        for s in sides for i in (-1, 0, 1) for j in (-1, 0, 1)
-    ]
-    return f"array({', '.join(blocks)})"
+def _around(col: str, row: str) -> str:
+    """Array of the 3 x 3 cells around one."""
+    return f"array({', '.join(pack(f'{col} + {i}', f'{row} + {j}') for i in (-1, 0, 1) for j in (-1, 0, 1))})"
+
+
+def _own(sides: list[int], x: str = "x", y: str = "y") -> str:
+    """Array of the cells of each grid that hold a point."""
+    cells = [f"named_struct('side', {s}L, 'cell', {cell_of(x, y, s)})" for s in dict.fromkeys(sides)]
+    return f"array({', '.join(cells)})"
 
 
 def _rich(targets: DataFrame, side: int, k: int, name: str, match: list[str]) -> DataFrame:

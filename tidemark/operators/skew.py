@@ -55,8 +55,14 @@ def hottest(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Dat
 
 
 def listed(keys: DataFrame, most: int = MOST_BROADCAST_KEYS) -> DataFrame:
-    """A list of keys marked for broadcast if it has at most ``most`` rows, which are counted."""
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    """A list of keys marked for broadcast if it has at most ``most`` rows, which are counted.
+
+    An empty list is not made again when it is joined.
+    """
+    found = keys.limit(most + 1).count()
+    if not found:
+        return keys.sparkSession.createDataFrame([], keys.schema)
+    return F.broadcast(keys) if found <= most else keys
 
 
 def skew_join(
