@@ -264,3 +264,12 @@ def test_keys_hot_on_both_sides_are_spread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     with pytest.raises(ValueError):
         skew_join(left, right, ["k"], "left", both=True)
+
+
+def test_zone_cells_keep_attributes_without_a_join(spark):
+    zones = polygons(spark, {i: [square(15 * i, 7 * i, 40)] for i in range(12)}).selectExpr("*", "cast(feature_id % 3 as int) as severity")
+    kept = zone_cells.zone_cells(zones, 20, 4, keep=("severity",))
+    joined = zone_cells.zone_cells(zones, 20, 4).join(zones.select("feature_id", "severity"), "feature_id")
+    columns = ["cell_id", "feature_id", "samples", "share_ppm", "severity"]
+    assert sorted(map(tuple, kept.select(columns).collect())) == sorted(map(tuple, joined.select(columns).collect()))
+    assert "Join" not in plan(kept) and kept.columns == columns

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import axis, cell_of, check_size, pack
-from tidemark.functions.outline import crossings
+from tidemark.functions.outline import SHAPE_COLUMNS, crossings
 from tidemark.operators.cover import outline_cells
 from tidemark.operators.skew import HOT_ROWS, skew_join
 
@@ -15,7 +15,7 @@ from tidemark.operators.skew import HOT_ROWS, skew_join
 MIDDLE, RANKED_WHOLE = 2, 1_000
 
 
-def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "feature_id") -> DataFrame:
+def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "feature_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """How much of each cell each zone takes, by ``sub`` x ``sub`` sample points.
 
     Zones are cut at the side of a sample square, whose centre is the point.
@@ -23,6 +23,8 @@ def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "featur
     length to each cell it crosses without being listed.  There is no join,
     and counts are combined before they are shuffled.  Every zone of a cell is
     kept; a zone that holds no sample point of a cell has no row there.
+    ``keep`` names attributes of the zones that go along, so that nothing has
+    to be joined to get them.
     """
     check_size(size)
     check_size(sub)
@@ -36,16 +38,18 @@ def zone_cells(zones: DataFrame, size: int, sub: int = 1, feature: str = "featur
         f"transform(sequence({first}, {last}), p -> named_struct('c', p, 'n', "
         f"least(run_to, (p + 1) * {sub} - 1) - greatest(run_from, p * {sub}) + 1))"
     )
-    counted = outline_cells(zones, step, feature).selectExpr(
-        feature, f"{axis('_row', sub)} as r",
+    shape = [f"`{c}`" for c in zones.columns if c == feature or c in SHAPE_COLUMNS or c in keep]
+    about = [f"_about.`{c}` as `{c}`" for c in keep]
+    counted = outline_cells(zones.selectExpr(*shape), step, feature).selectExpr(
+        feature, *about, f"{axis('_row', sub)} as r",
         f"inline_outer(if(run_from is null, array({at_edge}), concat(array({at_edge}), {in_run})))",
     )
     return (
         counted.where("n > 0")
-        .selectExpr(feature, f"{pack('c', 'r')} as cell_id", "n")
+        .selectExpr(feature, *(f"`{c}`" for c in keep), f"{pack('c', 'r')} as cell_id", "n")
         .groupBy("cell_id", feature)
-        .agg(F.expr("sum(n) as samples"))
-        .selectExpr("cell_id", feature, "samples", f"samples * 1000000 div {sub * sub} as share_ppm")
+        .agg(F.expr("sum(n) as samples"), *(F.expr(f"first(`{c}`) as `{c}`") for c in keep))
+        .selectExpr("cell_id", feature, "samples", f"samples * 1000000 div {sub * sub} as share_ppm", *(f"`{c}`" for c in keep))
     )
 
 

@@ -306,7 +306,7 @@ def published_layers(spark: SparkSession, d: str) -> DataFrame:
 
 def zone_area_prevalence(spark: SparkSession, d: str) -> DataFrame:
     """Share of each severity in the sampled zone area of each wider cell."""
-    cells = zone_cells(_zones(spark, d), CELL, 4, feature="zone_id").join(_zones(spark, d).select("zone_id", "severity"), "zone_id")
+    cells = zone_cells(_zones(spark, d), CELL, 4, feature="zone_id", keep=("severity",))
     wide = with_parent(cells, 3).selectExpr("parent_id", "severity", "cast(samples as decimal(12, 2)) / 16 as cells")
     return prevalence(wide, ["parent_id"], "severity", weight="cells").selectExpr(
         "parent_id", "severity", "cast(amount as double) as amount", "cast(total as double) as total", "share_ppm"
