@@ -10,7 +10,7 @@ from helpers import plan, points, polygons, square
 from tidemark.functions.cells import with_cell, with_parent
 from tidemark.operators.building_layer import building_layer
 from tidemark.operators.check import allowed, check, foreign_key, in_range, not_null, required, unique
-from tidemark.operators.clean import clean
+from tidemark.operators.clean import clean, kept_rows
 from tidemark.operators.panels import panel_as_of
 from tidemark.operators.prevalence import prevalence
 from tidemark.operators.rings import rings_from_vertices
@@ -273,3 +273,13 @@ def test_zone_cells_keep_attributes_without_a_join(spark):
     columns = ["cell_id", "feature_id", "samples", "share_ppm", "severity"]
     assert sorted(map(tuple, kept.select(columns).collect())) == sorted(map(tuple, joined.select(columns).collect()))
     assert "Join" not in plan(kept) and kept.columns == columns
+
+
+def test_rows_that_are_kept_need_no_pass_of_their_own(spark):
+    rows = spark.createDataFrame([(1, 5, 2), (1, 6, 2), (2, None, 3), (None, 7, 4)], "k bigint, x bigint, v bigint")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("kept", "kept")
+    kept = kept_rows(rows, "k", ["x"], required=["x"])
+    assert not jobs.getJobIdsForGroup("kept")
+    spark.sparkContext.setJobGroup("others", "others")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, clean(rows, "k", ["x"], required=["x"])[0].collect())) == [(1, 6, 2)]

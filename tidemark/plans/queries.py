@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import with_cell, with_parent
 from tidemark.operators.building_layer import building_layer
 from tidemark.operators.check import allowed, check, foreign_key, in_range, not_null, required, unique
-from tidemark.operators.clean import clean
+from tidemark.operators.clean import clean, kept_rows
 from tidemark.operators.contain import points_in_polygons
 from tidemark.operators.cover import cover
 from tidemark.operators.nearest import nearest
@@ -189,7 +189,7 @@ def _damaged_zones(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_zones(spark: SparkSession, d: str) -> DataFrame:
-    kept, _ = clean(_damaged_zones(spark, d), "zone_id", ["source_id"], verts="verts")
+    kept = kept_rows(_damaged_zones(spark, d), "zone_id", ["source_id"], verts="verts")
     return kept.selectExpr("zone_id", VERTS_AS_TEXT)
 
 
@@ -270,7 +270,7 @@ def zone_geojson_rejected(spark: SparkSession, d: str) -> DataFrame:
 def points_in_geojson_zones(spark: SparkSession, d: str) -> DataFrame:
     """From text lines through cleaning to containment; properties stay a map all the way."""
     polygons, _ = polygons_from_geojson(_zone_lines(spark, d))
-    kept, _ = clean(polygons, ["feature_id", "part", "ring"], ["x0", "y0"], verts="verts")
+    kept = kept_rows(polygons, ["feature_id", "part", "ring"], ["x0", "y0"], verts="verts")
     hits = points_in_polygons(_places(spark, d), kept, CELL)
     return hits.selectExpr("building_id", "feature_id", "properties['zone_code'] as zone_code")
 
