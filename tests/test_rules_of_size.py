@@ -4,7 +4,7 @@ import datetime
 import random
 
 import pytest
-from helpers import points, polygons, square
+from helpers import plan, points, polygons, square
 
 from tidemark.operators.check import allowed, check, in_range
 from tidemark.operators.clean import clean
@@ -96,3 +96,8 @@ def test_text_ids_and_maps_through_cleaning(spark):
     assert sorted((r.properties["b"], r.copies) for r in others.collect()) == [("1", 1), ("2", 1)]
     inside = points_in_polygons(points(spark, [(3, 1)]), kept, 10)
     assert inside.first().feature_id == "DFIRM_1"
+
+
+def test_an_empty_list_of_hot_keys_is_not_made_again(spark):
+    joined = skew_join(spark.range(9).selectExpr("id as k", "id as v"), spark.range(9).selectExpr("id as k", "id as w"), ["k"], "inner", both=True)
+    assert "Aggregate" not in plan(joined) and joined.count() == 9

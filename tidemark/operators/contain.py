@@ -11,7 +11,7 @@ from tidemark.functions.cells import cell_of
 from tidemark.functions.outline import flat_crossings, flat_edges
 from tidemark.operators.cover import WIDER, attributes, layered_pieces, pieces_size, wider_levels, widest
 from tidemark.operators.crowd import CROWD, STEPS, crowded_grids
-from tidemark.operators.skew import HOT_ROWS, fits, skew_join
+from tidemark.operators.skew import HOT_ROWS, size_and_crowd, skew_join
 
 BROADCAST_BYTES = 128 << 20
 FLAT_EDGES = 4
@@ -78,9 +78,18 @@ def points_in_polygons(
         )
         for cut in layered_pieces(polygons, sides, feature, dict(crowded))
     ]
+    even = [False] * len(sides)
     if auto:
         # The bound by boxes says little of several grids, so their pieces are measured.
-        small = size_bytes <= broadcast_bytes if len(sides) == 1 else all(fits(cut, broadcast_bytes // len(cuts)) for cut in cuts)
+        small = size_bytes <= broadcast_bytes
+        if len(sides) > 1:
+            # The first that is too large settles it; the rest of a crowd is counted by the join.
+            small = True
+            for level, cut in enumerate(cuts):
+                bytes_of, most = size_and_crowd(cut, "cell_id")
+                even[level], small = most <= hot_rows, bytes_of <= broadcast_bytes // len(cuts)
+                if not small:
+                    break
         strategy = "broadcast" if small else "shuffle"
 
     def met(left: DataFrame, level: int, kind: str) -> DataFrame:
@@ -97,7 +106,7 @@ def points_in_polygons(
             right = F.broadcast(cut.withColumnRenamed("cell_id", "_r_cell_id"))
             joined = placed.join(right, F.expr(" and ".join(["cell_id = _r_cell_id", *tests])), kind)
         else:
-            joined = skew_join(placed, cut, ["cell_id"], kind, " and ".join(tests) or "true", hot_rows, both=kind == "inner")
+            joined = skew_join(placed, cut, ["cell_id"], kind, " and ".join(tests) or "true", hot_rows, both=kind == "inner" and not even[level])
         return joined.select(*(points.columns if kind in ("left_semi", "left_anti") else [*points.columns, *gained]))
 
     if len(sides) == 1:

@@ -32,6 +32,13 @@ def fits(df: DataFrame, limit: int) -> bool:
     return (df.selectExpr(f"sum(cast({row_bytes(df)} as double))").first()[0] or 0) <= limit
 
 
+def size_and_crowd(df: DataFrame, key: str) -> tuple[float, int]:
+    """Bytes of the whole of ``df`` and the most rows of one key, in one aggregate combined before the shuffle."""
+    sums = df.groupBy(key).agg(F.expr(f"sum(cast({row_bytes(df)} as double)) as b"), F.expr("count(1) as n"))
+    size, crowd = sums.selectExpr("coalesce(sum(b), 0D)", "coalesce(max(n), 0L)").first()
+    return size, crowd
+
+
 def has_map(kind: T.DataType) -> bool:
     """Is there a map or variant anywhere in the type, so that values cannot be compared?"""
     if isinstance(kind, T.StructType):
