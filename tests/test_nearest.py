@@ -130,3 +130,30 @@ def test_lists_of_targets_do_not_grow_with_points(spark):
     rows = {(r.building_id, r.near_rank, r.near_bfe_id, r.near_d2) for r in found.collect()}
     assert rows == brute(spots, targets, 20_000, 3)
     assert joined_rows(found._jdf.queryExecution().executedPlan()) <= 3 * len(spots)
+
+
+def shuffled_bytes(node):
+    """What the exchanges of an executed plan have written; one that is used again counts once."""
+    name, below = node.nodeName(), [node.children().apply(i) for i in range(node.children().size())]
+    if name == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif "QueryStage" in name:
+        below = [node.plan()]
+    own = node.metrics().apply("shuffleBytesWritten").value() if name == "Exchange" else 0
+    return own + sum(map(shuffled_bytes, below))
+
+
+def test_clustered_targets_are_not_sent_again_for_more_points(spark):
+    rng = random.Random(12)
+    centres = [(100_000 + 200_000 * i, 100_000 + 200_000 * j) for i in (0, 1) for j in (0, 1)]
+    targets = [(c, x + rng.randint(0, 700), y + rng.randint(0, 900)) for c, (x, y) in enumerate(centres * 40)]
+    many = sorted({(rng.randint(0, 400_000), rng.randint(0, 400_000)) for _ in range(8_000)})
+    rng.shuffle(many)
+    sent = []
+    for spots in (many[:2_000], many):
+        found = nearest(points(spark, spots), elevations(spark, targets), 50_000, strategy="shuffle")
+        rows = {(r.building_id, r.near_rank, r.near_bfe_id, r.near_d2) for r in found.collect()}
+        assert rows == brute(spots, targets, 50_000, 1)
+        sent.append(shuffled_bytes(found._jdf.queryExecution().executedPlan()))
+    # A place and its answer are sent a few times; lists of targets would take hundreds of bytes for each.
+    assert sent[1] - sent[0] < 150 * (len(many) - 2_000)
